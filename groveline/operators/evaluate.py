@@ -76,17 +76,19 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 def label_metrics(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per class: rows, predicted rows, hits, precision, recall and F1."""
-    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
     zero = F.lit(0).cast("bigint")
-    shares = F.array(
-        F.struct(
-            F.col("label").alias("label"),
-            F.col("n").alias("n_label"),
-            zero.alias("n_predicted"),
-            hit.cast("bigint").alias("n_hit"),
-        ),
-        F.struct(F.col("prediction"), zero, F.col("n"), zero),
-    )
+    n = F.col("n")
+    hit = F.when(F.col("label") == F.col("prediction"), n).otherwise(zero)
+
+    def share(of: str, n_label: Column, n_predicted: Column, n_hit: Column) -> Column:
+        return F.struct(
+            F.col(of).alias("label"),
+            n_label.alias("n_label"),
+            n_predicted.alias("n_predicted"),
+            n_hit.alias("n_hit"),
+        )
+
+    shares = F.array(share("label", n, zero, hit), share("prediction", zero, n, zero))
     totals = (
         counts.select(*by, F.inline(shares))
         .groupBy(*by, "label")
@@ -137,17 +139,17 @@ def _long(
             for m in overall
         ]
     )
-    classes = [
-        F.transform(
+
+    def of_each_class(metric: str) -> Column:
+        return F.transform(
             "classes",
-            lambda c, m=m: F.struct(
-                F.lit(m).alias("metric"), c["label"].alias("label"), c[m].alias("value")
+            lambda c: F.struct(
+                F.lit(metric).alias("metric"), c["label"].alias("label"), c[metric].alias("value")
             ),
         )
-        for m in per_class
-    ]
+
     report = _overall(label_metrics(counts, by), by)
-    return report.select(*by, F.inline(F.concat(whole, *classes)))
+    return report.select(*by, F.inline(F.concat(whole, *map(of_each_class, per_class))))
 
 
 def f_measures(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -191,7 +191,8 @@ def _binned(df: DataFrame, limits: dict[str, tuple], bins: int) -> DataFrame:
     for c, found in limits.items():
         lo, hi = _edges(found)
         place = F.floor((_ref(c).cast("double") - F.lit(lo)) / F.lit(hi - lo) * bins)
-        shown.append(F.least(place, F.lit(bins - 1)).cast("int").alias(c))
+        # the greatest value belongs to the last bin
+        shown.append(F.when(place >= bins, bins - 1).otherwise(place).cast("int").alias(c))
     return df.select(shown)
 
 

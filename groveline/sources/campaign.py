@@ -16,7 +16,7 @@ _PRIME = 2147483647
 _FOLD = 1000003
 
 # One multiplier per derived column.
-_MULTIPLIER = {
+MULTIPLIER = {
     "age": 1226874159,
     "job": 742938285,
     "marital": 1343714438,
@@ -36,11 +36,15 @@ _MULTIPLIER = {
 def _draw(name: str, n: int) -> Column:
     # reducing the key first keeps the product inside a bigint for any key
     key = (F.col("o_orderkey") + 1) % _PRIME
-    return ((key * _MULTIPLIER[name]) % _PRIME) % _FOLD % n
+    return ((key * MULTIPLIER[name]) % _PRIME) % _FOLD % n
+
+
+def _nth(values: list[str], position: Column) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), position)
 
 
 def _pick(name: str, values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])[_draw(name, len(values)).cast("int")]
+    return _nth(values, _draw(name, len(values)).cast("int"))
 
 
 def _yes(condition: Column) -> Column:
@@ -68,7 +72,7 @@ def campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
         "loan": _yes(F.col("o_orderpriority") == "1-URGENT"),
         "contact": _pick("contact", P.CONTACT),
         "day": F.dayofmonth("o_orderdate"),
-        "month": F.array(*[F.lit(m) for m in P.MONTH])[F.month("o_orderdate") - 1],
+        "month": _nth(P.MONTH, F.month("o_orderdate") - 1),
         "duration": duration.cast("int"),
         "campaign": (_draw("campaign", 8) + 1).cast("int"),
         "pdays": (_draw("pdays", 400) - 1).cast("int"),
