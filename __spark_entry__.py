@@ -233,14 +233,15 @@ def _report(kind: str, preset: dict, balance: str, nominal=None) -> Query:
 
 
 def _search(spark: SparkSession, sf: str, kind: str, depths=tuning.DEPTHS):
-    return plans.search(_encoded(spark, sf), kind, models.DEFAULT[kind], depths=depths)
+    return plans.search(
+        _encoded(spark, sf), kind, models.DEFAULT[kind], depths=depths, parallelism=8
+    )
 
 
 def cross_validation(kind: str, depths=tuning.DEPTHS) -> Query:
     def query(spark, sf):
-        encoded = _encoded(spark, sf)
-        found, _ = plans.search(encoded, kind, models.DEFAULT[kind], depths=depths)
-        return found.table(encoded)
+        found, scored = _search(spark, sf, kind, depths)
+        return found.table(scored)
 
     return query
 

@@ -13,6 +13,7 @@ from pyspark.ml.classification import (
 from pyspark.sql import DataFrame, SparkSession
 
 from groveline.operators.features import assembler
+from groveline.operators.persist import materialised
 from groveline.sources.scratch import shared_dir
 
 _CLASSIFIERS = {
@@ -61,11 +62,14 @@ def fit(
 ) -> PipelineModel:
     """Fit the pipeline.
 
-    Boosting and deep trees build long lineages, which Spark cuts in the shared
-    checkpoint folder.
+    Training reads its rows several times, so the columns it uses are kept meanwhile: as
+    plain columns, which the cache compresses, not as vectors, which it cannot. Boosting
+    and deep trees build long lineages, which Spark cuts in the shared checkpoint folder.
     """
     shared_dir(train.sparkSession)
-    return tree_pipeline(kind, label, features, seed=seed, **(params or {})).fit(train)
+    pipeline = tree_pipeline(kind, label, features, seed=seed, **(params or {}))
+    with materialised(train.select(*features, label)) as kept:
+        return pipeline.fit(kept)
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:

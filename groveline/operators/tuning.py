@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from groveline.operators.evaluate import auc_hard
 from groveline.operators.features import assemble
-from groveline.operators.models import SEED, classifier
+from groveline.operators.models import SEED, classifier, tree_pipeline
 from groveline.operators.persist import materialised
 from groveline.sources.scratch import shared_dir
 
@@ -31,7 +31,7 @@ class Search:
     depths: list[int]
     average: list[float]
     best_depth: int
-    best_model: PipelineModel  # expects the assembled features
+    best_model: PipelineModel
 
     def table(self, like: DataFrame) -> DataFrame:
         """One row per depth: mean AUC over the folds, and whether it was chosen."""
@@ -60,22 +60,21 @@ def cross_validate(
 ) -> Search:
     """Fit every depth on every fold, keep the depth with the best mean AUC, refit on all rows.
 
-    Features are assembled once and kept narrow; fits of one fold run side by side.
+    Only the columns used are kept; fits of one fold run side by side.
     """
     shared_dir(train.sparkSession)
-    estimator = classifier(kind, label, seed=seed, **params)
+    pipeline = tree_pipeline(kind, label, features, seed=seed, **params)
     evaluator = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="prediction")
     search = CrossValidator(
-        estimator=Pipeline(stages=[estimator]),
-        estimatorParamMaps=grid(estimator, depths),
+        estimator=pipeline,
+        estimatorParamMaps=grid(pipeline.getStages()[-1], depths),
         evaluator=evaluator,
         numFolds=folds,
         foldCol=fold,
         parallelism=parallelism,
         seed=seed,
     )
-    narrow = assemble(train, features).select(label, "features", fold)
-    with materialised(narrow) as kept:
+    with materialised(train.select(*features, label, fold)) as kept:
         found = search.fit(kept)
     average = [float(a) for a in found.avgMetrics]
     best = max(range(len(average)), key=average.__getitem__)
@@ -149,17 +148,17 @@ def depth_path(
     spark = train.sparkSession
     shared_dir(spark)
     deepest = max(depths)
-    narrow = assemble(train, features).select(label, "features", fold)
 
-    with materialised(narrow) as kept:
+    with materialised(train.select(*features, label, fold)) as kept:
+        vectors = assemble(kept, features)
 
         def one_fold(i: int) -> list[tuple]:
             held_out = F.col(fold) == i
             tree = classifier(
                 "dt", label, seed=seed, maxDepth=deepest, leafCol="leaf", **params
-            ).fit(kept.where(~held_out))
+            ).fit(vectors.where(~held_out))
             counts = (
-                tree.transform(kept)
+                tree.transform(vectors)
                 .groupBy("leaf", label, held_out.alias("held_out"))
                 .agg(F.count(F.lit(1)).alias("n"))
                 .collect()
@@ -179,6 +178,6 @@ def depth_path(
         )
         average = [averages[d] for d in depths]
         best = max(range(len(average)), key=average.__getitem__)
-        final = classifier("dt", label, seed=seed, maxDepth=depths[best], **params)
-        model = Pipeline(stages=[final]).fit(kept)
+        final = tree_pipeline("dt", label, features, seed=seed, maxDepth=depths[best], **params)
+        model = final.fit(kept)
     return Search(list(depths), average, depths[best], model)

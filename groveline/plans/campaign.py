@@ -44,7 +44,7 @@ def training_rows(
 ) -> DataFrame:
     """Only what training reads, in a repeatable layout.
 
-    ``layout`` is the number of partitions; by default the session's shuffle partitions.
+    ``layout`` is the number of partitions; by default it follows from the number of rows.
     """
     narrow = train.select(P.KEY, *P.FEATURES, P.LABEL, *keep)
     narrow = sampling.stable_layout(narrow, P.KEY, layout)
@@ -111,4 +111,4 @@ def search(
         found = tuning.cross_validate(
             rows, kind, P.LABEL, P.FEATURES, depths=depths, parallelism=parallelism, **params
         )
-    return found, models.score(found.best_model, features.assemble(test, P.FEATURES))
+    return found, models.score(found.best_model, test)
