@@ -64,9 +64,9 @@ def fit(
 
     Training reads its rows several times, so the columns it uses are kept meanwhile: as
     plain columns, which the cache compresses, not as vectors, which it cannot. Boosting
-    and deep trees build long lineages, which Spark cuts in the shared checkpoint folder.
+    builds a long lineage, which Spark cuts wherever a shared checkpoint folder is named.
     """
-    shared_dir(train.sparkSession)
+    shared_dir(train.sparkSession, required=False)
     pipeline = tree_pipeline(kind, label, features, seed=seed, **(params or {}))
     with materialised(train.select(*features, label)) as kept:
         return pipeline.fit(kept)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from groveline.functions import hashing
 
 _MAX_CLASSES = 1000
+_NEARLY_UNIQUE = 0.9
 
 
 def _one_mode(key: str | None, seed: int | None) -> None:
@@ -114,12 +115,20 @@ def layout_partitions(rows: int) -> int:
 
 
 def stable_layout(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
-    """Place and order rows by key alone.
+    """Place and order rows by their content alone, starting with the key.
 
     Bagging draws per partition and row position, and split candidates may come from
     a row sample; after this one shuffle both are the same on every run and cluster.
-    Without ``partitions`` the rows are counted first.
+
+    One aggregate beforehand counts the rows and, approximately, the keys. If many rows
+    share a key, placing by key would overload a task; rows are then dealt out evenly,
+    copies too, and the layout repeats only as long as the input's partitioning does.
     """
-    return df.repartition(
-        partitions or layout_partitions(df.count()), key
-    ).sortWithinPartitions(key)
+    size = df.agg(
+        F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(key, 0.02).alias("keys")
+    ).first()
+    partitions = partitions or layout_partitions(size.rows)
+    others = [c for c in df.columns if c != key]
+    if size.keys < _NEARLY_UNIQUE * size.rows:
+        return df.repartition(partitions)
+    return df.repartition(partitions, key).sortWithinPartitions(key, *others)

@@ -62,7 +62,7 @@ def cross_validate(
 
     Only the columns used are kept; fits of one fold run side by side.
     """
-    shared_dir(train.sparkSession)
+    shared_dir(train.sparkSession, required=False)
     pipeline = tree_pipeline(kind, label, features, seed=seed, **params)
     evaluator = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="prediction")
     search = CrossValidator(
@@ -146,7 +146,7 @@ def depth_path(
     Binary labels 0 and 1.
     """
     spark = train.sparkSession
-    shared_dir(spark)
+    shared_dir(spark, required=False)
     deepest = max(depths)
 
     with materialised(train.select(*features, label, fold)) as kept:

@@ -10,12 +10,12 @@ from pyspark.sql import SparkSession
 _SETTING = "spark.checkpoint.dir"
 
 
-def shared_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession, *, required: bool = True) -> str | None:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
     Where the setting is absent a local session (``local[...]``) gets a fresh
-    temporary folder; a cluster session is refused, because a machine-local
-    folder there loses data with the machine.
+    temporary folder. A cluster session does not, because a machine-local folder
+    loses data with the machine: it is refused, or goes without if not ``required``.
     """
     context = spark.sparkContext
     # a classic session's runtime config does not list core settings, its context does
@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not context.master.startswith("local"):
+        if not required:
+            return None
         raise ValueError(f"set {_SETTING} to a folder shared by all executors")
     fresh = tempfile.mkdtemp(prefix="run-")
     context.setCheckpointDir(fresh)

@@ -121,3 +121,16 @@ def test_balance_modes(encoded):
     assert natural > 0.5
     with pytest.raises(ValueError):
         plans.train_test(encoded, "other")
+
+
+def test_layout_with_a_shared_key_stays_even(spark):
+    hot = spark.range(3000).selectExpr(
+        "if(id % 3 = 0, 7, id) as row_id", "if(id % 3 = 0, 0, id) as x"
+    )
+    sizes = [len(p) for p in sampling.stable_layout(hot, P.KEY, 6).rdd.glom().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 600
+
+
+def test_layout_follows_the_row_count():
+    sizes = [0, 1, 12_000, 120_000, 10_000_000, 10**12]
+    assert [sampling.layout_partitions(n) for n in sizes] == [1, 1, 1, 6, 200, 500_000]
