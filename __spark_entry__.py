@@ -147,9 +147,7 @@ def assemble_nominal(spark, sf):
                 F.lit(i).alias("position"),
                 F.lit(attribute["name"]).alias("name"),
                 F.lit(kind).alias("kind"),
-                F.lit(len(attribute["vals"]) if kind == "nominal" else None)
-                .cast("int")
-                .alias("arity"),
+                F.lit(len(attribute["vals"]) if kind == "nominal" else 0).alias("arity"),
             )
             for i, (kind, attribute) in sorted(kinds.items())
         ]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Fixed values. The code of a category is its position in the list.
+# Category lists (the code of a category is its position), column orders,
+# and the features the shallow decision tree treats as nominal rather than ordered.
 YES_NO = ["no", "yes"]
 JOB = [
     "admin.", "blue-collar", "entrepreneur", "housemaid", "management", "retired",
@@ -15,6 +16,19 @@ EDUCATION = ["primary", "secondary", "tertiary", "unknown"]
 CONTACT = ["cellular", "telephone", "unknown"]
 MONTH = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 POUTCOME = ["failure", "success", "other", "unknown"]
+FEATURES = [
+    "age", "job", "marital", "education", "balance", "housing", "loan", "contact",
+    "day", "month", "duration", "campaign", "pdays", "previous", "poutcome",
+]
+LABEL = "deposit"
+UNUSED = "default"
+CAMPAIGN_COLUMNS = [
+    "age", "job", "marital", "education", UNUSED, "balance", "housing", "loan", "contact",
+    "day", "month", "duration", "campaign", "pdays", "previous", "poutcome", LABEL,
+]
+NOMINAL = {"housing": YES_NO, "loan": YES_NO}
+
+KEY = "row_id"
 
 CATEGORIES: dict[str, list[str]] = {
     "job": JOB,
@@ -28,22 +42,6 @@ CATEGORIES: dict[str, list[str]] = {
     "deposit": YES_NO,
 }
 
-FEATURES = [
-    "age", "job", "marital", "education", "balance", "housing", "loan", "contact",
-    "day", "month", "duration", "campaign", "pdays", "previous", "poutcome",
-]
-LABEL = "deposit"
-KEY = "row_id"
-UNUSED = "default"
-
-# Features the shallow decision tree treats as nominal rather than ordered.
-NOMINAL = {"housing": YES_NO, "loan": YES_NO}
-
-CAMPAIGN_COLUMNS = [
-    "age", "job", "marital", "education", UNUSED, "balance", "housing", "loan", "contact",
-    "day", "month", "duration", "campaign", "pdays", "previous", "poutcome", LABEL,
-]
-
 _TEXT = set(CATEGORIES) | {UNUSED}
 
 CAMPAIGN_SCHEMA = T.StructType(

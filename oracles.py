@@ -377,7 +377,7 @@ def oracle_sql() -> dict[str, str]:
             "\nUNION ALL ".join(
                 f"SELECT {i} AS position, '{c}' AS name,"
                 f" '{'nominal' if c in nominal else 'numeric'}' AS kind,"
-                f" {2 if c in nominal else 'NULL::INT'} AS arity,"
+                f" {2 if c in nominal else 0} AS arity,"
                 f" count(*) AS n, sum({_q(c)}::DOUBLE) AS total FROM encoded"
                 for i, c in enumerate(FEATURES)
             )
