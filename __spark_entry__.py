@@ -33,6 +33,14 @@ from groveline.sources.campaign import campaign  # noqa: E402
 from groveline.sources.csv import read_csv  # noqa: E402
 from groveline.sources.scratch import fresh_path  # noqa: E402
 
+try:  # the corpus operators can be absent as a whole; an error inside them is not hidden
+    import corpus_pipeline  # noqa: E402
+    from groveline.llm import queries as corpus_queries  # noqa: E402
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "groveline.llm"):
+        raise
+    corpus_pipeline = corpus_queries = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _ENCODED = [*P.FEATURES, P.LABEL]
@@ -264,6 +272,19 @@ def entry(spark: SparkSession) -> DataFrame:
     return confusion_matrix(spark, "/root/testdata/sf0.001")
 
 
+def _corpus_queries() -> dict[str, Query]:
+    if corpus_queries is None:
+        return {}
+    return {**corpus_queries.queries(), "pipeline": corpus_pipeline.run}
+
+
+def _corpus_oracles() -> dict[str, str]:
+    if corpus_queries is None:
+        return {}
+    sql = corpus_pipeline.ORACLE_SQL
+    return {**corpus_queries.oracle_sql(), **({"pipeline": sql} if sql else {})}
+
+
 def queries() -> dict[str, Query]:
     return {
         "scan_csv": scan_csv,
@@ -324,8 +345,9 @@ def queries() -> dict[str, Query]:
         "best_model_summary": best_model_summary,
         "score_tuned": score_tuned,
         "auc_tuned": auc_tuned,
+        **_corpus_queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return {**oracles.oracle_sql(), **_corpus_oracles()}
