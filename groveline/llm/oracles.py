@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from groveline.llm import lines, secrets
 from groveline.llm.quality import RULES, STOP_WORDS
 
 # A word, as an expression of the other engine.
@@ -78,7 +79,78 @@ SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n
 FROM judged"""
 
 
+def _secrets() -> str:
+    def literal(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    parts, base = [], []
+    for number, rule in enumerate(secrets.RULES):
+        pattern = literal(rule.pattern)
+        parts.append(
+            f"SELECT r, {number} AS k, '{rule.kind}' AS kind,"
+            f" unnest(regexp_extract_all(t, {pattern})) AS m,"
+            f" unnest(string_split_regex(t, {pattern})) AS gap,"
+            f" unnest(range(len(string_split_regex(t, {pattern})))) AS i,"
+            f" {rule.least} AS least, {pattern} AS pattern, {rule.group} AS grp FROM texts"
+        )
+        if rule.base:
+            base.append(number)
+    met = "\nUNION ALL ".join(parts)
+    lengths = " ".join(
+        f"WHEN {i} THEN length(regexp_extract(m, {literal(r.pattern)}, {r.group}))"
+        for i, r in enumerate(secrets.RULES)
+    )
+    is_base = f"k IN ({', '.join(map(str, base))})"
+    told = "string_agg(told, ',' ORDER BY s, k)"
+    counts = ", ".join(
+        f"count(*) FILTER (WHERE k = {i}) AS n_{secrets.RULES[i].kind}" for i in base
+    )
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+met AS ({met}),
+placed AS (
+  SELECT *, sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY r, k ORDER BY i
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+  FROM met WINDOW w AS (PARTITION BY r, k ORDER BY i)),
+held AS (
+  SELECT r, k, s, kind || ':' || s::BIGINT || ':' || (s + length(m))::BIGINT AS told FROM placed
+  WHERE m IS NOT NULL AND CASE k {lengths} END >= least),
+listed AS (
+  SELECT r, {told} AS spans, {told} FILTER (WHERE {is_base}) AS base_spans, {counts}
+  FROM held GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{secrets.RULES[i].kind}, 0) AS n_{secrets.RULES[i].kind}" for i in base)},
+  sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN listed USING (r)"""
+
+
+def _lines() -> str:
+    trimmed = "trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    return f"""
+WITH pages AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
+split AS (
+  SELECT r, source, unnest(string_split(text, chr(10))) AS x,
+    unnest(range(len(string_split(text, chr(10))))) AS i FROM pages),
+cut AS (SELECT r, source, i, x, {trimmed} AS line FROM split),
+shares AS (
+  SELECT source, line, count(DISTINCT r) AS n FROM cut WHERE line <> '' AND source IS NOT NULL GROUP BY ALL),
+totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY ALL),
+frequent AS (
+  SELECT source, line FROM shares JOIN totals USING (source)
+  WHERE n >= {lines.MIN_PAGES} AND n > {lines.RATIO}::DOUBLE * pages),
+marked AS (
+  SELECT c.*, f.line IS NOT NULL AS dropped FROM cut c LEFT JOIN frequent f
+  ON c.source = f.source AND c.line = f.line),
+joined AS (
+  SELECT r, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '') AS text,
+    count(*) FILTER (WHERE dropped) AS n FROM marked GROUP BY r)
+SELECT p.doc_id, CASE WHEN p.text IS NULL THEN NULL ELSE j.text END AS text,
+  coalesce(j.n, 0) AS boilerplate_lines
+FROM pages p LEFT JOIN joined j USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_line_dedup": _lines(),
+        "op4_secret_scan": _secrets(),
         "op2_quality_rules": _quality(),
     }

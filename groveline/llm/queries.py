@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groveline.llm import oracles, quality
+from groveline.llm import lines, oracles, quality, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,9 +23,27 @@ def op2_quality_rules(spark, sf):
     )
 
 
+def op4_secret_scan(spark, sf):
+    return secrets.secrets(_documents(spark, sf)).select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2("base_spans", 256).alias("base_sha256"), "spans",
+    )
+
+
+def op6_sharding(spark, sf):
+    return sharding.shard(_documents(spark, sf))
+
+
+def op7_line_dedup(spark, sf):
+    return lines.drop_boilerplate(_documents(spark, sf)).select("doc_id", "text", lines.ADDED)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_quality_rules": op2_quality_rules,
+        "op4_secret_scan": op4_secret_scan,
+        "op6_sharding": op6_sharding,
+        "op7_line_dedup": op7_line_dedup,
     }
 
 
