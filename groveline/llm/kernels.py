@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,21 +76,39 @@ def close_pairs(
                 yield own[i], index[j]
 
 
-class Forest:
-    """Union by smallest index over the positions of one tile."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
+def spanning_links(
+    values: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]
+) -> tuple[np.ndarray, np.ndarray]:
+    """For every position with a link, (position, root): as many links as nodes, not as pairs."""
+    root = np.arange(len(values))
+    for i, j in pairs:
+        while True:
+            a, b = root[i], root[j]
+            apart = a != b
+            if not apart.any():
+                break
+            np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+            while (root[root] != root).any():
+                root = root[root]
+    linked = np.nonzero(root != np.arange(len(values)))[0]
+    return values[linked], values[root[linked]]
+
+
+def tile_links(radius: int):
+    """A function for applyInPandas: the links of one pair of chunks of a block."""
+
+    def links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        values = np.ascontiguousarray(rows["fp"].to_numpy(dtype=np.int64)).view(np.uint64)
+        first, second = key[-2], key[-1]
+        if first == second:
+            found = close_pairs(values, values, radius)
+        else:
+            left = np.nonzero(rows["chunk"].to_numpy() == first)[0]
+            right = np.nonzero(rows["chunk"].to_numpy() == second)[0]
+            found = (
+                (left[i], right[j]) for i, j in close_pairs(values[left], values[right], radius)
+            )
+        u, v = spanning_links(values, found)
+        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+
+    return links

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groveline.llm import lines, oracles, quality, secrets, sharding
+from groveline.llm import lines, oracles, quality, secrets, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op2_quality_rules(spark, sf):
     )
 
 
+def op3_simhash_near_dedup(spark, sf):
+    return simhash.near_duplicates(_documents(spark, sf))
+
+
 def op4_secret_scan(spark, sf):
     return secrets.secrets(_documents(spark, sf)).select(
         "doc_id", "n_assign", "n_access", "n_hex",
@@ -41,6 +45,7 @@ def op7_line_dedup(spark, sf):
 def queries() -> dict[str, Query]:
     return {
         "op2_quality_rules": op2_quality_rules,
+        "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_secret_scan": op4_secret_scan,
         "op6_sharding": op6_sharding,
         "op7_line_dedup": op7_line_dedup,
