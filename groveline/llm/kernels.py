@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import sys
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,3 +114,177 @@ def tile_links(radius: int):
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     return links
+
+
+def best_fit(
+    lengths: list[int], sources: list[int], clusters: list[int], capacity: int
+) -> list[tuple[int, int]]:
+    """(bin, offset) of every item, taken in the order given; -1 is no source or no cluster.
+
+    Open bins are kept in the order of their residual room, each with a bitmap of the
+    sources and one of the clusters in it. From the tightest bin with room enough the
+    search moves to its successors until a bin has neither in common with the item.
+    """
+    order: list[tuple[int, int]] = []
+    of_source: list[int] = []
+    of_cluster: list[int] = []
+    placed = []
+    for need, source, cluster in zip(lengths, sources, clusters):
+        source_bit = 1 << source if source >= 0 else 0
+        cluster_bit = 1 << cluster if cluster >= 0 else 0
+        at = bisect_left(order, (need, -1))
+        while at < len(order):
+            chosen = order[at][1]
+            if not (of_source[chosen] & source_bit or of_cluster[chosen] & cluster_bit):
+                break
+            at += 1
+        if at < len(order):
+            room, chosen = order.pop(at)
+        else:
+            room, chosen = capacity, len(of_source)
+            of_source.append(0)
+            of_cluster.append(0)
+        of_source[chosen] |= source_bit
+        of_cluster[chosen] |= cluster_bit
+        placed.append((chosen, capacity - room))
+        insort(order, (room - need, chosen))
+    return placed
+
+
+def _local(values: pd.Series) -> list[int]:
+    """Small numbers for equal values, -1 for null."""
+    return pd.factorize(values)[0].tolist()
+
+
+def packer(capacity: int):
+    """A function for applyInPandas: packs the texts of one group, whole or in pieces."""
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["n_words", "h", "d", "r"], ascending=[False, True, True, True])
+        rows = rows.reset_index(drop=True)
+        owner, piece, length = [], [], []
+        for i, n in enumerate(rows["n_words"].tolist()):
+            cuts = max(1, -(-n // capacity))
+            owner += [i] * cuts
+            piece += range(cuts)
+            length += [capacity] * (cuts - 1) + [n - capacity * (cuts - 1)]
+        owner, piece, length = np.array(owner), np.array(piece), np.array(length)
+        first = np.argsort(-length, kind="stable")
+        owner, piece, length = owner[first], piece[first], length[first]
+        source = np.array(_local(rows["source"]))[owner]
+        shared = rows["cluster"].where(rows["cluster"].duplicated(keep=False))
+        cluster = np.array(_local(shared))[owner]
+        placed = best_fit(length.tolist(), source.tolist(), cluster.tolist(), capacity)
+        bins = np.array([b for b, _ in placed], dtype=np.int64)
+        return pd.DataFrame(
+            {
+                "doc_id": rows["doc_id"].array[owner],
+                "piece": piece.astype(np.int32),
+                "start_word": piece.astype(np.int64) * capacity,
+                "n_words": length.astype(np.int64),
+                "bin": (np.int64(key[0]) << 32) + bins,
+                "offset": np.array([o for _, o in placed], dtype=np.int64),
+            }
+        )
+
+    return pack
+
+
+_UNIT = re.compile(r"[^.!?,;:\n]+[.!?,;:]*\n?|[.!?,;:\n]+")
+_WORD = re.compile(r"\S+")
+
+
+def sentence_units(text: str, longest: int) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words): the text cut at ends of sentences and clauses, without a gap.
+
+    Stretches of more than ``longest`` words are cut after that many; stretches without
+    a word belong to the one before.
+    """
+    units: list[tuple[int, int, list[str]]] = []
+    for found in _UNIT.finditer(text):
+        start, end = found.span()
+        words = found.group().lower().split()
+        if not words:
+            if units:
+                units[-1] = (units[-1][0], end, units[-1][2])
+            continue
+        if len(words) > longest:
+            places = [m.end() + start for m in _WORD.finditer(found.group())]
+            at = start
+            for i in range(0, len(words), longest):
+                last = i + longest >= len(words)
+                stop = end if last else places[i + longest - 1]
+                units.append((at, stop, words[i : i + longest]))
+                at = stop
+            continue
+        units.append((start, end, words))
+    return units
+
+
+def span_hashes(
+    units: list[tuple[int, int, list[str]]], fewest: int, least_words: int
+) -> list[tuple[int, int, int]]:
+    """(first unit, number of units, hash): from every unit the shortest run that is long enough."""
+    sizes = [len(u[2]) for u in units]
+    spans = []
+    stop, words = 0, 0
+    for start in range(len(units)):
+        stop = max(stop, start)
+        while stop < len(units) and (stop - start < fewest or words < least_words):
+            words += sizes[stop]
+            stop += 1
+        if stop - start < fewest or words < least_words:
+            break
+        joined = " ".join([w for u in units[start:stop] for w in u[2]])
+        spans.append((start, stop - start, xxhash.xxh64_intdigest(joined) - (1 << 63)))
+        words -= sizes[start]
+    return spans
+
+
+def span_rows(fewest: int, least_words: int, longest: int, whole: bool):
+    """A function for mapInPandas: the spans of every text, hashes alone or with their place."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            owner, found = [], []
+            for i, text in enumerate(batch["text"]):
+                spans = span_hashes(sentence_units(text or "", longest), fewest, least_words)
+                owner += [i] * len(spans)
+                found += spans
+            table = np.array(found, dtype=np.int64).reshape(-1, 3)
+            result = pd.DataFrame({"hash": table[:, 2]})
+            if whole:
+                result["doc_id"] = batch["doc_id"].array[owner] if owner else batch["doc_id"].array[:0]
+                result["h"] = batch["h"].to_numpy()[owner] if owner else np.empty(0, dtype=np.int64)
+                result["start"] = table[:, 0].astype(np.int32)
+                result["units"] = table[:, 1].astype(np.int32)
+            yield result
+
+    return rows
+
+
+def span_remover(longest: int):
+    """A function for mapInPandas: the texts without the units that are listed for them."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, n_units, n_removed = [], [], []
+            for text, spans in zip(batch["text"], batch["spans"]):
+                units = sentence_units(text or "", longest)
+                n_units.append(len(units))
+                if spans is None or not len(spans):
+                    texts.append(text)
+                    n_removed.append(0)
+                    continue
+                gone = {u for s in spans for u in range(s["start"], s["start"] + s["units"])}
+                lead = text[: units[0][0]]
+                texts.append(
+                    lead + "".join(text[a:b] for i, (a, b, _) in enumerate(units) if i not in gone)
+                )
+                n_removed.append(len(gone))
+            batch["text"] = texts
+            batch["n_sentences"] = n_units
+            batch["n_removed"] = n_removed
+            yield batch.drop(columns="spans")
+
+    return rows

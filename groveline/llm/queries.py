@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groveline.llm import lines, oracles, quality, secrets, sharding, simhash
+from groveline.llm import (
+    lines,
+    oracles,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    spans,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +51,14 @@ def op7_line_dedup(spark, sf):
     return lines.drop_boilerplate(_documents(spark, sf)).select("doc_id", "text", lines.ADDED)
 
 
+def op9_substring_dedup(spark, sf):
+    return spans.drop_repeated_spans(_documents(spark, sf))
+
+
+def op10_best_fit_packing(spark, sf):
+    return packing.pack(_documents(spark, sf))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_quality_rules": op2_quality_rules,
@@ -49,6 +66,8 @@ def queries() -> dict[str, Query]:
         "op4_secret_scan": op4_secret_scan,
         "op6_sharding": op6_sharding,
         "op7_line_dedup": op7_line_dedup,
+        "op9_substring_dedup": op9_substring_dedup,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
