@@ -288,3 +288,115 @@ def span_remover(longest: int):
             yield batch.drop(columns="spans")
 
     return rows
+
+
+_ALPHA: list[np.ndarray] = []
+
+
+def _letters() -> np.ndarray:
+    """For every code point whether it is a letter; made once per worker."""
+    if not _ALPHA:
+        _ALPHA.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
+    return _ALPHA[0]
+
+
+def ngram_counts(text: str | None, dims: int) -> np.ndarray | None:
+    """Counts of the text's 1-, 2- and 3-grams of letters, hashed; None without a letter.
+
+    Runs of other characters are one blank, and a blank stands at both ends.
+    """
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    letter = _letters()[codes]
+    if not letter.any():
+        return None
+    codes = np.concatenate([[0], np.where(letter, codes, 0), [0]]).astype(np.uint64)
+    codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]
+    counts = np.zeros(dims, dtype=np.int64)
+    key = np.zeros(len(codes), dtype=np.uint64)
+    for n in range(3):
+        key = key[: len(codes) - n] * np.uint64(0x110001) + codes[n:]
+        hashed = key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+        counts += np.bincount((hashed % np.uint64(dims)).astype(np.int64), minlength=dims)
+    return counts
+
+
+def document_frequencies(dims: int):
+    """A function for mapInPandas: in how many texts each dimension occurs; -1 counts texts."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros(dims, dtype=np.int64), 0
+        for batch in batches:
+            for text in batch["text"]:
+                counts = ngram_counts(text, dims)
+                if counts is not None:
+                    total += counts > 0
+                    n += 1
+        met = np.nonzero(total)[0]
+        yield pd.DataFrame({"dim": np.append(met, -1), "n": np.append(total[met], n)})
+
+    return rows
+
+
+def tfidf(texts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised vectors of the texts that have a letter, and which those are."""
+    vectors, has = [], np.zeros(len(texts), dtype=bool)
+    for i, text in enumerate(texts):
+        counts = ngram_counts(text, len(idf))
+        if counts is not None:
+            vector = np.log1p(counts).astype(np.float32) * idf
+            vectors.append(vector / np.linalg.norm(vector))
+            has[i] = True
+    return np.array(vectors, dtype=np.float32).reshape(-1, len(idf)), has
+
+
+def centroids(idf: np.ndarray, clusters: int, rounds: int, slack: float):
+    """A function for applyInPandas: spherical k-means over the sampled texts of one language."""
+
+    def unit(v: np.ndarray) -> np.ndarray:
+        return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        vectors, _ = tfidf(rows.sort_values("text")["text"].tolist(), idf)
+        found = {"lang": [], "centre": [], "least": []}
+        if len(vectors):
+            centres = unit(vectors.mean(axis=0, keepdims=True))
+            while len(centres) < min(clusters, len(vectors)):
+                far = (vectors @ centres.T).max(axis=1).argmin()
+                centres = np.vstack([centres, vectors[far]])
+            for _ in range(rounds):
+                nearest = (vectors @ centres.T).argmax(axis=1)
+                used = [c for c in range(len(centres)) if (nearest == c).any()]
+                centres = unit(np.array([vectors[nearest == c].mean(axis=0) for c in used]))
+            likeness = vectors @ centres.T
+            nearest, best = likeness.argmax(axis=1), likeness.max(axis=1)
+            for c, centre in enumerate(centres):
+                own = best[nearest == c]
+                found["lang"].append(key[0])
+                found["centre"].append(centre.tolist())
+                found["least"].append(float(slack * own.min()) if len(own) else 0.0)
+        return pd.DataFrame(found)
+
+    return fit
+
+
+def nearest_centroid(langs: list[str], centres: np.ndarray, least: np.ndarray, idf: np.ndarray, block: int = 256):
+    """A pandas function: (lang, score, rejected) of every text."""
+
+    def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        names = np.array([*langs, "und"], dtype=object)
+        for texts in batches:
+            best = np.full(len(texts), len(langs), dtype=np.int64)
+            score = np.zeros(len(texts))
+            rejected = np.ones(len(texts), dtype=bool)
+            values = texts.tolist()
+            for i in range(0, len(values), block):
+                vectors, has = tfidf(values[i : i + block], idf)
+                if len(vectors) and len(langs):
+                    likeness = vectors @ centres.T
+                    at = i + np.nonzero(has)[0]
+                    best[at] = likeness.argmax(axis=1)
+                    score[at] = np.clip(likeness.max(axis=1), 0.0, 1.0)
+                    rejected[at] = score[at] < least[best[at]]
+            yield pd.DataFrame({"lang": names[best], "score": score, "rejected": rejected})
+
+    return classify

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groveline.llm import (
+    language,
     lines,
     oracles,
     packing,
@@ -43,6 +44,14 @@ def op4_secret_scan(spark, sf):
     )
 
 
+def op5_language_id(spark, sf):
+    docs = _documents(spark, sf)
+    out = language.held_out(F.col("doc_id"))
+    model = language.train(docs.where(~out))
+    predicted = language.predict(docs, model)
+    return predicted.select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_sharding(spark, sf):
     return sharding.shard(_documents(spark, sf))
 
@@ -64,6 +73,7 @@ def queries() -> dict[str, Query]:
         "op2_quality_rules": op2_quality_rules,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_secret_scan": op4_secret_scan,
+        "op5_language_id": op5_language_id,
         "op6_sharding": op6_sharding,
         "op7_line_dedup": op7_line_dedup,
         "op9_substring_dedup": op9_substring_dedup,
