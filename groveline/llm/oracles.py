@@ -148,8 +148,25 @@ SELECT p.doc_id, CASE WHEN p.text IS NULL THEN NULL ELSE j.text END AS text,
 FROM pages p LEFT JOIN joined j USING (r)"""
 
 
+def _warc() -> str:
+    bits = "('0x' || substr(hex, i * 5 + 1, 5))::INT"
+    letters = " || ".join(
+        f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({bits} >> {15 - 5 * k}) & 31) + 1, 1)"
+        for k in range(4)
+    )
+    return f"""
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+first AS (SELECT html, min(page_id) AS first_id FROM bodies GROUP BY html)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(8), lambda i: {letters}), '') AS payload_digest,
+  CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM bodies JOIN first USING (html)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_warc": _warc(),
         "op7_line_dedup": _lines(),
         "op4_secret_scan": _secrets(),
         "op2_quality_rules": _quality(),

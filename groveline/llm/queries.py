@@ -17,6 +17,7 @@ from groveline.llm import (
     sharding,
     simhash,
     spans,
+    warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +61,10 @@ def op7_line_dedup(spark, sf):
     return lines.drop_boilerplate(_documents(spark, sf)).select("doc_id", "text", lines.ADDED)
 
 
+def op8_warc(spark, sf):
+    return warc.round_trip(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
 def op9_substring_dedup(spark, sf):
     return spans.drop_repeated_spans(_documents(spark, sf))
 
@@ -76,6 +81,7 @@ def queries() -> dict[str, Query]:
         "op5_language_id": op5_language_id,
         "op6_sharding": op6_sharding,
         "op7_line_dedup": op7_line_dedup,
+        "op8_warc": op8_warc,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
