@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from groveline.llm import quality
+from groveline.llm import decontaminate, lines, packing, quality, simhash
 from groveline.sources.scratch import fresh_path
 
 
@@ -13,11 +14,41 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take boilerplate lines out of the texts; ``n_chars`` follows the text."""
+    cut = lines.drop_boilerplate(docs).drop(lines.ADDED)
+    if "n_chars" not in docs.columns:
+        return cut
+    n_chars = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text"))
+    return cut.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates."""
+    return simhash.keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a passage of the benchmark."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.drop_contaminated(docs, benchmark)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place every text that is left in training sequences."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("simhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", best_fit_packing),
 ]
 
-# Fingerprints use a hash that SQL does not offer; tests hold the stages against plain Python.
+# Fingerprints use a hash that SQL does not offer, and packing is a search; tests hold the
+# stages against plain Python instead.
 ORACLE_SQL = None
 
 

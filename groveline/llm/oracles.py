@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from groveline.llm import lines, secrets
+from groveline.llm import decontaminate, lines, secrets
 from groveline.llm.quality import RULES, STOP_WORDS
 
 # A word, as an expression of the other engine.
@@ -164,8 +164,47 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
 FROM bodies JOIN first USING (html)"""
 
 
+def _decontamination() -> str:
+    """Exact similarity of all aligned windows, without fingerprints."""
+
+    def shingles(name: str, table: str, key: str) -> str:
+        return f"""
+{name}_words AS (
+  SELECT r, {key}, unnest(w) AS word, unnest(range(len(w))) AS p FROM (
+    SELECT row_number() OVER () AS r, {key},
+      regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table})),
+{name}_runs AS (
+  SELECT r, {key}, p, lead(word, 4) OVER w AS last,
+    string_agg(word, ' ') OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS g
+  FROM {name}_words WINDOW w AS (PARTITION BY r ORDER BY p)),
+{name} AS (
+  SELECT r, {key}, p, g, count(*) OVER (PARTITION BY r) AS most FROM {name}_runs WHERE last IS NOT NULL)"""
+
+    return f"""
+WITH {shingles("texts", "documents", "doc_id")},
+{shingles("items", "benchmark", "item_id")},
+windows AS (
+  SELECT DISTINCT t.r, t.doc_id, i.most AS size, greatest(t.p - i.p, 0) AS start,
+    least(t.p - i.p + i.most, t.most) AS stop
+  FROM texts t JOIN items i USING (g)),
+contents AS (
+  SELECT w.r, w.doc_id, size, start, stop, g, count(*) AS n FROM windows w
+  JOIN texts t ON t.r = w.r AND t.p >= start AND t.p < stop GROUP BY ALL),
+counts AS (SELECT item_id, most AS size, g, count(*) AS n FROM items GROUP BY ALL),
+shared AS (
+  SELECT r, doc_id, c.size, start, stop, item_id, sum(least(c.n, i.n)) AS common
+  FROM contents c JOIN counts i USING (size, g) GROUP BY ALL),
+held AS (
+  SELECT *, common::DOUBLE / (stop - start + size - common) AS similarity FROM shared
+  WHERE common::DOUBLE / (stop - start + size - common) >= {decontaminate.SIMILARITY}::DOUBLE)
+SELECT doc_id, item_id, start::BIGINT AS start_word, (stop - start + 4)::BIGINT AS n_words,
+  round(similarity, 6) AS similarity
+FROM held QUALIFY row_number() OVER (PARTITION BY r, item_id ORDER BY similarity DESC, start, stop DESC) = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontamination": _decontamination(),
         "op8_warc": _warc(),
         "op7_line_dedup": _lines(),
         "op4_secret_scan": _secrets(),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groveline.llm import (
+    decontaminate,
     language,
     lines,
     oracles,
@@ -27,6 +28,13 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_decontamination(spark, sf):
+    benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
+    return decontaminate.contaminated(_documents(spark, sf), benchmark).select(
+        "doc_id", "item_id", "start_word", "n_words", F.round("similarity", 6).alias("similarity")
+    )
+
+
 def op2_quality_rules(spark, sf):
     return quality.quality(_documents(spark, sf)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -75,6 +83,7 @@ def op10_best_fit_packing(spark, sf):
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_quality_rules": op2_quality_rules,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_secret_scan": op4_secret_scan,
