@@ -126,8 +126,9 @@ def contaminated(
     per text and item, with the best window, if it reaches ``similarity``.
 
     ``h`` is the text's hash, which with the key tells rows apart; rows that repeat both
-    are one text. Items of fewer than five words have no shingle and match nothing, nor
-    do null and empty texts. Null keys are keys like any other. Empty tables give no row.
+    are one text, or one item. Items of fewer than five words have no shingle and match
+    nothing, nor do null and empty texts. Null keys and item ids are like any others.
+    Empty tables give no row. Other columns are left out.
     """
     body = docs.select(
         F.col(f"`{key}`").alias("doc_id"),
@@ -136,8 +137,10 @@ def contaminated(
         F.col(f"`{text}`").alias("text"),
     )
     given = benchmark.select(
-        F.col(f"`{item}`").alias("item"), F.col(f"`{item_text}`").alias("item_text")
-    )
+        F.col(f"`{item}`").alias("item_id"),
+        F.struct(F.xxhash64(F.col(f"`{item}`")).alias("i"), F.xxhash64(F.col(f"`{item_text}`")).alias("t")).alias("item"),
+        F.col(f"`{item_text}`").alias("item_text"),
+    ).dropDuplicates(["item"])
     shingled = _with_shingles(given, "item_text", "item").where(F.size("g") > 0)
     # (item, size, place, g): every shingle of every item; an item's size is its number of shingles
     places = kept_table(
@@ -209,10 +212,10 @@ def contaminated(
         F.max(F.struct("similarity", (-F.col("start")).alias("before"), "stop")).alias("best")
     )
     keys = windows.select("doc_id", "d", "h").distinct()
-    return best.join(keys, ["d", "h"]).select(
+    return best.join(keys, ["d", "h"]).join(given.select("item", "item_id"), "item").select(
         "doc_id",
         "h",
-        F.col("item").alias("item_id"),
+        "item_id",
         (-F.col("best.before")).cast("bigint").alias("start_word"),
         (F.col("best.stop") + F.col("best.before") + (SHINGLE - 1)).cast("bigint").alias("n_words"),
         F.col("best.similarity").alias("similarity"),
