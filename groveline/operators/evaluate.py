@@ -12,7 +12,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_MAX_CELLS = 1_000_000
+_MAX_CLASSES = 10_000
 
 
 def predictions_labels(scored: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
@@ -35,38 +35,29 @@ def confusion_counts(
 
 
 def confusion_matrix(
-    counts: DataFrame, labels: Sequence[float] = (), *, max_cells: int = _MAX_CELLS
+    counts: DataFrame, labels: Sequence[float] = (), *, max_classes: int = _MAX_CLASSES
 ) -> DataFrame:
     """Every (label, prediction) cell, empty ones with 0.
 
-    The classes are those met as label or prediction, and those listed in ``labels``.
+    The classes are those met as label or prediction, and those listed in ``labels``; more
+    than ``max_classes`` of them are an error, never cut. Only their names are gathered:
+    the cells stay rows, joined by a sum with a zero for each pair of classes.
     """
-    # a cell table too large to be a confusion matrix is an error, never cut
-    cell = F.struct("label", "prediction", "n")
-    gathered = counts.limit(max_cells + 1).agg(F.collect_list(cell).alias("cells"))
     listed = F.array(*[F.lit(float(v)) for v in labels]).cast("array<double>")
-    seen = F.array_union(
-        F.transform("cells", lambda c: c["label"]), F.transform("cells", lambda c: c["prediction"])
-    )
+    met = counts.select(F.explode(F.array("label", "prediction")).alias("label")).distinct()
+    gathered = met.limit(max_classes + 1).agg(F.collect_set("label").alias("met"))
     checked = gathered.select(
-        F.when(F.size("cells") <= max_cells, F.col("cells"))
+        F.when(F.size("met") <= max_classes, F.array_union("met", listed))
         .otherwise(F.raise_error(F.lit("too many classes for a confusion matrix")))
-        .alias("cells")
-    )
-    grid = (
-        checked.select("cells", F.array_sort(F.array_union(seen, listed)).alias("classes"))
-        .select("cells", "classes", F.explode("classes").alias("label"))
-        .select("cells", "label", F.explode("classes").alias("prediction"))
-    )
-    held = F.filter(
-        "cells",
-        lambda c: (c["label"] == F.col("label")) & (c["prediction"] == F.col("prediction")),
+        .alias("classes")
     )
-    return grid.select(
+    zeros = checked.select("classes", F.explode("classes").alias("label")).select(
         "label",
-        "prediction",
-        F.aggregate(held, F.lit(0).cast("bigint"), lambda total, c: total + c["n"]).alias("n"),
+        F.explode("classes").alias("prediction"),
+        F.lit(0).cast("bigint").alias("n"),
     )
+    cells = counts.select("label", "prediction", "n").unionByName(zeros)
+    return cells.groupBy("label", "prediction").agg(F.sum("n").alias("n"))
 
 
 def _ratio(part: Column, whole: Column) -> Column:

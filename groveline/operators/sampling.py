@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from groveline.functions import hashing
 
 _MAX_CLASSES = 1000
-_NEARLY_UNIQUE = 0.9
+ROWS_PER_PARTITION = 25_000
 
 
 def _one_mode(key: str | None, seed: int | None) -> None:
@@ -41,12 +41,13 @@ def balance_fractions(df: DataFrame, label: str, *, max_classes: int = _MAX_CLAS
     return {value: smallest / n for value, n in counts}
 
 
-def _fraction_of(label: str, fractions: Mapping) -> Column:
-    # a class that is not listed is dropped
-    chosen = F.lit(0.0)
-    for value, fraction in fractions.items():
-        chosen = F.when(F.col(label) == F.lit(value), F.lit(float(fraction))).otherwise(chosen)
-    return chosen
+def _fraction_of(df: DataFrame, label: str, fractions: Mapping) -> Column:
+    """Looked up in a constant map, whatever the number of classes; 0 for one not listed."""
+    if not fractions:
+        return F.lit(0.0)
+    kind = df.schema[label].dataType
+    pairs = [x for value, f in fractions.items() for x in (F.lit(value).cast(kind), F.lit(float(f)))]
+    return F.coalesce(F.create_map(*pairs)[F.col(label)], F.lit(0.0))
 
 
 def stratified_sample(
@@ -61,7 +62,7 @@ def stratified_sample(
     _one_mode(key, seed)
     if seed is not None:
         return df.sampleBy(label, fractions=dict(fractions), seed=seed)
-    return df.where(hashing.row_uniform(key, hashing.STRATIFY) < _fraction_of(label, fractions))
+    return df.where(hashing.row_uniform(key, hashing.STRATIFY) < _fraction_of(df, label, fractions))
 
 
 def random_split(
@@ -105,31 +106,38 @@ def with_fold(df: DataFrame, k: int, *, key: str, name: str = "fold") -> DataFra
     return df.withColumn(name, (hashing.row_hash(key, hashing.FOLD) % k).cast("int"))
 
 
-def layout_partitions(rows: int) -> int:
-    """Partitions for training on so many rows; by rows alone, so that it is the same everywhere.
-
-    Small tables get 20,000 rows a partition, which keeps a task above its start-up cost.
-    From 16 partitions on they fill up to 4 million rows: every task of a training step sends
-    statistics for every node of the level, so fewer and larger partitions send less.
-    """
-    return max(1, min(math.ceil(rows / 20_000), 16), math.ceil(rows / 4_000_000))
+def layout_partitions(rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -> int:
+    """Partitions for training on so many rows: in proportion, whatever their number."""
+    return max(1, math.ceil(rows / rows_per_partition))
 
 
-def stable_layout(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
-    """Place and order rows by their content alone, starting with the key.
+def stable_layout(
+    df: DataFrame,
+    partitions: int | None = None,
+    *,
+    rows_per_partition: int = ROWS_PER_PARTITION,
+    spread_copies: bool = False,
+) -> DataFrame:
+    """Place and order rows by their whole content.
 
     Bagging draws per partition and row position, and split candidates may come from
-    a row sample; after this one shuffle both are the same on every run and cluster.
+    a row sample; after this one shuffle both are the same on every run and cluster,
+    however the rows lay before. A column that is alike in many rows does not gather
+    them, because all columns count. Without ``partitions`` the rows are counted.
 
-    One aggregate beforehand counts the rows and, approximately, the keys. If many rows
-    share a key, placing by key would overload a task; rows are then dealt out evenly,
-    copies too, and the layout repeats only as long as the input's partitioning does.
+    Rows that are equal in every column still meet. Where those may be many,
+    ``spread_copies`` numbers the copies and places them by content and number: one more
+    shuffle, of partial counts.
     """
-    size = df.agg(
-        F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(key, 0.02).alias("keys")
-    ).first()
-    partitions = partitions or layout_partitions(size.rows)
-    others = [c for c in df.columns if c != key]
-    if size.keys < _NEARLY_UNIQUE * size.rows:
-        return df.repartition(partitions)
-    return df.repartition(partitions, key).sortWithinPartitions(key, *others)
+    names = [f"`{c}`" for c in df.columns]
+    if partitions is None:
+        partitions = layout_partitions(df.count(), rows_per_partition)
+    if not spread_copies:
+        placed = df.repartition(partitions, F.xxhash64(*names))
+        return placed.sortWithinPartitions(F.xxhash64(*names), *names)
+    copies = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__copies"))
+    each = copies.select(*names, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"))
+    placement = F.xxhash64(*names, "__copy")
+    placed = each.repartition(partitions, placement).sortWithinPartitions(placement, *names)
+    # metadata of columns is kept by naming them from the table given
+    return placed.select([F.col(n).alias(c, metadata=df.schema[c].metadata) for n, c in zip(names, df.columns)])

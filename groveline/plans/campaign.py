@@ -41,13 +41,15 @@ def training_rows(
     nominal: Mapping[str, list[str]] | None = None,
     layout: int | None = None,
     keep: tuple[str, ...] = (),
+    rows_per_partition: int = sampling.ROWS_PER_PARTITION,
 ) -> DataFrame:
     """Only what training reads, in a repeatable layout.
 
-    ``layout`` is the number of partitions; by default it follows from the number of rows.
+    ``layout`` is the number of partitions; by default there is one for every
+    ``rows_per_partition`` rows.
     """
     narrow = train.select(P.KEY, *P.FEATURES, P.LABEL, *keep)
-    narrow = sampling.stable_layout(narrow, P.KEY, layout)
+    narrow = sampling.stable_layout(narrow, layout, rows_per_partition=rows_per_partition)
     return features.declare_nominal(narrow, nominal) if nominal else narrow
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -15,7 +16,8 @@ def shared_dir(spark: SparkSession, *, required: bool = True) -> str | None:
 
     Where the setting is absent a local session (``local[...]``) gets a fresh
     temporary folder. A cluster session does not, because a machine-local folder
-    loses data with the machine: it is refused, or goes without if not ``required``.
+    loses data with the machine: it is refused, or, if not ``required``, goes without and
+    warns.
     """
     context = spark.sparkContext
     # a classic session's runtime config does not list core settings, its context does
@@ -29,6 +31,7 @@ def shared_dir(spark: SparkSession, *, required: bool = True) -> str | None:
         return current
     if not context.master.startswith("local"):
         if not required:
+            warnings.warn(f"{_SETTING} is not set: long lineages are not cut", stacklevel=2)
             return None
         raise ValueError(f"set {_SETTING} to a folder shared by all executors")
     fresh = tempfile.mkdtemp(prefix="run-")

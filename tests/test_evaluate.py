@@ -88,7 +88,16 @@ def test_too_many_classes_is_an_error(spark):
         spark.range(20).selectExpr("cast(id as double) label", "0D prediction"), "label"
     )
     with pytest.raises(Exception, match="too many classes"):
-        evaluate.confusion_matrix(counts, max_cells=10).collect()
+        evaluate.confusion_matrix(counts, max_classes=10).collect()
+
+
+def test_a_thousand_classes(spark):
+    scored = spark.range(5000).selectExpr(
+        "cast(id % 1000 as double) label", "cast((id * 7) % 1000 as double) prediction"
+    )
+    matrix = evaluate.confusion_matrix(evaluate.confusion_counts(scored, "label"))
+    total = matrix.agg(F.count("n"), F.sum("n"), F.sum((F.col("n") > 0).cast("int"))).first()
+    assert tuple(total) == (1_000_000, 5000, 1000)
 
 
 def test_class_never_predicted_has_precision_zero(spark):

@@ -1,6 +1,8 @@
 import hashlib
 
 import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from groveline import presets as P
 from groveline.functions import hashing
@@ -93,12 +95,31 @@ def test_folds_are_even_and_typed(encoded):
     assert len(sizes) == 3 and min(sizes) > 0.28 * encoded.count()
 
 
-def test_stable_layout_depends_on_the_key_only(encoded):
-    def layout(df):
-        return sampling.stable_layout(df.select(P.KEY), P.KEY, 4).rdd.glom().collect()
+def _layout(df, **options):
+    return sampling.stable_layout(df, **options).rdd.glom().collect()
 
-    one, two = layout(encoded), layout(encoded.repartition(5))
-    assert one == two and len(one) == 4
+
+def _hot(spark):
+    """Three rows in ten share a key, one in a hundred is equal in every column."""
+    return spark.range(3000).selectExpr(
+        "if(id % 10 < 3, 7, id) as row_id", "if(id % 100 = 0, 0, id) as x"
+    )
+
+
+@pytest.mark.parametrize("spread_copies", [False, True])
+def test_stable_layout_depends_on_content_only(spark, encoded, spread_copies):
+    for df in (encoded, _hot(spark)):
+        want = _layout(df, partitions=6, spread_copies=spread_copies)
+        assert len(want) == 6 and sorted(r for p in want for r in p) == sorted(df.collect())
+        for moved in (df.repartition(3), df.repartition(5), df.coalesce(1)):
+            assert _layout(moved, partitions=6, spread_copies=spread_copies) == want
+        assert max(map(len, want)) < 2 * df.count() / 6
+
+
+def test_copies_spread_when_asked(spark):
+    same = spark.range(3000).selectExpr("1L as row_id", "2 as x")
+    sizes = [len(p) for p in _layout(same, partitions=6, spread_copies=True)]
+    assert sum(sizes) == 3000 and max(sizes) < 1000
 
 
 def test_draws_are_narrow(encoded):
@@ -123,14 +144,34 @@ def test_balance_modes(encoded):
         plans.train_test(encoded, "other")
 
 
-def test_layout_with_a_shared_key_stays_even(spark):
-    hot = spark.range(3000).selectExpr(
-        "if(id % 3 = 0, 7, id) as row_id", "if(id % 3 = 0, 0, id) as x"
-    )
-    sizes = [len(p) for p in sampling.stable_layout(hot, P.KEY, 6).rdd.glom().collect()]
-    assert sum(sizes) == 3000 and max(sizes) < 600
-
-
 def test_layout_follows_the_row_count():
-    sizes = [0, 1, 12_000, 120_000, 10_000_000, 10**10]
-    assert [sampling.layout_partitions(n) for n in sizes] == [1, 1, 1, 6, 16, 2500]
+    sizes = [0, 1, 25_000, 100_000, 10_000_000, 10**9]
+    assert [sampling.layout_partitions(n) for n in sizes] == [1, 1, 1, 4, 400, 40_000]
+    assert sampling.layout_partitions(10**9, 10**6) == 1000
+
+
+def test_a_thousand_classes(spark):
+    df = spark.range(20_000).selectExpr("id as row_id", "concat('c', id % 1000) as y")
+    fractions = sampling.balance_fractions(df, "y")
+    assert len(fractions) == 1000 and set(fractions.values()) == {1.0}
+    half = {k: 0.5 if k < "c5" else 1.0 for k in fractions}
+    kept = sampling.stratified_sample(df, "y", half, key="row_id")
+    counts = dict(kept.groupBy(F.col("y") < "c5").count().collect())
+    assert counts[False] == df.where("y >= 'c5'").count()
+    assert counts[True] == pytest.approx(df.where("y < 'c5'").count() / 2, rel=0.1)
+
+
+@pytest.mark.parametrize(
+    "draw",
+    [
+        lambda df: sampling.random_split(df, key="k")[0],
+        lambda df: sampling.random_split(df, key="k")[1],
+        lambda df: sampling.bernoulli_sample(df, 1.0, key="k"),
+        lambda df: sampling.stratified_sample(df, "y", {1: 1.0}, key="k"),
+        lambda df: sampling.with_fold(df, 3, key="k"),
+    ],
+)
+def test_a_null_key_fails(spark, draw):
+    df = spark.createDataFrame([(1, 1), (2, 1), (None, 1)], "k bigint, y int")
+    with pytest.raises(PySparkException, match="null in the row key k"):
+        draw(df).collect()
