@@ -19,6 +19,14 @@ from groveline.operators.models import SEED, classifier, tree_pipeline
 from groveline.operators.persist import materialised
 from groveline.sources.scratch import shared_dir
 
+# What the depth path honours as the estimator does; others may change its predictions.
+_HONOURED = {
+    "impurity", "maxBins", "minInstancesPerNode", "minInfoGain", "minWeightFractionPerNode",
+    "maxMemoryInMB", "cacheNodeIds", "checkpointInterval",
+}
+# Rows collected of a fold are at most four for each of 2^depth leaves.
+DEEPEST = 14
+
 # The depths tried and the number of folds.
 DEPTHS = [2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]
 FOLDS = 3
@@ -143,8 +151,14 @@ def depth_path(
     A decision tree grows level by level, so the tree of depth d is the deepest tree cut
     off at d. One fit per fold therefore evaluates every depth: the rows of a fold are
     counted by leaf, at most 2^depth leaves, and the counts are added up the tree.
-    Binary labels 0 and 1.
+    Binary labels 0 and 1. Parameters that could change predictions otherwise, and depths
+    above ``DEEPEST``, are refused: ``cross_validate`` takes those.
     """
+    other = sorted(set(params) - _HONOURED)
+    if other:
+        raise ValueError(f"the depth path does not honour {', '.join(other)}")
+    if max(depths) > DEEPEST:
+        raise ValueError(f"the depth path goes down to depth {DEEPEST}")
     spark = train.sparkSession
     shared_dir(spark, required=False)
     deepest = max(depths)
@@ -163,7 +177,11 @@ def depth_path(
                 .agg(F.count(F.lit(1)).alias("n"))
                 .collect()
             )
-            found = _truncated_confusions(_leaf_paths(tree.toDebugString), counts, depths)
+            paths = _leaf_paths(tree.toDebugString)
+            # a binary tree has one leaf more than it has splits
+            if 2 * len(paths) - 1 != tree.numNodes:
+                raise RuntimeError("the printed rules do not tell the leaves of the tree")
+            found = _truncated_confusions(paths, counts, depths)
             return [(i, *row) for row in found]
 
         with ThreadPoolExecutor(max_workers=parallelism) as pool:

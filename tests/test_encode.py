@@ -25,6 +25,19 @@ def test_every_category_gets_its_position(spark):
         assert dict(got.collect()) == {v: float(i) for i, v in enumerate(values)}, name
 
 
+def test_codes_written_out(spark, encoded, raw):
+    """Some codes as literals, so that a wrong list of categories shows."""
+    codes = {
+        ("month", "jan"): 0.0, ("month", "dec"): 11.0, ("poutcome", "failure"): 0.0,
+        ("poutcome", "other"): 2.0, ("poutcome", "unknown"): 3.0, ("job", "admin."): 0.0,
+        ("job", "unemployed"): 10.0, ("job", "unknown"): 11.0, ("marital", "divorced"): 0.0,
+        ("education", "tertiary"): 2.0, ("contact", "telephone"): 1.0, ("deposit", "yes"): 1.0,
+    }
+    for (name, word), code in codes.items():
+        row = raw.where(F.col(name) == word).join(encoded.select(P.KEY, F.col(name).alias("code")), P.KEY)
+        assert {r.code for r in row.select("code").distinct().collect()} == {code}, (name, word)
+
+
 @pytest.mark.parametrize("word,shown", [("x", "unmapped x"), (None, "unmapped NULL")])
 def test_strict_encoding_fails_on_what_the_map_lacks(spark, word, shown):
     df = _words(spark, "yes", word).select(encode("word", P.codes(P.YES_NO)))

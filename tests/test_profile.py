@@ -1,5 +1,6 @@
 import subprocess
 import sys
+import time
 
 import pytest
 from pyspark import cloudpickle
@@ -124,6 +125,38 @@ def test_hist_2d_margins_are_hist_1d(encoded):
     }
 
 
+def test_values_that_are_not_finite(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame(
+        [(1.0, 1.0, nan), (2.0, 5.0, inf), (3.0, 2.0, nan), (nan, 4.0, None), (-inf, None, None)],
+        "a double, b double, c double",
+    )
+    rows = {(r["column"], r.bin): (r.lower, r.n) for r in profile.hist_1d(df, bins=2).collect()}
+    assert rows == {
+        ("a", 0): (1.0, 1), ("a", 1): (2.0, 2), ("a", None): (None, 2),
+        ("b", 0): (1.0, 2), ("b", 1): (3.0, 2), ("c", None): (None, 3),
+    }
+    cells = {(r.left, r.right, r.left_bin, r.right_bin): r.n for r in profile.hist_2d(df, bins=2).collect()}
+    assert cells == {("a", "b", 0, 0): 1, ("a", "b", 1, 1): 1, ("a", "b", 1, 0): 1}
+    corr = {(r.left, r.right): r["corr"] for r in profile.corr_pairs(df).collect()}
+    assert all(v != v for v in corr.values()) and len(corr) == 3
+
+
+def test_tables_without_rows(spark):
+    df = spark.createDataFrame([], "a double, b double")
+    for made in (profile.hist_1d(df), profile.hist_2d(df), profile.corr_pairs(df)):
+        assert made.collect() == []
+    assert profile.hist_2d(spark.createDataFrame([(1.0,)], "a double")).collect() == []
+
+
+def test_many_columns_take_seconds(spark):
+    wide = spark.range(20).select([(F.col("id") * (i % 7 + 1) + i).alias(f"c{i}") for i in range(300)])
+    start = time.time()
+    assert profile.hist_1d(wide, wide.columns).agg(F.sum("n")).first()[0] == 6000
+    assert len(profile.describe(wide.select([F.col(c).cast("int") for c in wide.columns])).collect()) == 300
+    assert time.time() - start < 60
+
+
 def test_task_code_travels_by_value():
     code = cloudpickle.dumps((batches.pair_cells(3, 10), batches.pair_moments))
     # a worker without this package

@@ -37,6 +37,12 @@ def test_cross_validation_picks_the_best_depth_and_repeats(folded, kind, params)
     assert sum(r.chosen for r in table) == 1
 
 
+def test_depth_path_refuses_what_it_does_not_honour(folded):
+    for extra in ({"thresholds": [0.3, 0.7]}, {"depths": [2, 15]}):
+        with pytest.raises(ValueError, match="depth path"):
+            tuning.depth_path(folded, P.LABEL, P.FEATURES, **extra)
+
+
 def test_grid_covers_the_fixed_depths():
     tree = models.classifier("dt", P.LABEL)
     assert [g[tree.maxDepth] for g in tuning.grid(tree)] == list(range(2, 13))
