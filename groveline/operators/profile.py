@@ -8,6 +8,7 @@ aggregate right behind it leaves one row per column and task to shuffle.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -29,6 +30,15 @@ def _ref(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+# Expressions of many columns are written as text: one call into the JVM per column.
+def _as_doubles(names: Sequence[str]) -> list[str]:
+    return [f"CAST({_quoted(c)} AS DOUBLE) AS {_quoted(c)}" for c in names]
+
+
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     """Rows per class. Partial aggregation means one row per class and task is shuffled."""
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
@@ -140,8 +150,8 @@ def column_limits(df: DataFrame, names: Sequence[str]) -> dict[str, tuple]:
         return {}
     value = F.when(_is_finite(F.col("value")), F.col("value"))
     stats = (
-        df.select([_ref(c).cast("double").alias(c) for c in names])
-        .unpivot([], [_ref(c) for c in names], "column", "value")
+        df.selectExpr(*_as_doubles(names))
+        .unpivot([], [_quoted(c) for c in names], "column", "value")
         .where(F.col("value").isNotNull())
         .groupBy("column")
         .agg(F.avg(value), F.min(value), F.max(value), F.count_if(~_is_finite(F.col("value"))))
@@ -210,19 +220,19 @@ def _binned(df: DataFrame, limits: dict[str, tuple], bins: int, other: int | Non
 
     NaN and infinite values have the bin ``other``.
     """
+    rest = "NULL" if other is None else str(other)
     shown = []
     for c, found in limits.items():
-        value = _ref(c).cast("double")
-        place = F.lit(None).cast("int")
+        value, place = f"CAST({_quoted(c)} AS DOUBLE)", "NULL"
         if found[1] is not None:
             lo, hi = _edges(found)
             # the greatest value belongs to the last bin
-            place = F.least(F.floor((value - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(bins - 1))
-        inside = F.when(_is_finite(value), place)
+            place = f"least(floor(({value} - ({lo!r}D)) / {hi - lo!r}D * {bins}), {bins - 1})"
         shown.append(
-            F.when(value.isNotNull() & ~_is_finite(value), F.lit(other)).otherwise(inside).cast("int").alias(c)
+            f"CAST(CASE WHEN abs({value}) < double('Infinity') THEN {place}"
+            f" WHEN {value} IS NOT NULL THEN {rest} END AS INT) AS {_quoted(c)}"
         )
-    return df.select(shown)
+    return df.selectExpr(*shown)
 
 
 def hist_1d(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
@@ -239,14 +249,15 @@ def hist_1d(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 10)
         )
     counts = (
         _binned(df, limits, bins, -1)
-        .unpivot([], [_ref(c) for c in limits], "column", "bin")
+        .unpivot([], [_quoted(c) for c in limits], "column", "bin")
         .where(F.col("bin").isNotNull())
         .groupBy("column", "bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     ranges = {c: _edges(found) for c, found in limits.items() if found[1] is not None}
-    listed = [x for c, (lo, hi) in ranges.items() for x in (F.lit(c), F.array(F.lit(lo), F.lit((hi - lo) / bins)))]
-    edges = F.create_map(*listed)[F.col("column")] if listed else F.array().cast("array<double>")
+    # one constant map; NaN and infinite values need none of it
+    of_column = json.dumps({c: [lo, (hi - lo) / bins] for c, (lo, hi) in ranges.items()})
+    edges = F.from_json(F.lit(of_column), "map<string, array<double>>")[F.col("column")]
     placed = counts.withColumns(
         {"edges": edges, "bin": F.when(F.col("bin") >= 0, F.col("bin"))}
     )
