@@ -59,6 +59,11 @@ def _encoded(spark: SparkSession, sf: str) -> DataFrame:
     return columns.encode_campaign(campaign(spark, sf))
 
 
+def _coarse(spark: SparkSession, sf: str) -> DataFrame:
+    """At most 32 values in a column: 32 bins are then all thresholds, as SQL tries them."""
+    return columns.grouped(_encoded(spark, sf), P.GROUPS, P.MOST_GROUPS)
+
+
 def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     # adding 0.0 turns a negative zero into zero
     return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})
@@ -170,7 +175,7 @@ def assemble_nominal(spark, sf):
 
 
 def _stump(spark: SparkSession, sf: str, balance: str = "none"):
-    return plans.train_and_score(_encoded(spark, sf), "dt", models.STUMP, balance=balance)
+    return plans.train_and_score(_coarse(spark, sf), "dt", models.STUMP, balance=balance)
 
 
 def _stump_counts(spark: SparkSession, sf: str, balance: str = "none") -> DataFrame:
@@ -194,7 +199,7 @@ def confusion_matrix(spark, sf, balance="none"):
 
 
 def metric_report(spark, sf):
-    return _rounded(plans.compare(_encoded(spark, sf), "dt", models.STUMP), 9, "value")
+    return _rounded(plans.compare(_coarse(spark, sf), "dt", models.STUMP), 9, "value")
 
 
 def auc_score(spark, sf):
@@ -210,13 +215,21 @@ def auc_score(spark, sf):
 # --- models ------------------------------------------------------------------
 
 
-def _depth2_exact(balance: str) -> Query:
-    """The shallow tree with a candidate threshold between any two values met."""
-    params = {**models.SHALLOW["dt"], "maxBins": models.STUMP["maxBins"]}
+# Models whose result SQL can repeat: no row or feature is drawn by chance.
+_EXACT = {
+    "dt": models.SHALLOW["dt"],
+    "rf": {**models.SHALLOW["rf"], "bootstrap": False, "featureSubsetStrategy": "all"},
+    "gbt": {**models.SHALLOW["gbt"], "maxIter": 2, "maxDepth": 1},
+}
+
+
+def _exact(kind: str, balance: str) -> Query:
+    """The confusion matrix of a model of which SQL repeats every split."""
 
     def query(spark, sf):
         _, scored = plans.train_and_score(
-            _encoded(spark, sf), "dt", params, balance=balance, nominal=P.NOMINAL
+            _coarse(spark, sf), kind, _EXACT[kind], balance=balance,
+            nominal=P.NOMINAL if kind == "dt" else None,
         )
         return evaluate.confusion_matrix(evaluate.confusion_counts(scored, P.LABEL), (0.0, 1.0))
 
@@ -252,6 +265,35 @@ def cross_validation(kind: str, depths=tuning.DEPTHS) -> Query:
     return query
 
 
+def _exact_search(spark: SparkSession, sf: str):
+    return plans.search(_coarse(spark, sf), "dt", {}, depths=[1, 2])
+
+
+def cv_exact(spark, sf):
+    found, scored = _exact_search(spark, sf)
+    return _rounded(found.table(scored), 9, "avg_auc")
+
+
+def best_model_exact(spark, sf):
+    return models.model_summary(spark, _exact_search(spark, sf)[0].best_model)
+
+
+def score_tuned_exact(spark, sf):
+    return _exact_search(spark, sf)[1].select(P.KEY, "prediction", P.LABEL)
+
+
+def auc_tuned_exact(spark, sf):
+    scored = _exact_search(spark, sf)[1]
+    return _rounded(evaluate.auc_hard(evaluate.confusion_counts(scored, P.LABEL)), 9, "auc")
+
+
+def score_preview(spark, sf):
+    """The rows to show are taken first, so only those are scored."""
+    model, _ = _stump(spark, sf)
+    _, test = plans.train_test(_coarse(spark, sf))
+    return _spread(models.score(model, columns.preview(test, 25, P.KEY)), P.KEY, "prediction", P.LABEL)
+
+
 def best_model_summary(spark, sf):
     return models.model_summary(spark, _search(spark, sf, "dt")[0].best_model)
 
@@ -267,9 +309,9 @@ def auc_tuned(spark, sf):
 # -----------------------------------------------------------------------------
 
 
-def entry(spark: SparkSession) -> DataFrame:
+def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """Encode, split, train one exact split, score, count: the confusion matrix."""
-    return confusion_matrix(spark, "/root/testdata/sf0.001")
+    return confusion_matrix(spark, sf_dir)
 
 
 def _corpus_queries() -> dict[str, Query]:
@@ -317,7 +359,7 @@ def queries() -> dict[str, Query]:
         "assemble_features": assemble_features,
         "assemble_nominal": assemble_nominal,
         "score_select": score_select,
-        "score_preview": lambda s, d: columns.preview(score_select(s, d), 25, P.KEY),
+        "score_preview": score_preview,
         "predictions_labels": predictions_labels,
         "tree_rules": tree_rules,
         "confusion_matrix": confusion_matrix,
@@ -330,8 +372,15 @@ def queries() -> dict[str, Query]:
         "auc_score": auc_score,
         "dt_depth2": _report("dt", models.SHALLOW, "none", P.NOMINAL),
         "dt_depth2_balanced": _report("dt", models.SHALLOW, "before_split", P.NOMINAL),
-        "dt_depth2_exact": _depth2_exact("none"),
-        "dt_depth2_balanced_exact": _depth2_exact("before_split"),
+        **{
+            f"{kind}_{name}": _exact(kind, balance)
+            for kind, names in (
+                ("dt", ("depth2_exact", "depth2_balanced_exact")),
+                ("rf", ("exact", "balanced_exact")),
+                ("gbt", ("exact", "balanced_exact")),
+            )
+            for name, balance in zip(names, ("none", "before_split"))
+        },
         "rf_depth2": _report("rf", models.SHALLOW, "none"),
         "rf_depth2_balanced": _report("rf", models.SHALLOW, "before_split"),
         "gbt_iter3": _report("gbt", models.SHALLOW, "none"),
@@ -342,6 +391,10 @@ def queries() -> dict[str, Query]:
         "cv_dt": cross_validation("dt"),
         "cv_rf": cross_validation("rf"),
         "cv_gbt": cross_validation("gbt"),
+        "cv_exact": cv_exact,
+        "best_model_exact": best_model_exact,
+        "score_tuned_exact": score_tuned_exact,
+        "auc_tuned_exact": auc_tuned_exact,
         "best_model_summary": best_model_summary,
         "score_tuned": score_tuned,
         "auc_tuned": auc_tuned,

@@ -44,6 +44,19 @@ def encode_campaign(df: DataFrame, *, strict: bool = True) -> DataFrame:
     )
 
 
+def grouped(df: DataFrame, groups: Mapping[str, tuple[int, int]], most: int) -> DataFrame:
+    """Replace numbers by the number of their group of equal width, the last one open.
+
+    With as many groups as a tree has bins, every boundary between values is a candidate.
+    """
+    return df.withColumns(
+        {
+            name: F.least(F.floor((F.col(name) - start) / width), F.lit(most - 1)).cast("int")
+            for name, (start, width) in groups.items()
+        }
+    )
+
+
 def numeric_columns(df: DataFrame, *, widen: bool = False) -> list[str]:
     """Names of the ``int`` and ``double`` columns; of all numeric ones if ``widen``."""
     kinds = (T.NumericType,) if widen else (T.IntegerType, T.DoubleType)

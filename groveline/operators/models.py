@@ -33,8 +33,8 @@ SHALLOW = {
 }
 DEFAULT = {"dt": {}, "rf": {"numTrees": 10}, "gbt": {"maxIter": 10}}
 
-# One split, with a candidate threshold between any two values met.
-STUMP = {"maxDepth": 1, "maxBins": 8192}
+# One split.
+STUMP = {"maxDepth": 1, "maxBins": 32}
 
 SEED = 42
 

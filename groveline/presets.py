@@ -27,6 +27,9 @@ CAMPAIGN_COLUMNS = [
     "day", "month", "duration", "campaign", "pdays", "previous", "poutcome", LABEL,
 ]
 NOMINAL = {"housing": YES_NO, "loan": YES_NO}
+# Group start and width of the columns with many values: at most 32 groups each.
+GROUPS = {"age": (18, 3), "balance": (0, 180), "duration": (0, 50), "pdays": (-1, 13)}
+MOST_GROUPS = 32
 
 KEY = "row_id"
 

@@ -79,9 +79,19 @@ def _uniform(salt: str) -> str:
 _IS_TRAIN = f"{_uniform('split:')} < 0.8::DOUBLE"
 _VECTOR = ", ".join(f"CAST({_q(c)} AS DOUBLE) AS f{i}" for i, c in enumerate(FEATURES))
 
+def _coarse() -> str:
+    shown = ", ".join(
+        f"CAST(least(floor(({_q(c)} - ({P.GROUPS[c][0]})) / {P.GROUPS[c][1]}.0::DOUBLE), {P.MOST_GROUPS - 1}) AS INT)"
+        f" AS {_q(c)}"
+        for c in P.GROUPS
+    )
+    return f"SELECT * REPLACE ({shown}) FROM encoded"
+
+
 CTES = {
     "campaign": _campaign(),
     "encoded": _encoded(),
+    "coarse": _coarse(),
     "fractions": (
         "SELECT deposit AS class, min(count(*)) OVER () / count(*)::DOUBLE AS fraction"
         " FROM encoded GROUP BY deposit"
@@ -90,6 +100,7 @@ CTES = {
         "SELECT encoded.* FROM encoded JOIN fractions ON deposit = class"
         f" WHERE {_uniform('strat:')} < fraction"
     ),
+    "coarse_balanced": "SELECT * FROM coarse WHERE row_id IN (SELECT row_id FROM balanced)",
 }
 
 
@@ -210,7 +221,7 @@ def _value_of(best: str) -> str:
     )
 
 
-def _stump(table: str = "encoded", tag: str = "s") -> dict[str, str]:
+def _stump(table: str = "coarse", tag: str = "s") -> dict[str, str]:
     """Train on the split of ``table`` and score its test rows, one split deep."""
     best = f"{tag}1_best"
     return {
@@ -250,6 +261,120 @@ def _depth2(table: str) -> dict[str, str]:
     }
 
 
+def _boosted(table: str) -> dict[str, str]:
+    """Two rounds of boosted stumps with log loss: step 1 for the first, 0.1 for the second."""
+
+    def search(tag: str, rows: str) -> dict[str, str]:
+        values = " UNION ALL ".join(
+            f"SELECT {i} AS f, {_q(c)}::DOUBLE AS v, r FROM {rows}" for i, c in enumerate(FEATURES)
+        )
+
+        def spread(n: str, s: str, q: str) -> str:
+            return f"(({q}) - ({s}) * ({s}) / ({n})) / ({n})"
+
+        return {
+            f"{tag}_hist": (
+                f"SELECT f, v, count(*)::DOUBLE AS n, sum(r) AS s, sum(r * r) AS q FROM ({values}) GROUP BY ALL"
+            ),
+            f"{tag}_sums": (
+                "SELECT f, v, lead(v) OVER w AS nv, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(q) OVER w AS ql,"
+                " sum(n) OVER (PARTITION BY f) AS nt, sum(s) OVER (PARTITION BY f) AS st,"
+                " sum(q) OVER (PARTITION BY f) AS qt"
+                f" FROM {tag}_hist WINDOW w AS (PARTITION BY f ORDER BY v)"
+            ),
+            f"{tag}_best": (
+                "SELECT f, (v + nv) / 2 AS thr, sl / nl AS low, (st - sl) / (nt - nl) AS high,"
+                f" {spread('nt', 'st', 'qt')} - nl / nt * {spread('nl', 'sl', 'ql')}"
+                f" - (nt - nl) / nt * {spread('nt - nl', 'st - sl', 'qt - ql')} AS gain"
+                f" FROM {tag}_sums WHERE nv IS NOT NULL ORDER BY gain DESC, f, thr LIMIT 1"
+            ),
+        }
+
+    def leaf(tag: str) -> str:
+        return f"CASE WHEN {_value_of(f'{tag}_best')} <= {tag}_best.thr THEN {tag}_best.low ELSE {tag}_best.high END"
+
+    y = "(2 * deposit - 1)"
+    return {
+        "g1_rows": f"SELECT *, {y} AS r FROM {table} WHERE {_IS_TRAIN}",
+        **search("g1", "g1_rows"),
+        "g2_rows": (
+            f"SELECT g1_rows.* REPLACE (4 * {y} / (1 + exp(2 * {y} * ({leaf('g1')}))) AS r) FROM g1_rows, g1_best"
+        ),
+        **search("g2", "g2_rows"),
+        "g_counts": (
+            f"SELECT deposit AS label, CASE WHEN {leaf('g1')} + 0.1::DOUBLE * ({leaf('g2')}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE"
+            f" AS prediction, count(*) AS n FROM (SELECT * FROM {table} WHERE NOT ({_IS_TRAIN})), g1_best, g2_best"
+            " GROUP BY ALL"
+        ),
+    }
+
+
+def _two_levels(tag: str, rows: str, tests: str) -> dict[str, str]:
+    """Trees one and two splits deep, one of each for every ``node`` of ``rows`` (node, ...).
+
+    ``tests`` (node, ...) gets their predictions as p1 and p2.
+    """
+    side = f"CASE WHEN {_value_of('b')} <= b.thr THEN 0 ELSE 1 END"
+    deeper = f"CASE WHEN {_value_of('c')} <= c.thr THEN c.low_yes ELSE c.high_yes END"
+    return {
+        **_split_search(f"{tag}1", rows),
+        f"{tag}_second": f"SELECT r.* REPLACE (r.node * 2 + {side} AS node) FROM {rows} r JOIN {tag}1_best b USING (node)",
+        **_split_search(f"{tag}2", f"{tag}_second"),
+        f"{tag}_majority": f"SELECT node, avg(deposit) > 0.5 AS yes FROM {tag}_second GROUP BY node",
+        f"{tag}_sided": (
+            f"SELECT t.*, t.node * 2 + {side} AS leaf, CASE WHEN {side} = 0 THEN low_yes ELSE high_yes END AS p1"
+            f" FROM {tests} t JOIN {tag}1_best b USING (node)"
+        ),
+        f"{tag}_tested": (
+            f"SELECT s.*, CASE WHEN c.f IS NULL THEN m.yes ELSE {deeper} END AS p2"
+            f" FROM {tag}_sided s JOIN {tag}_majority m ON m.node = s.leaf"
+            f" LEFT JOIN {tag}2_best c ON c.node = s.leaf"
+        ),
+    }
+
+
+def _depth_search() -> dict[str, str]:
+    """Three folds, depths 1 and 2; the better depth is fitted again on all training rows."""
+    area = (
+        "(count(*) FILTER (WHERE deposit = 1 AND p) / count(*) FILTER (WHERE deposit = 1)::DOUBLE"
+        " + count(*) FILTER (WHERE deposit = 0 AND NOT p) / count(*) FILTER (WHERE deposit = 0)::DOUBLE) / 2"
+    )
+    folds = "(VALUES (0), (1), (2)) k(node)"
+    return {
+        "c_train": (
+            f"SELECT *, ({_hash('fold:')} % 3)::INT AS fold FROM coarse_balanced WHERE {_IS_TRAIN}"
+        ),
+        "c_rows": f"SELECT k.node, c_train.* FROM c_train, {folds} WHERE fold <> k.node",
+        "c_held": "SELECT fold AS node, * FROM c_train",
+        **_two_levels("c", "c_rows", "c_held"),
+        "c_area": " UNION ALL ".join(
+            f"SELECT {d} AS depth, node, {area.replace(' p)', f' p{d})')} AS area".replace("NOT p)", f"NOT p{d})")
+            + " FROM c_tested GROUP BY node"
+            for d in (1, 2)
+        ),
+        "c_average": "SELECT depth, avg(area) AS area FROM c_area GROUP BY depth",
+        "c_chosen": "SELECT depth AS best FROM c_average ORDER BY area DESC, depth LIMIT 1",
+        "f_rows": "SELECT 0 AS node, * FROM c_train",
+        "f_test": f"SELECT 0 AS node, * FROM coarse_balanced WHERE NOT ({_IS_TRAIN})",
+        **_two_levels("f", "f_rows", "f_test"),
+        "f_scored": (
+            "SELECT row_id, deposit, CASE WHEN CASE best WHEN 1 THEN p1 ELSE p2 END THEN 1.0 ELSE 0.0 END::DOUBLE"
+            " AS prediction FROM f_tested, c_chosen"
+        ),
+        "f_counts": "SELECT deposit AS label, prediction, count(*) AS n FROM f_scored GROUP BY ALL",
+        # leaves of one parent that agree are one leaf
+        "f_sides": (
+            "SELECT m.node, CASE WHEN c.f IS NULL OR c.low_yes = c.high_yes THEN 1 ELSE 3 END AS nodes,"
+            " coalesce(c.low_yes, m.yes) AS yes FROM f_majority m LEFT JOIN f2_best c USING (node)"
+        ),
+        "f_size": (
+            "SELECT CASE WHEN best = 1 THEN (SELECT CASE WHEN low_yes = high_yes THEN 1 ELSE 3 END FROM f1_best)"
+            " ELSE (SELECT CASE WHEN sum(nodes) = 2 AND count(DISTINCT yes) = 1 THEN 1 ELSE 1 + sum(nodes) END"
+            " FROM f_sides) END AS nodes FROM c_chosen"
+        ),
+    }
+
+
 def _matrix(counts: str) -> str:
     return (
         "SELECT label, prediction, coalesce(n, 0) AS n FROM (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) a(label)"
@@ -318,7 +443,7 @@ def _schema_profile() -> str:
 
 def oracle_sql() -> dict[str, str]:
     labels = _per_label("s")
-    both = {**_stump("encoded", "s"), **_stump("balanced", "b"), **labels, **_per_label("b")}
+    both = {**_stump("coarse", "s"), **_stump("coarse_balanced", "b"), **labels, **_per_label("b")}
     encoders = {
         "job": ["job"], "marital": ["marital"], "education": ["education"],
         "binary": ["housing", "loan", "deposit"], "contact": ["contact"], "month": ["month"],
@@ -335,8 +460,9 @@ def oracle_sql() -> dict[str, str]:
     rank = (
         "SELECT deposit AS y, avg(place) OVER (PARTITION BY duration) AS r FROM"
         " (SELECT deposit, duration, row_number() OVER (ORDER BY duration)::DOUBLE AS place"
-        f" FROM encoded WHERE NOT ({_IS_TRAIN}))"
+        f" FROM coarse WHERE NOT ({_IS_TRAIN}))"
     )
+    search = _depth_search()
     return {
         "scan_csv": _with("SELECT * FROM campaign"),
         "scan_csv_inferred": _with("SELECT * FROM campaign"),
@@ -400,9 +526,27 @@ def oracle_sql() -> dict[str, str]:
             _stump(),
         ),
         "confusion_matrix": _with(_matrix("s_counts"), _stump()),
-        "confusion_matrix_balanced": _with(_matrix("b_counts"), _stump("balanced", "b")),
-        "dt_depth2_exact": _with(_matrix("d2_counts"), _depth2("encoded")),
-        "dt_depth2_balanced_exact": _with(_matrix("d2_counts"), _depth2("balanced")),
+        "confusion_matrix_balanced": _with(_matrix("b_counts"), _stump("coarse_balanced", "b")),
+        # trees of a forest that draws nothing are all the one tree
+        **{f"{m}_exact": _with(_matrix("d2_counts"), _depth2("coarse")) for m in ("dt_depth2", "rf")},
+        **{
+            f"{m}_balanced_exact": _with(_matrix("d2_counts"), _depth2("coarse_balanced"))
+            for m in ("dt_depth2", "rf")
+        },
+        "gbt_exact": _with(_matrix("g_counts"), _boosted("coarse")),
+        "gbt_balanced_exact": _with(_matrix("g_counts"), _boosted("coarse_balanced")),
+        "cv_exact": _with(
+            "SELECT depth AS max_depth, round(area, 9) AS avg_auc, depth = best AS chosen"
+            " FROM c_average, c_chosen",
+            search,
+        ),
+        "best_model_exact": _with(
+            "SELECT (CASE WHEN nodes = 1 THEN 0 WHEN nodes = 3 THEN 1 ELSE 2 END)::INT AS depth,"
+            f" nodes::INT AS num_nodes, 1 AS num_trees, {len(FEATURES)} AS num_features FROM f_size",
+            search,
+        ),
+        "score_tuned_exact": _with("SELECT row_id, prediction, deposit FROM f_scored", search),
+        "auc_tuned_exact": _with(f"SELECT round({auc}, 9) AS auc FROM f_counts", search),
         "precision_by_label": _with(
             "SELECT label, precision FROM s_labels", {**_stump(), **labels}
         ),
