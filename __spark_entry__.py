@@ -24,6 +24,7 @@ from groveline.operators import (  # noqa: E402
     evaluate,
     features,
     models,
+    persist,
     profile,
     sampling,
     tuning,
@@ -108,6 +109,18 @@ def numeric_columns(spark, sf):
     return columns.select_numeric(spark.read.parquet(f"{sf}/lineitem.parquet"))
 
 
+def materialised_encode(spark, sf):
+    """The encoded table, written to the shared folder once and read from there."""
+    with persist.materialised(_encoded(spark, sf), "checkpoint") as kept:
+        return kept
+
+
+def bounded_collect(spark, sf):
+    """Rows per class, brought to the driver within a limit."""
+    local = columns.to_local(profile.class_counts(campaign(spark, sf), P.LABEL), 100)
+    return spark.createDataFrame(local, f"{P.LABEL} string, n bigint")
+
+
 # --- profiles ----------------------------------------------------------------
 
 
@@ -335,6 +348,8 @@ def queries() -> dict[str, Query]:
         "drop_column": lambda s, d: columns.drop_column(campaign(s, d), P.UNUSED),
         "encode_all": _encoded,
         **{f"encode_{name}": _encoder(names) for name, names in _ENCODERS.items()},
+        "materialised_encode": materialised_encode,
+        "bounded_collect": bounded_collect,
         "numeric_columns": numeric_columns,
         "preview": lambda s, d: columns.preview(campaign(s, d), 5, P.KEY),
         "class_counts": lambda s, d: profile.class_counts(campaign(s, d), P.LABEL),

@@ -18,14 +18,17 @@ def materialised(df: DataFrame, how: str = "cache") -> Iterator[DataFrame]:
     ``cache`` holds it in executor memory, spilling to disk; blocks lost with an
     executor are recomputed from the source. ``checkpoint`` writes it once to the
     shared checkpoint folder and forgets the lineage: for a table that is costly
-    to recompute and read many times.
+    to recompute and read many times. ``none`` hands the table on as it is.
     """
+    if how == "none":
+        yield df
+        return
     if how == "checkpoint":
         shared_dir(df.sparkSession)
         yield df.checkpoint(eager=True)
         return
     if how != "cache":
-        raise ValueError("how must be 'cache' or 'checkpoint'")
+        raise ValueError("how must be 'none', 'cache' or 'checkpoint'")
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield kept

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from groveline import presets as P
 from groveline.operators import evaluate, features, models, sampling, tuning
+from groveline.operators.persist import materialised
 
 
 def balanced(encoded: DataFrame, label: str = P.LABEL, key: str = P.KEY) -> DataFrame:
@@ -61,12 +62,19 @@ def train_and_score(
     balance: str = "none",
     nominal: Mapping[str, list[str]] | None = None,
     seed: int = models.SEED,
+    keep: str = "none",
 ):
-    """Split, fit on the larger part, score the smaller. Gives (model, scored test rows)."""
-    train, test = train_test(encoded, balance)
-    model = models.fit(
-        training_rows(train, nominal=nominal), kind, P.LABEL, P.FEATURES, seed=seed, params=params
-    )
+    """Split, fit on the larger part, score the smaller. Gives (model, scored test rows).
+
+    With ``keep`` the encoded table is kept while the model is fitted, so that class
+    counts, layout and fit read the source once: ``cache`` lets go of it afterwards and
+    the scored rows come from the source again, ``checkpoint`` serves those too.
+    """
+    with materialised(encoded, keep) as table:
+        train, test = train_test(table, balance)
+        model = models.fit(
+            training_rows(train, nominal=nominal), kind, P.LABEL, P.FEATURES, seed=seed, params=params
+        )
     return model, models.score(model, test)
 
 
@@ -77,15 +85,17 @@ def compare(
     *,
     balances: tuple[str, ...] = ("none", "before_split"),
     nominal: Mapping[str, list[str]] | None = None,
+    keep: str = "none",
 ) -> DataFrame:
     """The metric report of one model trained on unbalanced and on balanced rows.
 
-    The scored tables are counted together, in one aggregate.
+    The scored tables are counted together, in one aggregate. ``keep`` as for
+    ``train_and_score``, for each fit; a checkpoint made before serves all of them.
     """
     names = {"none": "unbalanced", "before_split": "balanced", "train_only": "balanced_train"}
     counts = None
     for balance in balances:
-        _, scored = train_and_score(encoded, kind, params, balance=balance, nominal=nominal)
+        _, scored = train_and_score(encoded, kind, params, balance=balance, nominal=nominal, keep=keep)
         part = scored.select(
             F.lit(names[balance]).alias("dataset"), F.lit(kind).alias("model"), P.LABEL, "prediction"
         )
@@ -102,15 +112,21 @@ def search(
     balance: str = "before_split",
     depths: list[int] = tuning.DEPTHS,
     parallelism: int = 4,
+    keep: str = "none",
 ):
-    """Split, search the depth on the training part. Gives (search, scored test rows)."""
-    train, test = train_test(encoded, balance)
-    folded = sampling.with_fold(train, tuning.FOLDS, key=P.KEY)
-    rows = training_rows(folded, keep=("fold",))
-    if kind == "dt":
-        found = tuning.depth_path(rows, P.LABEL, P.FEATURES, depths=depths, **params)
-    else:
-        found = tuning.cross_validate(
-            rows, kind, P.LABEL, P.FEATURES, depths=depths, parallelism=parallelism, **params
-        )
+    """Split, search the depth on the training part. Gives (search, scored test rows).
+
+    ``keep`` as for ``train_and_score``. Memory for a training step is ``maxMemoryInMB``
+    among ``params``.
+    """
+    with materialised(encoded, keep) as table:
+        train, test = train_test(table, balance)
+        folded = sampling.with_fold(train, tuning.FOLDS, key=P.KEY)
+        rows = training_rows(folded, keep=("fold",))
+        if kind == "dt":
+            found = tuning.depth_path(rows, P.LABEL, P.FEATURES, depths=depths, **params)
+        else:
+            found = tuning.cross_validate(
+                rows, kind, P.LABEL, P.FEATURES, depths=depths, parallelism=parallelism, **params
+            )
     return found, models.score(found.best_model, test)

@@ -475,6 +475,8 @@ def oracle_sql() -> dict[str, str]:
             )
             for name, columns in encoders.items()
         },
+        "materialised_encode": _with("SELECT * FROM encoded"),
+        "bounded_collect": _with("SELECT deposit, count(*) AS n FROM campaign GROUP BY deposit"),
         "numeric_columns": (
             "SELECT l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem"
         ),

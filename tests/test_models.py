@@ -125,3 +125,24 @@ def test_compare_reports_both_datasets(encoded):
     rows = report.collect()
     assert {r.dataset for r in rows} == {"unbalanced", "balanced_train"}
     assert len(rows) == 2 * 11 and all(0 <= r.value <= 1 for r in rows)
+
+
+@pytest.mark.parametrize("keep,most", [("none", 99), ("cache", 1), ("checkpoint", 1)])
+def test_keep_reads_the_source_once(spark, encoded, keep, most):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    source = encoded.mapInPandas(counted, encoded.schema)
+    n = encoded.count()
+    before = read.value
+    _, scored = plans.train_and_score(
+        source, "dt", models.STUMP, balance="before_split", keep=keep
+    )
+    times = (read.value - before) / n
+    assert (times <= most) and (times >= 1)
+    assert keep != "none" or times > 1
+    assert scored.count() > 0
