@@ -18,7 +18,7 @@ from groveline import presets as P
 from groveline.operators import columns, evaluate, models, profile
 from groveline.plans import campaign as plans
 from groveline.sources.campaign import campaign
-from groveline.sources.scratch import fresh_path
+from groveline.sources.scratch import fresh_path, remove
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -107,6 +107,7 @@ def main() -> None:
             }
         )
     )
+    remove(spark, stored)
     spark.stop()
 
 

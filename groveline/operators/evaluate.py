@@ -12,6 +12,8 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groveline.operators.persist import materialised
+
 _MAX_CLASSES = 10_000
 
 
@@ -174,8 +176,12 @@ def auc_hard(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def auc_score(scored: DataFrame, label: str, score: str = "rawPrediction") -> float:
-    """Area under the ROC curve of a real-valued or raw score, with no thinning of the curve."""
+    """Area under the ROC curve of a real-valued or raw score, with no thinning of the curve.
+
+    The sort reads its input twice, so labels and scores are kept meanwhile.
+    """
     evaluator = BinaryClassificationEvaluator(
         labelCol=label, rawPredictionCol=score, metricName="areaUnderROC", numBins=0
     )
-    return evaluator.evaluate(scored)
+    with materialised(scored.select(label, score)) as kept:
+        return evaluator.evaluate(kept)

@@ -39,6 +39,15 @@ def shared_dir(spark: SparkSession, *, required: bool = True) -> str | None:
     return fresh
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder under the shared folder, on whatever store that is."""
+    if not path.startswith(f"{shared_dir(spark)}/"):
+        raise ValueError(f"{path} is not in the shared folder")
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing has written to yet."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

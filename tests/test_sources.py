@@ -57,6 +57,16 @@ def test_shared_dir_is_the_named_one(spark):
     assert scratch.fresh_path(spark, "a") != scratch.fresh_path(spark, "a")
 
 
+def test_remove_takes_only_what_is_in_the_shared_folder(spark, tmp_path):
+    path = scratch.fresh_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    scratch.remove(spark, path)
+    with pytest.raises(PySparkException):
+        spark.read.parquet(path)
+    with pytest.raises(ValueError):
+        scratch.remove(spark, str(tmp_path))
+
+
 def test_materialised(raw):
     with materialised(raw.select(P.KEY)) as kept:
         assert kept.is_cached and kept.count() == raw.count()
