@@ -191,6 +191,9 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     columns travel in a struct under a name of their own and are not read.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    judged = quality(packed, rules, key="row")
-    return judged.where("kept").select([F.col("doc_id").getField(c).alias(c) for c in docs.columns])
+    # a filter would be moved below the features and compute each of them once per use;
+    # it is not moved past a column that must not be computed twice
+    judged = quality(packed, rules, key="row").withColumn("at", F.monotonically_increasing_id())
+    good = judged.where(F.col("kept") & (F.col("at") >= 0))
+    return good.select([F.col("doc_id").getField(c).alias(c) for c in docs.columns])
 
