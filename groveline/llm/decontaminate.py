@@ -154,8 +154,10 @@ def contaminated(
     known = kept_table(places.select("g").distinct(), "known-shingles")
     if known.count() <= _BROADCAST_ROWS:
         known = F.broadcast(known)
+    # the outer form, since Spark puts a filter of its own before the inner one and computes
+    # the shingles for both; the row that it adds for an empty text joins nothing
     positions = _with_shingles(body, "text", "doc_id", "d", "h").select(
-        "doc_id", "d", "h", F.size("g").alias("most"), F.posexplode("g").alias("at", "g")
+        "doc_id", "d", "h", F.size("g").alias("most"), F.posexplode_outer("g").alias("at", "g")
     )
     hits = kept_table(positions.join(known, "g", "left_semi"), "shared-shingles")
 
