@@ -20,6 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _MAGIC = b"\x1f\x8b\x08"
 _GZIP = 31
 _STEP = 1 << 20
+_PIECE = 1 << 16
 _LONGEST_HEADER = 1 << 20
 # Names that the archive format lays down.
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -106,7 +107,8 @@ class _Source:
         return bool(found)
 
     def drop(self, to: int) -> None:
-        if to > self.start:
+        # not for every record, which would copy what is held for each
+        if to - self.start >= _STEP:
             self.data, self.start = self.data[to - self.start :], to
 
 
@@ -125,7 +127,7 @@ def _member(source: _Source, at: int) -> tuple[dict[str, str], bytes, int] | Non
     """(fields, block, end) of the record that starts at ``at``, None if none does."""
     unpacker, parts, n, fields, fed = zlib.decompressobj(_GZIP), [], 0, None, at
     while not unpacker.eof:
-        piece = source.data[fed - source.start : fed - source.start + _STEP]
+        piece = source.data[fed - source.start : fed - source.start + _PIECE]
         if not piece:
             if source.more():
                 continue
@@ -170,7 +172,7 @@ def records_of(path: str, start: int, stop: int) -> Iterator[tuple[int, dict[str
         at = start
         while at < stop:
             source.drop(at)
-            place = source.data.find(_MAGIC)
+            place = source.data.find(_MAGIC, at - source.start)
             if place < 0:
                 # the magic may be cut by the end of what has been read
                 at = max(at, source.start + len(source.data) - len(_MAGIC) + 1)
