@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from groveline.sources.scratch import fresh_path
 
-# The ASCII blanks between words, and a word.
-BLANKS = r"[\x20\x09-\x0D]+"
+# A word, between ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
