@@ -97,8 +97,10 @@ def test_close_pairs_equal_all_pairs():
     assert got == want
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components_equal_plain_union(spark, seed):
+@pytest.mark.parametrize("seed, hot", [(0, 1000), (1, 10), (2, 1)])
+def test_components_equal_plain_union(spark, monkeypatch, seed, hot):
+    """With all nodes hot, a few, and none."""
+    monkeypatch.setattr(components, "_MOST_HOT", hot)
     draw = random.Random(seed)
     n = 120
     edges = [(draw.randrange(n), draw.randrange(n)) for _ in range(70)] + [(i, i + 1) for i in range(200, 240)]
@@ -111,5 +113,19 @@ def test_components_equal_plain_union(spark, seed):
     assert sorted((r["node"], r["root"]) for r in found) == want
 
 
+def test_ends_of_hot_nodes_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(components, "_MOST_HOT", 10)
+    rows = [(1, i) for i in range(300)] + [(u, 2 * u) for u in range(2, 702)]
+    ends = spark.createDataFrame(rows, "u bigint, v bigint")
+    least = ends.selectExpr("u", "v").groupBy("u").agg({"v": "min", "*": "count"}).toDF("u", "m", "n")
+    joined = components.with_least(ends, least, 1000)
+    want = [(1, i, 0) for i in range(300)] + [(u, 2 * u, 2 * u) for u in range(2, 702)]
+    assert sorted(tuple(r) for r in joined.select("u", "v", "m").collect()) == sorted(want)
+    # no shuffle between the ends of node 1 and the result: each input partition keeps its part
+    whole = components.with_least(ends.where("u = 1").repartition(4, "v"), least, 1000)
+    held = whole.rdd.glom().map(len).collect()
+    assert sum(held) == 300 and max(held) < 150
+
+
 def test_components_of_no_edges(spark):
     assert components.components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
