@@ -151,7 +151,9 @@ def contaminated(
     items = kept_table(simhash(item_counts, ["item", "size"]), "item-fingerprints")
 
     # where texts share a shingle with the benchmark: the one pass over all texts
-    known = kept_table(places.select("g").distinct(), "known-shingles")
+    # copies of an item ask for the same windows
+    layouts = kept_table(places.select("g", "size", "place").distinct(), "shingle-layouts")
+    known = kept_table(layouts.select("g").distinct(), "known-shingles")
     if known.count() <= _BROADCAST_ROWS:
         known = F.broadcast(known)
     # the outer form, since Spark puts a filter of its own before the inner one and computes
@@ -165,7 +167,7 @@ def contaminated(
     first = F.greatest(F.col("at") - F.col("place"), F.lit(0))
     last = F.least(F.col("at") - F.col("place") + F.col("size"), F.col("most"))
     windows = kept_table(
-        hits.join(places, "g")
+        hits.join(layouts, "g")
         .select("doc_id", "d", "h", "size", first.alias("start"), last.alias("stop"))
         .distinct(),
         "windows",
