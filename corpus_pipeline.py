@@ -16,7 +16,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take boilerplate lines out of the texts; ``n_chars`` follows the text."""
-    cut = lines.drop_boilerplate(docs).drop(lines.ADDED)
+    cut = lines.drop_boilerplate(docs, copies_once=True).drop(lines.ADDED)
     if "n_chars" not in docs.columns:
         return cut
     n_chars = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groveline.llm import kernels, simhash
 from groveline.llm.columns import kept_table
+from groveline.llm.components import components
 
 RATIO = 0.08
 MIN_PAGES = 3
@@ -23,6 +25,36 @@ def _is_blank(line: Column) -> Column:
     return F.btrim(line, F.lit(_BLANKS)) == ""
 
 
+def _counts(docs: DataFrame, host: str, text: str, once: bool) -> tuple[DataFrame, DataFrame]:
+    """(host, line, n) and (host, pages): the pages with a line, and all pages of a host."""
+    ids = F.array_distinct(
+        F.transform(F.filter(F.split("text", "\n"), lambda x: ~_is_blank(x)), _line_id)
+    )
+    pages = docs.select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text")).where(
+        F.col("host").isNotNull()
+    )
+    one = F.count(F.lit(1))
+    # partial counts per task come first, so neither a hot line nor a hot host meets in one task
+    if not once:
+        on = pages.select("host", F.explode(ids).alias("line")).groupBy("host", "line").agg(one.alias("n"))
+        return on, pages.groupBy("host").agg(one.alias("pages"))
+
+    fp = F.pandas_udf(kernels.fingerprints, "long")("text").alias("fp")
+    bodies = kept_table(pages.select("host", fp, ids.alias("lines")), "page-lines")
+    tied = kept_table(
+        components(simhash.links(bodies.select("fp").distinct())).withColumnRenamed("node", "fp"),
+        "copies",
+    )
+
+    def of_groups(rows: DataFrame, by: list[str], n: str) -> DataFrame:
+        # distinct before the join, so a hot group of copies is a few rows there
+        named = rows.distinct().join(tied, "fp", "left").select(*by, F.coalesce("root", "fp").alias("root"))
+        return named.distinct().groupBy(*by).agg(one.alias(n))
+
+    on = of_groups(bodies.select("host", "fp", F.explode("lines").alias("line")), ["host", "line"], "n")
+    return on, of_groups(bodies.select("host", "fp"), ["host"], "pages")
+
+
 def boilerplate(
     docs: DataFrame,
     *,
@@ -30,23 +62,14 @@ def boilerplate(
     text: str = "text",
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
+    copies_once: bool = False,
 ) -> DataFrame:
     """(host, lines): ids of the lines on more than ``ratio`` of a host's pages.
 
     A host has few of them, at most the mean number of lines of its pages over ``ratio``,
     so its array is bounded by the pages, not by their number.
     """
-    pages = docs.select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text")).where(
-        F.col("host").isNotNull()
-    )
-    ids = F.array_distinct(
-        F.transform(F.filter(F.split("text", "\n"), lambda x: ~_is_blank(x)), _line_id)
-    )
-    # partial counts per task come first, so neither a hot line nor a hot host meets in one task
-    on = pages.select("host", F.explode(ids).alias("line")).groupBy("host", "line").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    on, totals = _counts(docs, host, text, copies_once)
     frequent = on.where(F.col("n") >= min_pages).join(totals, "host")
     return (
         frequent.where(F.col("n") > F.lit(ratio) * F.col("pages"))
@@ -62,19 +85,26 @@ def drop_boilerplate(
     text: str = "text",
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
+    copies_once: bool = False,
 ) -> DataFrame:
     """All rows and columns, ``text`` without its site's boilerplate lines.
 
     ``boilerplate_lines``, the number of lines taken out, is added, in place of any column
     of that name.
 
-    A page is a row, so repeated rows are repeated pages. A line counts once per page,
+    A page is a row, so repeated rows are repeated pages, unless ``copies_once``: then exact
+    and near copies (those that near-dedup puts into one component) are one page of a host,
+    with the lines of all of them, so that no group of copies makes boilerplate of its own
+    text. A line counts once per page,
     blanks around it do not matter, and blank lines always stay. Pages without a host
     belong to no site: nothing is taken from them. A null text stays null, a text may
     become empty. An empty table gives no row.
     """
     found = kept_table(
-        boilerplate(docs, host=host, text=text, ratio=ratio, min_pages=min_pages), "boilerplate"
+        boilerplate(
+            docs, host=host, text=text, ratio=ratio, min_pages=min_pages, copies_once=copies_once
+        ),
+        "boilerplate",
     ).select(F.col("host").alias("__line_dedup_host"), F.col("lines").alias("__line_dedup_lines"))
     joined = docs.join(found, docs[f"`{host}`"] == found["__line_dedup_host"], "left")
     split = joined.withColumn("__line_dedup_split", F.split(F.col(f"`{text}`"), "\n"))

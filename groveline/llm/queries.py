@@ -66,7 +66,8 @@ def op6_sharding(spark, sf):
 
 
 def op7_line_dedup(spark, sf):
-    return lines.drop_boilerplate(_documents(spark, sf)).select("doc_id", "text", lines.ADDED)
+    cut = lines.drop_boilerplate(_documents(spark, sf), copies_once=True)
+    return cut.select("doc_id", "text", lines.ADDED)
 
 
 def op8_warc(spark, sf):

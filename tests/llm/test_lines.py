@@ -50,3 +50,34 @@ def test_column_of_the_added_name_is_replaced(edge, empty):
     found = lines.drop_boilerplate(edge.withColumn(lines.ADDED, F.lit("mine")))
     assert found.columns.count(lines.ADDED) == 1 and isinstance(found.first()[lines.ADDED], int)
     assert lines.drop_boilerplate(empty).collect() == []
+
+
+def test_a_hot_group_of_copies_keeps_its_text(spark, tmp_path):
+    import random
+
+    import corpus_pipeline
+    from groveline.llm import queries
+
+    draw = random.Random(7)
+
+    def prose(n):
+        return " ".join("".join(draw.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+
+    clean = [prose(150) for _ in range(4)]
+    near = [prose(200) for _ in range(3)]
+    texts = ["\n".join(["menu line", *clean])] * 20
+    for k in range(20):  # near copies: one word of one line differs
+        changed = near[k % 3].rsplit(" ", 1)[0] + f" other{k}"
+        texts.append("\n".join(["menu line", *near[: k % 3], changed, *near[k % 3 + 1 :]]))
+    texts += [f"menu line\n{prose(80)}" for _ in range(30)]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "h", len(t)) for i, t in enumerate(texts)],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    )
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = [t.removeprefix("menu line\n") for t in texts]
+    got = {r["doc_id"]: r["text"] for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    cut = corpus_pipeline.line_dedup(spark, docs, str(tmp_path))
+    left = {r["text"] for r in corpus_pipeline.near_dedup(spark, cut, str(tmp_path)).collect()}
+    assert want[0] in left and left & set(want[20:40]) and set(want[40:]) <= left and "" not in left
