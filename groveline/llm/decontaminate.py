@@ -1,10 +1,10 @@
-"""Benchmark decontamination: SimHash of item-sized windows, then exact similarity."""
+"""Benchmark decontamination: exact similarity of item-sized windows."""
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groveline.llm.columns import kept_table
@@ -113,17 +113,19 @@ def contaminated(
     item: str = "item_id",
     item_text: str = "text",
     similarity: float = SIMILARITY,
-    radius: int = RADIUS,
 ) -> DataFrame:
     """(doc_id, h, item_id, start_word, similarity): passages of benchmark items in texts.
 
-    Words are runs of letters and digits in lower case; shingles are five words. The
-    windows of a text have the size of an item and lie where the text shares a shingle
-    with an item of that size; elsewhere no window could reach the similarity. The
-    SimHash of each window asks a multi-index of the items' fingerprints for all items
-    of that size within ``radius`` bits. For those the similarity is computed exactly:
-    the sum of the smaller over the sum of the greater counts of each shingle. One row
-    per text and item, with the best window, if it reaches ``similarity``.
+    Words are runs of letters and digits in lower case; shingles are five words. Windows
+    have the size of an item and lie anywhere in the text; one laid where a shared shingle
+    would be as in the item may also reach over an end of the text, and is cut there. The
+    similarity is the sum of the smaller over the sum of the greater counts of each
+    shingle. One row per text and item, with the best window, if it reaches ``similarity``.
+
+    No window that reaches it is missed. It must hold that share of the item's shingles,
+    so it holds one of any set that outweighs the rest: texts and items meet in such a
+    set of the item's rarest. A window that starts at no shared shingle can move right
+    to the next one, or to the text's end, without loss.
 
     ``h`` is the text's hash, which with the key tells rows apart; rows that repeat both
     are one text, or one item. Items of fewer than five words have no shingle and match
@@ -141,19 +143,34 @@ def contaminated(
         F.struct(F.xxhash64(F.col(f"`{item}`")).alias("i"), F.xxhash64(F.col(f"`{item_text}`")).alias("t")).alias("item"),
         F.col(f"`{item_text}`").alias("item_text"),
     ).dropDuplicates(["item"])
-    shingled = _with_shingles(given, "item_text", "item").where(F.size("g") > 0)
-    # (item, size, place, g): every shingle of every item; an item's size is its number of shingles
+    # copies of an item are one content, c; an item's size is its number of shingles
+    content = F.struct(F.xxhash64("g").alias("a"), F.xxhash64(F.lit("item"), "g").alias("b"))
+    shingled = kept_table(
+        _with_shingles(given, "item_text", "item_id").where(F.size("g") > 0).select("item_id", content.alias("c"), "g"),
+        "items",
+    )
+    contents = shingled.select("c", "g").dropDuplicates(["c"])
+    # (c, size, g, places): where each content has each of its shingles
     places = kept_table(
-        shingled.select("item", F.size("g").alias("size"), F.posexplode("g").alias("place", "g")),
+        contents.select("c", F.size("g").alias("size"), F.posexplode("g").alias("place", "g"))
+        .groupBy("c", "size", "g")
+        .agg(F.collect_list("place").alias("places")),
         "item-shingles",
     )
-    item_counts = places.groupBy("item", "size", "g").agg(F.count(F.lit(1)).alias("n"))
-    items = kept_table(simhash(item_counts, ["item", "size"]), "item-fingerprints")
+    spread = kept_table(places.groupBy("g").agg(F.count(F.lit(1)).alias("n_items")), "known-shingles")
+    # the rarest shingles of a content that outweigh what a window may lack
+    rarest = Window.partitionBy("c").orderBy("n_items", "g").rowsBetween(Window.unboundedPreceding, -1)
+    lacking = (1 - similarity) * F.col("size") + 1e-9
+    asked = kept_table(
+        places.join(spread, "g")
+        .withColumn("before", F.coalesce(F.sum(F.size("places")).over(rarest), F.lit(0)))
+        .where(F.col("before") <= lacking)
+        .select("g", "c"),
+        "rarest-shingles",
+    )
 
     # where texts share a shingle with the benchmark: the one pass over all texts
-    # copies of an item ask for the same windows
-    layouts = kept_table(places.select("g", "size", "place").distinct(), "shingle-layouts")
-    known = kept_table(layouts.select("g").distinct(), "known-shingles")
+    known = spread.select("g")
     if known.count() <= _BROADCAST_ROWS:
         known = F.broadcast(known)
     # the outer form, since Spark puts a filter of its own before the inner one and computes
@@ -162,61 +179,64 @@ def contaminated(
         "doc_id", "d", "h", F.size("g").alias("most"), F.posexplode_outer("g").alias("at", "g")
     )
     hits = kept_table(positions.join(known, "g", "left_semi"), "shared-shingles")
-
-    # windows of the size of an item, laid so that the shared shingle is where the item has it
-    first = F.greatest(F.col("at") - F.col("place"), F.lit(0))
-    last = F.least(F.col("at") - F.col("place") + F.col("size"), F.col("most"))
-    windows = kept_table(
-        hits.join(layouts, "g")
-        .select("doc_id", "d", "h", "size", first.alias("start"), last.alias("stop"))
-        .distinct(),
-        "windows",
-    )
-    # the texts that have windows, and only those, are shingled again for what is in these;
     # repeated rows are one text
-    wanted = kept_table(
-        windows.groupBy("d", "h").agg(F.collect_list(F.struct("size", "start", "stop")).alias("asked")),
-        "texts-with-windows",
+    once = hits.select("d", "h", "most", "at", "g").distinct()
+    pairs = kept_table(hits.select("d", "h", "g").join(asked, "g").select("d", "h", "c").distinct(), "pairs")
+
+    # a window that starts in block b of a text, blocks having its size, ends in b + 1
+    block = F.floor(F.col("at") / F.col("size")).cast("int")
+    least = F.lit(similarity) * F.col("size") - 1e-9
+    group = ["d", "h", "c", "size", "most", "b"]
+    groups = (
+        once.join(pairs, ["d", "h"])
+        .join(places, ["c", "g"])
+        .withColumn("b", F.explode(F.array(block, block - 1)))
+        .where("b >= 0")
+        .groupBy(*group)
+        .agg(F.collect_list(F.struct("at", "g", "places")).alias("hits"))
+        .where(F.size("hits") >= least)
     )
-    texts = (
-        body.join(wanted, ["d", "h"])
-        .groupBy("d", "h")
-        .agg(F.first("text").alias("text"), F.first("asked").alias("asked"))
+
+    def window(start: Column) -> Column:
+        """The window of the item's size at ``start``, without what is out of the text."""
+        first, last = F.greatest(start, F.lit(0)), F.least(start + F.col("size"), F.col("most"))
+        return F.struct(first.alias("start"), last.alias("stop"))
+
+    def inside(w: Column) -> Column:
+        return F.filter("hits", lambda x: (x["at"] >= w["start"]) & (x["at"] < w["stop"]))
+
+    # at a shared shingle, or as far right as the text allows, and as the item has it
+    starts = F.flatten(
+        F.transform(
+            "hits",
+            lambda x: F.concat(
+                F.array(F.greatest(F.least(x["at"], F.col("most") - F.col("size")), F.lit(0))),
+                F.transform(x["places"], lambda p: x["at"] - p),
+            ),
+        )
     )
-    window = ["d", "h", "size", "start", "stop"]
-    contents = kept_table(
-        _with_shingles(texts, "text", "d", "h", "asked")
-        .select("d", "h", "g", F.inline("asked"))
-        .select(*window, F.explode(F.slice("g", F.col("start") + 1, F.col("stop") - F.col("start"))).alias("g"))
-        .groupBy(*window, "g")
-        .agg(F.count(F.lit(1)).alias("n")),
-        "window-shingles",
+    laid = F.filter(
+        F.array_distinct(F.transform(F.array_distinct(starts), window)),
+        lambda w: (F.floor(w["start"] / F.col("size")) == F.col("b")) & (F.size(inside(w)) >= least),
     )
-    prints = simhash(contents, window)
-    asked = prints.select(F.struct(*window).alias("w"), "size", "fp", "total")
-    pairs = near_items(asked, items, radius).select("w.*", "item")
-
     # exact: of each shingle the smaller count over the greater count, summed
-    totals = items.select("item", F.col("total").alias("item_total"))
-    window_totals = prints.select(*window, F.col("total").alias("window_total"))
     shared = (
-        pairs.join(contents, window)
-        .join(item_counts.select("item", "g", F.col("n").alias("item_n")), ["item", "g"])
-        .groupBy(*window, "item")
-        .agg(F.sum(F.least("n", "item_n")).alias("both"))
+        groups.select(*group, "hits", F.explode(laid).alias("w"))
+        .select(*group, "w.start", "w.stop", F.explode(inside(F.col("w"))).alias("x"))
+        .groupBy(*group, "start", "stop", "x.g")
+        .agg(F.least(F.count(F.lit(1)), F.first(F.size("x.places"))).alias("n"))
+        .groupBy(*group, "start", "stop")
+        .agg(F.sum("n").alias("both"))
     )
-    either = F.col("window_total") + F.col("item_total") - F.col("both")
-    held = (
-        shared.join(window_totals, window)
-        .join(totals, "item")
-        .withColumn("similarity", F.col("both") / either)
+    either = F.col("stop") - F.col("start") + F.col("size") - F.col("both")
+    best = (
+        shared.withColumn("similarity", F.col("both") / either)
         .where(F.col("similarity") >= similarity)
+        .groupBy("d", "h", "c")
+        .agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"), "stop")).alias("best"))
     )
-    best = held.groupBy("d", "h", "item").agg(
-        F.max(F.struct("similarity", (-F.col("start")).alias("before"), "stop")).alias("best")
-    )
-    keys = windows.select("doc_id", "d", "h").distinct()
-    return best.join(keys, ["d", "h"]).join(given.select("item", "item_id"), "item").select(
+    keys = hits.select("doc_id", "d", "h").distinct()
+    return best.join(keys, ["d", "h"]).join(shingled.select("c", "item_id"), "c").select(
         "doc_id",
         "h",
         "item_id",

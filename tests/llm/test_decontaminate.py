@@ -111,3 +111,41 @@ def test_no_python(spark, edge):
     benchmark = spark.createDataFrame([(1, "a b c d e f g")], "item_id bigint, text string")
     plan = decontaminate.contaminated(edge, benchmark)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def slid(docs, items, similarity=0.8):
+    """(document, item, similarity) over every window of the item's size in the text."""
+    found = set()
+    for key, text in docs:
+        own = shingles(text)
+        for name, item in items:
+            given = Counter(shingles(item))
+            size = given.total()
+            best = 0
+            for start in range(max(len(own) - size, 0) + 1):
+                window = Counter(own[start : start + size])
+                best = max(best, (window & given).total() / (window | given).total())
+            if best >= similarity:
+                found.add((key, name, round(best, 6)))
+    return found
+
+
+def test_moved_parts_and_repeated_shingles(spark):
+    draw = random.Random(11)
+
+    def prose(n):
+        return ["x%d" % draw.randrange(10**6) for _ in range(n)]
+
+    def around(words):  # in mid-text, where no window is cut at an end
+        return " ".join(prose(100) + words + prose(100))
+
+    a, b = prose(30), prose(30)
+    items, docs = [(0, " ".join(a + b))], [(0, around(b + a))]
+    for k in range(1, 25):  # a run of one word in place of the last tenth
+        item = prose(94)
+        items.append((k, " ".join(item)))
+        docs.append((k, around(item[:85] + ["run"] * 9)))
+        items.append((100 + k, " ".join(item[:80] + ["run"] * 14)))
+    want = slid(docs, items)
+    assert len([w for w in want if w[0] == w[1]]) == 25 and len(want) == 49
+    assert {(d, i, s) for d, i, _, s in got(spark, docs, items)} == want
