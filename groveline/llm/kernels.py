@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -194,11 +195,25 @@ _UNIT = re.compile(r"[^.!?,;:\n]+[.!?,;:]*\n?|[.!?,;:\n]+")
 _WORD = re.compile(r"\S+")
 
 
+def local_cuts(words: list[str], width: int) -> list[int]:
+    """Where units start in a long stretch: the word of least hash (the last of equal ones)
+    in any ``width`` consecutive words, and the first word.
+
+    A cut depends on fewer than ``width`` words on either side, and units have at most
+    ``width`` words.
+    """
+    hashes = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in reversed(words)]
+    windows = np.lib.stride_tricks.sliding_window_view(np.array(hashes, dtype=np.int64), width)
+    least = len(words) - 1 - np.arange(len(windows)) - windows.argmin(axis=1)
+    return sorted({0, *least.tolist()})
+
+
 def sentence_units(text: str, longest: int) -> list[tuple[int, int, list[str]]]:
     """(start, end, words): the text cut at ends of sentences and clauses, without a gap.
 
-    Stretches of more than ``longest`` words are cut after that many; stretches without
-    a word belong to the one before.
+    Stretches of more than ``longest`` words are cut where their words say, so that the
+    cuts do not depend on where a stretch begins; stretches without a word belong to the
+    one before.
     """
     units: list[tuple[int, int, list[str]]] = []
     for found in _UNIT.finditer(text):
@@ -211,10 +226,10 @@ def sentence_units(text: str, longest: int) -> list[tuple[int, int, list[str]]]:
         if len(words) > longest:
             places = [m.end() + start for m in _WORD.finditer(found.group())]
             at = start
-            for i in range(0, len(words), longest):
-                last = i + longest >= len(words)
-                stop = end if last else places[i + longest - 1]
-                units.append((at, stop, words[i : i + longest]))
+            cuts = local_cuts(words, longest // 2 + 1)
+            for i, j in zip(cuts, [*cuts[1:], len(words)]):
+                stop = end if j == len(words) else places[j - 1]
+                units.append((at, stop, words[i:j]))
                 at = stop
             continue
         units.append((start, end, words))

@@ -69,8 +69,8 @@ def drop_repeated_spans(
 ) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed, first_docs), one row per input row.
 
-    A text is cut at ends of sentences and clauses, and long stretches after ``longest``
-    words, so that a passage is cut alike wherever it stands. From every such unit the
+    A text is cut at ends of sentences and clauses, and stretches of more than ``longest``
+    words at words of locally least hash, so that a passage is cut alike wherever it stands. From every such unit the
     shortest run of ``fewest`` or more units with ``least_words`` or more words is
     hashed (lower-cased, blanks alike). Units covered by a run that stands before in the
     corpus are taken out of the text; ``first_docs`` lists where those runs stand first.

@@ -74,3 +74,25 @@ def test_units_cut_the_text_without_a_gap(text, longest):
         assert start == end
     assert all(1 <= len(u[2]) <= longest for u in units)
     assert [w for u in units for w in u[2]] == text.lower().split() or any(c in text for c in ".,!?;")
+
+
+def test_passages_of_51_words_hold_a_run_at_any_offset():
+    import random
+
+    draw = random.Random(9)
+
+    def prose(n):
+        return ["".join(draw.choices("abcdefghij", k=5)) for _ in range(n)]
+
+    def hashes(words):
+        units = kernels.sentence_units(" ".join(words), spans.LONGEST)
+        return {h for _, _, h in kernels.span_hashes(units, spans.FEWEST, spans.LEAST_WORDS)}
+
+    for ends in ([], [30], [12, 39], [12, 24, 39], [13, 38], [14, 26, 37]):
+        for _ in range(40):
+            passage = prose(51)
+            for end in ends:
+                passage[end - 1] += "."
+            for before in (0, 1, 5, 7, 11):
+                first = hashes(prose(draw.randrange(30)) + passage + prose(draw.randrange(30)))
+                assert first & hashes(prose(before) + passage + prose(draw.randrange(30)))
