@@ -202,8 +202,123 @@ SELECT doc_id, item_id, start::BIGINT AS start_word, (stop - start + 4)::BIGINT
 FROM held QUALIFY row_number() OVER (PARTITION BY r, item_id ORDER BY similarity DESC, start, stop DESC) = 1"""
 
 
+_GOOD = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _neighbours() -> str:
+    """All pairs; the index visits every entry of a table as small as that of this check."""
+    return f"""
+WITH vectors AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE {_GOOD} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(
+    list_transform(list_zip(q.v, c.v), lambda p: (p[2] - p[1]) * (p[2] - p[1])), lambda s, x: s + x)) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id)
+SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM pairs
+WINDOW w AS (PARTITION BY query_id ORDER BY score, vec_id) QUALIFY row_number() OVER w <= 10"""
+
+
+def _negatives() -> str:
+    return f"""
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_GOOD}),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+    list_sum(list_transform(list_zip(a.v, r.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM vectors a JOIN vectors r ON a.vec_id % 50 = 0 AND r.vec_id IS DISTINCT FROM a.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INT AS rank, n.vec_id AS negative_id,
+  positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER w <= 3"""
+
+
+def _manifest() -> str:
+    def part(value: str) -> str:
+        return f"coalesce(octet_length(encode({value}))::VARCHAR || ':' || {value}, '-')"
+
+    def leaf(text: str) -> str:
+        fields = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+        return f"sha256({' || '.join(part(f) for f in fields)})"
+
+    # a byte at a time, eight shifts each
+    crc = (
+        "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''),"
+        " lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],"
+        " lambda s, z: xor(s >> 1, 3988292384 * (s & 1)))), 4294967295::BIGINT)"
+    )
+
+    def levels(name: str, of: str) -> str:
+        """Nodes (g, level, i, n, h) of the trees over rows (g, i, n, h)."""
+        return f"""
+{name} AS (
+  SELECT g, 0 AS level, i, n, h FROM {of}
+  UNION ALL
+  SELECT g, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM {name}
+  WHERE n > 1 GROUP BY g, level, i // 3, n)"""
+
+    def siblings(name: str, nodes: str) -> str:
+        """For each leaf (g, i) and level what stands before and after its ancestor in the run."""
+        return f"""
+{name} AS (
+  SELECT l.g, l.i, a.level, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (WHERE s.i < a.i), '') AS before,
+    coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (WHERE s.i > a.i), '') AS after
+  FROM (SELECT g, i FROM {nodes} WHERE level = 0) l
+  JOIN {nodes} a ON a.g IS NOT DISTINCT FROM l.g AND a.n > 1 AND a.i = l.i // (3 ** a.level)::BIGINT
+  JOIN {nodes} s ON s.g IS NOT DISTINCT FROM l.g AND s.level = a.level AND s.i // 3 = a.i // 3
+  GROUP BY l.g, l.i, a.level)"""
+
+    return f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source AS g, {leaf("text")} AS leaf,
+    CASE WHEN {crc} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS other
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY g) AS n, leaf AS h FROM leaves),
+{levels("nodes", "placed")},
+subroots AS (SELECT g AS source, h AS subroot FROM nodes WHERE n = 1),
+tops AS (
+  SELECT source, 0 AS g, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n,
+    subroot AS h FROM subroots),
+{levels("uppers", "tops")},
+{siblings("paths", "nodes")},
+{siblings("upper_paths", "uppers")},
+whole AS (
+  SELECT g, i, level, before, after FROM paths
+  UNION ALL
+  SELECT t.source, p.i, 1000 + u.level, u.before, u.after
+  FROM placed p JOIN tops t ON t.source IS NOT DISTINCT FROM p.g JOIN upper_paths u ON u.i = t.i),
+steps AS (
+  SELECT *, row_number() OVER (PARTITION BY g, i ORDER BY level) AS k FROM whole),
+proofs AS (
+  SELECT g, i, sha256(string_agg(before || after, '' ORDER BY k)) AS proof FROM steps GROUP BY g, i),
+folded AS (
+  SELECT g, i, 0 AS k, other AS h FROM placed
+  UNION ALL
+  SELECT f.g, f.i, f.k + 1, sha256(s.before || f.h || s.after) FROM folded f
+  JOIN steps s ON s.g IS NOT DISTINCT FROM f.g AND s.i = f.i AND s.k = f.k + 1),
+ends AS (SELECT g, i, arg_max(h, k) AS h FROM folded GROUP BY g, i),
+root AS (SELECT h AS root FROM uppers WHERE n = 1)
+SELECT p.doc_id, p.leaf, s.subroot, root, coalesce(proof, sha256('')) AS proof_sha256,
+  e.h AS folded_root, e.h = root AS verified
+FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.g
+JOIN ends e ON e.g IS NOT DISTINCT FROM p.g AND e.i = p.i
+LEFT JOIN proofs r ON r.g IS NOT DISTINCT FROM p.g AND r.i = p.i, root"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_merkle_manifest": _manifest(),
+        "op12_nearest_neighbours": _neighbours(),
+        "op13_hard_negatives": _negatives(),
         "op1_decontamination": _decontamination(),
         "op8_warc": _warc(),
         "op7_line_dedup": _lines(),

@@ -11,6 +11,9 @@ from groveline.llm import (
     decontaminate,
     language,
     lines,
+    merkle,
+    negatives,
+    neighbours,
     oracles,
     packing,
     quality,
@@ -82,6 +85,19 @@ def op10_best_fit_packing(spark, sf):
     return packing.pack(_documents(spark, sf))
 
 
+def op11_merkle_manifest(spark, sf):
+    return merkle.manifest(_documents(spark, sf), tampered=merkle.line_breaks_deleted)
+
+
+def op12_nearest_neighbours(spark, sf):
+    return neighbours.nearest_neighbours(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+def op13_hard_negatives(spark, sf):
+    label = negatives.seventh_moved(F.col("vec_id"), F.col("label"))
+    return negatives.hard_negatives(spark.read.parquet(f"{sf}/embeddings.parquet"), label=label)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -94,6 +110,9 @@ def queries() -> dict[str, Query]:
         "op8_warc": op8_warc,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_nearest_neighbours": op12_nearest_neighbours,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
