@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from groveline import presets as P
+from groveline.operators.models import DEFAULT, SHALLOW
+from groveline.operators.tuning import DEPTHS, FOLDS
 from groveline.sources.campaign import MULTIPLIER
 
 FEATURES = P.FEATURES
@@ -239,140 +241,184 @@ def _stump(table: str = "coarse", tag: str = "s") -> dict[str, str]:
     }
 
 
-def _depth2(table: str) -> dict[str, str]:
-    """The same two splits deep."""
-    side = f"CASE WHEN {_value_of('d1_best')} <= d1_best.thr THEN 1 ELSE 2 END"
-    return {
-        "d0": f"SELECT 0 AS node, * FROM {table} WHERE {_IS_TRAIN}",
-        **_split_search("d1", "d0"),
-        "d2_rows": f"SELECT d0.* EXCLUDE (node), {side} AS node FROM d0, d1_best",
-        **_split_search("d2", "d2_rows"),
-        "d2_test": (
-            f"SELECT t.*, {side} AS node"
-            f" FROM (SELECT * FROM {table} WHERE NOT ({_IS_TRAIN})) t, d1_best"
-        ),
-        "d2_majority": "SELECT node, avg(deposit) > 0.5 AS yes FROM d2_rows GROUP BY node",
-        "d2_counts": (
-            "SELECT deposit AS label, CASE WHEN CASE WHEN d2_best.f IS NULL THEN yes"
-            f" WHEN {_value_of('d2_best')} <= d2_best.thr THEN low_yes ELSE high_yes END"
-            " THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction, count(*) AS n"
-            " FROM d2_test JOIN d2_majority USING (node) LEFT JOIN d2_best USING (node) GROUP BY ALL"
+_X = "[" + ", ".join(f"{_q(c)}::DOUBLE" for c in FEATURES) + "] AS x"
+
+
+def _gini(n: str, s: str) -> str:
+    no, yes = f"(({n} - {s}) / {n})", f"({s} / {n})"
+    return f"(1 - {no} * {no} - {yes} * {yes})"
+
+
+def _variance(n: str, s: str, q: str) -> str:
+    return f"(({q} - {s} * {s} / {n}) / {n})"
+
+
+def _grown(tag: str, rows: str, depth: int, target: str = "label") -> dict[str, str]:
+    """Trees grown level by level, one for every ``tree`` of ``rows`` (tree, x, t).
+
+    Node n has the children 2n and 2n + 1. Every level is one histogram of the rows by node,
+    feature and value, its running sums, and the best split of each node: of Gini impurity
+    for a 0/1 ``label``, of variance for a ``number``. Thresholds are halfway between
+    neighbouring values of all training rows. ``{tag}_splits`` has the splits,
+    ``{tag}_nodes`` the rows and the sum of targets of every node.
+    """
+    features = f"unnest(range({len(FEATURES)})) AS f, unnest(x) AS v"
+    if target == "label":
+        parts = _gini("nt", "st"), _gini("nl", "sl"), _gini("(nt - nl)", "(st - sl)")
+    else:
+        parts = (
+            _variance("nt", "st", "qt"),
+            _variance("nl", "sl", "ql"),
+            _variance("(nt - nl)", "(st - sl)", "(qt - ql)"),
+        )
+    gain = f"{parts[0]} - (nl / nt) * {parts[1]} - ((nt - nl) / nt) * {parts[2]}"
+    ctes = {
+        f"{tag}_grid": (
+            "SELECT tree, f, v, (v + lead(v) OVER (PARTITION BY tree, f ORDER BY v)) / 2 AS thr"
+            f" FROM (SELECT DISTINCT tree, {features} FROM {rows})"
         ),
+        f"{tag}_rows0": f"SELECT tree, x, t, 1::BIGINT AS node FROM {rows}",
     }
+    for level in range(depth):
+        here, after = f"{tag}_rows{level}", f"{tag}_rows{level + 1}"
+        ctes[f"{tag}_sums{level}"] = (
+            "SELECT tree, node, f, v, lead(v) OVER w IS NOT NULL AS more,"
+            " sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(q) OVER w AS ql,"
+            " sum(n) OVER a AS nt, sum(s) OVER a AS st, sum(q) OVER a AS qt FROM ("
+            " SELECT tree, node, f, v, count(*)::DOUBLE AS n, sum(t) AS s, sum(t * t) AS q"
+            f" FROM (SELECT tree, node, t, {features} FROM {here}) GROUP BY ALL)"
+            " WINDOW w AS (PARTITION BY tree, node, f ORDER BY v), a AS (PARTITION BY tree, node, f)"
+        )
+        ctes[f"{tag}_best{level}"] = (
+            f"SELECT tree, node, f, thr FROM (SELECT *, {gain} AS gain FROM {tag}_sums{level} WHERE more)"
+            f" JOIN {tag}_grid USING (tree, f, v) WHERE gain > 0"
+            " QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY gain DESC, f, v) = 1"
+        )
+        ctes[after] = (
+            "SELECT r.* REPLACE (2 * r.node + CASE WHEN r.x[f + 1] <= thr THEN 0 ELSE 1 END AS node)"
+            f" FROM {here} r JOIN {tag}_best{level} USING (tree, node)"
+        )
+    ctes[f"{tag}_splits"] = " UNION ALL ".join(f"SELECT * FROM {tag}_best{n}" for n in range(depth))
+    ctes[f"{tag}_nodes"] = " UNION ALL ".join(
+        f"SELECT tree, node, count(*)::DOUBLE AS n, sum(t) AS s FROM {tag}_rows{n} GROUP BY ALL"
+        for n in range(depth + 1)
+    )
+    return ctes
 
 
-def _boosted(table: str) -> dict[str, str]:
-    """Two rounds of boosted stumps with log loss: step 1 for the first, 0.1 for the second."""
-
-    def search(tag: str, rows: str) -> dict[str, str]:
-        values = " UNION ALL ".join(
-            f"SELECT {i} AS f, {_q(c)}::DOUBLE AS v, r FROM {rows}" for i, c in enumerate(FEATURES)
+def _walked(tag: str, tests: str, depth: int) -> dict[str, str]:
+    """``{tag}_leaves``: the rows of ``tests`` (tree, x, ...) with the ``node`` they end in."""
+    ctes = {f"{tag}_at0": f"SELECT *, 1::BIGINT AS node FROM {tests}"}
+    for level in range(depth):
+        ctes[f"{tag}_at{level + 1}"] = (
+            "SELECT a.* REPLACE (CASE WHEN f IS NULL THEN a.node WHEN a.x[f + 1] <= thr THEN 2 * a.node"
+            f" ELSE 2 * a.node + 1 END AS node) FROM {tag}_at{level} a LEFT JOIN {tag}_best{level} USING (tree, node)"
         )
+    ctes[f"{tag}_leaves"] = f"SELECT * FROM {tag}_at{depth}"
+    return ctes
 
-        def spread(n: str, s: str, q: str) -> str:
-            return f"(({q}) - ({s}) * ({s}) / ({n})) / ({n})"
 
-        return {
-            f"{tag}_hist": (
-                f"SELECT f, v, count(*)::DOUBLE AS n, sum(r) AS s, sum(r * r) AS q FROM ({values}) GROUP BY ALL"
-            ),
-            f"{tag}_sums": (
-                "SELECT f, v, lead(v) OVER w AS nv, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(q) OVER w AS ql,"
-                " sum(n) OVER (PARTITION BY f) AS nt, sum(s) OVER (PARTITION BY f) AS st,"
-                " sum(q) OVER (PARTITION BY f) AS qt"
-                f" FROM {tag}_hist WINDOW w AS (PARTITION BY f ORDER BY v)"
-            ),
-            f"{tag}_best": (
-                "SELECT f, (v + nv) / 2 AS thr, sl / nl AS low, (st - sl) / (nt - nl) AS high,"
-                f" {spread('nt', 'st', 'qt')} - nl / nt * {spread('nl', 'sl', 'ql')}"
-                f" - (nt - nl) / nt * {spread('nt - nl', 'st - sl', 'qt - ql')} AS gain"
-                f" FROM {tag}_sums WHERE nv IS NOT NULL ORDER BY gain DESC, f, thr LIMIT 1"
-            ),
-        }
+def _rows_of(table: str, where: str, extra: str = "") -> str:
+    return f"SELECT 0 AS tree, row_id, deposit, {_X}, deposit::DOUBLE AS t{extra} FROM {table} WHERE {where}"
 
-    def leaf(tag: str) -> str:
-        return f"CASE WHEN {_value_of(f'{tag}_best')} <= {tag}_best.thr THEN {tag}_best.low ELSE {tag}_best.high END"
 
-    y = "(2 * deposit - 1)"
+def _tree(table: str, depth: int) -> dict[str, str]:
+    """One decision tree and the counts of its test rows, as ``d_counts``."""
     return {
-        "g1_rows": f"SELECT *, {y} AS r FROM {table} WHERE {_IS_TRAIN}",
-        **search("g1", "g1_rows"),
-        "g2_rows": (
-            f"SELECT g1_rows.* REPLACE (4 * {y} / (1 + exp(2 * {y} * ({leaf('g1')}))) AS r) FROM g1_rows, g1_best"
-        ),
-        **search("g2", "g2_rows"),
-        "g_counts": (
-            f"SELECT deposit AS label, CASE WHEN {leaf('g1')} + 0.1::DOUBLE * ({leaf('g2')}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE"
-            f" AS prediction, count(*) AS n FROM (SELECT * FROM {table} WHERE NOT ({_IS_TRAIN})), g1_best, g2_best"
-            " GROUP BY ALL"
+        "d_train": _rows_of(table, _IS_TRAIN),
+        "d_test": _rows_of(table, f"NOT ({_IS_TRAIN})"),
+        **_grown("d", "d_train", depth),
+        **_walked("d", "d_test", depth),
+        "d_counts": (
+            "SELECT deposit AS label, CASE WHEN s / n > 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction,"
+            " count(*) AS n FROM d_leaves JOIN (SELECT tree, node, n, s FROM d_nodes) USING (tree, node) GROUP BY 1, 2"
         ),
     }
 
 
-def _two_levels(tag: str, rows: str, tests: str) -> dict[str, str]:
-    """Trees one and two splits deep, one of each for every ``node`` of ``rows`` (node, ...).
+def _boosted(table: str, rounds: int, depth: int, step: float) -> dict[str, str]:
+    """Boosted trees with log loss, and the counts of the test rows, as ``g_counts``.
 
-    ``tests`` (node, ...) gets their predictions as p1 and p2.
+    The first tree counts whole, the others by the step; each fits four times the label
+    over one plus the exponential of twice the margin.
     """
-    side = f"CASE WHEN {_value_of('b')} <= b.thr THEN 0 ELSE 1 END"
-    deeper = f"CASE WHEN {_value_of('c')} <= c.thr THEN c.low_yes ELSE c.high_yes END"
-    return {
-        **_split_search(f"{tag}1", rows),
-        f"{tag}_second": f"SELECT r.* REPLACE (r.node * 2 + {side} AS node) FROM {rows} r JOIN {tag}1_best b USING (node)",
-        **_split_search(f"{tag}2", f"{tag}_second"),
-        f"{tag}_majority": f"SELECT node, avg(deposit) > 0.5 AS yes FROM {tag}_second GROUP BY node",
-        f"{tag}_sided": (
-            f"SELECT t.*, t.node * 2 + {side} AS leaf, CASE WHEN {side} = 0 THEN low_yes ELSE high_yes END AS p1"
-            f" FROM {tests} t JOIN {tag}1_best b USING (node)"
-        ),
-        f"{tag}_tested": (
-            f"SELECT s.*, CASE WHEN c.f IS NULL THEN m.yes ELSE {deeper} END AS p2"
-            f" FROM {tag}_sided s JOIN {tag}_majority m ON m.node = s.leaf"
-            f" LEFT JOIN {tag}2_best c ON c.node = s.leaf"
-        ),
-    }
+    y = "(2 * deposit - 1)::DOUBLE"
+    ctes = {"g0": _rows_of(table, "TRUE", f", {y} AS y, 0::DOUBLE AS margin, {_IS_TRAIN} AS train")}
+    for k in range(rounds):
+        tag, target = f"g{k}t", "y" if k == 0 else "4 * y / (1 + exp(2 * y * margin))"
+        weight = 1.0 if k == 0 else step
+        ctes |= {
+            f"{tag}_train": f"SELECT tree, x, {target} AS t FROM g{k} WHERE train",
+            **_grown(tag, f"{tag}_train", depth, "number"),
+            **_walked(tag, f"g{k}", depth),
+            f"g{k + 1}": (
+                f"SELECT l.* EXCLUDE (node) REPLACE (margin + s / n * {weight}::DOUBLE AS margin)"
+                f" FROM {tag}_leaves l JOIN {tag}_nodes USING (tree, node)"
+            ),
+        }
+    ctes["g_counts"] = (
+        "SELECT deposit AS label, CASE WHEN margin > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction,"
+        f" count(*) AS n FROM g{rounds} WHERE NOT train GROUP BY ALL"
+    )
+    return ctes
+
+
+def _boosted_preset(table: str, preset: dict) -> dict[str, str]:
+    return _boosted(table, preset["maxIter"], preset.get("maxDepth", 5), preset.get("stepSize", 0.1))
 
 
-def _depth_search() -> dict[str, str]:
-    """Three folds, depths 1 and 2; the better depth is fitted again on all training rows."""
+def _at_depth(leaves: str, depth: str) -> str:
+    """The node that a tree cut off at ``depth`` ends in, for rows of ``leaves``."""
+    return f"SELECT * REPLACE (node >> greatest(0, floor(log2(node))::INT - {depth}) AS node) FROM {leaves}"
+
+
+def _depth_search(depths: list[int] = DEPTHS) -> dict[str, str]:
+    """Three folds, every depth; the best one is fitted again on all training rows.
+
+    A tree grows level by level, so that of a smaller depth is the deepest one cut off.
+    """
+    deepest = max(depths)
     area = (
-        "(count(*) FILTER (WHERE deposit = 1 AND p) / count(*) FILTER (WHERE deposit = 1)::DOUBLE"
-        " + count(*) FILTER (WHERE deposit = 0 AND NOT p) / count(*) FILTER (WHERE deposit = 0)::DOUBLE) / 2"
+        "(count(*) FILTER (WHERE deposit = 1 AND yes) / count(*) FILTER (WHERE deposit = 1)::DOUBLE"
+        " + count(*) FILTER (WHERE deposit = 0 AND NOT yes) / count(*) FILTER (WHERE deposit = 0)::DOUBLE) / 2"
     )
-    folds = "(VALUES (0), (1), (2)) k(node)"
-    return {
-        "c_train": (
-            f"SELECT *, ({_hash('fold:')} % 3)::INT AS fold FROM coarse_balanced WHERE {_IS_TRAIN}"
-        ),
-        "c_rows": f"SELECT k.node, c_train.* FROM c_train, {folds} WHERE fold <> k.node",
-        "c_held": "SELECT fold AS node, * FROM c_train",
-        **_two_levels("c", "c_rows", "c_held"),
-        "c_area": " UNION ALL ".join(
-            f"SELECT {d} AS depth, node, {area.replace(' p)', f' p{d})')} AS area".replace("NOT p)", f"NOT p{d})")
-            + " FROM c_tested GROUP BY node"
-            for d in (1, 2)
+    ctes = {
+        "c_all": _rows_of("coarse_balanced", _IS_TRAIN, f", ({_hash('fold:')} % {FOLDS})::INT AS fold"),
+        "c_train": f"SELECT c_all.* REPLACE (k.k AS tree) FROM c_all, (SELECT unnest(range({FOLDS})) AS k) k WHERE fold <> k",
+        "c_held": "SELECT * REPLACE (fold AS tree) FROM c_all",
+        **_grown("c", "c_train", deepest),
+        **_walked("c", "c_held", deepest),
+        "c_cut": " UNION ALL ".join(f"SELECT {d} AS depth, * FROM ({_at_depth('c_leaves', str(d))})" for d in depths),
+        "c_area": (
+            f"SELECT depth, tree, {area} AS area FROM (SELECT depth, tree, deposit, s / n > 0.5 AS yes"
+            " FROM c_cut JOIN c_nodes USING (tree, node)) GROUP BY depth, tree"
         ),
         "c_average": "SELECT depth, avg(area) AS area FROM c_area GROUP BY depth",
         "c_chosen": "SELECT depth AS best FROM c_average ORDER BY area DESC, depth LIMIT 1",
-        "f_rows": "SELECT 0 AS node, * FROM c_train",
-        "f_test": f"SELECT 0 AS node, * FROM coarse_balanced WHERE NOT ({_IS_TRAIN})",
-        **_two_levels("f", "f_rows", "f_test"),
+        "f_test": _rows_of("coarse_balanced", f"NOT ({_IS_TRAIN})"),
+        **_grown("f", "c_all", deepest),
+        **_walked("f", "f_test", deepest),
         "f_scored": (
-            "SELECT row_id, deposit, CASE WHEN CASE best WHEN 1 THEN p1 ELSE p2 END THEN 1.0 ELSE 0.0 END::DOUBLE"
-            " AS prediction FROM f_tested, c_chosen"
+            "SELECT row_id, deposit, CASE WHEN s / n > 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction"
+            f" FROM ({_at_depth('(SELECT * FROM f_leaves, c_chosen)', 'best')}) JOIN f_nodes USING (tree, node)"
         ),
         "f_counts": "SELECT deposit AS label, prediction, count(*) AS n FROM f_scored GROUP BY ALL",
-        # leaves of one parent that agree are one leaf
-        "f_sides": (
-            "SELECT m.node, CASE WHEN c.f IS NULL OR c.low_yes = c.high_yes THEN 1 ELSE 3 END AS nodes,"
-            " coalesce(c.low_yes, m.yes) AS yes FROM f_majority m LEFT JOIN f2_best c USING (node)"
-        ),
-        "f_size": (
-            "SELECT CASE WHEN best = 1 THEN (SELECT CASE WHEN low_yes = high_yes THEN 1 ELSE 3 END FROM f1_best)"
-            " ELSE (SELECT CASE WHEN sum(nodes) = 2 AND count(DISTINCT yes) = 1 THEN 1 ELSE 1 + sum(nodes) END"
-            " FROM f_sides) END AS nodes FROM c_chosen"
-        ),
+        f"z{deepest + 1}": "SELECT 0::BIGINT AS node, 0 AS nodes, 0 AS depth, TRUE AS yes WHERE FALSE",
     }
+    # from the leaves up: leaves of one parent that agree are one leaf
+    for level in range(deepest, -1, -1):
+        under = f"z{level + 1}"
+        ctes[f"z{level}"] = (
+            "SELECT m.node, CASE WHEN leaf OR one THEN 1 ELSE 1 + l + r END AS nodes,"
+            " CASE WHEN leaf OR one THEN 0 ELSE 1 + greatest(dl, dr) END AS depth,"
+            " CASE WHEN leaf THEN s / n > 0.5 WHEN one THEN yl END AS yes FROM ("
+            " SELECT m.node, m.n, m.s, a.node IS NULL AS leaf, a.nodes AS l, b.nodes AS r, a.depth AS dl,"
+            " b.depth AS dr, a.yes AS yl, coalesce(a.nodes = 1 AND b.nodes = 1 AND a.yes = b.yes, FALSE) AS one"
+            f" FROM f_nodes m, c_chosen LEFT JOIN {under} a ON a.node = 2 * m.node AND {level} < best"
+            f" LEFT JOIN {under} b ON b.node = 2 * m.node + 1 AND {level} < best"
+            f" WHERE m.node >= {1 << level} AND m.node < {2 << level}) m"
+        )
+    return ctes
 
 
 def _matrix(counts: str) -> str:
@@ -530,21 +576,23 @@ def oracle_sql() -> dict[str, str]:
         "confusion_matrix": _with(_matrix("s_counts"), _stump()),
         "confusion_matrix_balanced": _with(_matrix("b_counts"), _stump("coarse_balanced", "b")),
         # trees of a forest that draws nothing are all the one tree
-        **{f"{m}_exact": _with(_matrix("d2_counts"), _depth2("coarse")) for m in ("dt_depth2", "rf")},
+        **{f"{m}_exact": _with(_matrix("d_counts"), _tree("coarse", 2)) for m in ("dt_depth2", "rf")},
         **{
-            f"{m}_balanced_exact": _with(_matrix("d2_counts"), _depth2("coarse_balanced"))
+            f"{m}_balanced_exact": _with(_matrix("d_counts"), _tree("coarse_balanced", 2))
             for m in ("dt_depth2", "rf")
         },
-        "gbt_exact": _with(_matrix("g_counts"), _boosted("coarse")),
-        "gbt_balanced_exact": _with(_matrix("g_counts"), _boosted("coarse_balanced")),
+        "dt_default_exact": _with(_matrix("d_counts"), _tree("coarse_balanced", 5)),
+        "gbt_exact": _with(_matrix("g_counts"), _boosted_preset("coarse", SHALLOW["gbt"])),
+        "gbt_balanced_exact": _with(_matrix("g_counts"), _boosted_preset("coarse_balanced", SHALLOW["gbt"])),
+        "gbt_10_exact": _with(_matrix("g_counts"), _boosted_preset("coarse_balanced", DEFAULT["gbt"])),
         "cv_exact": _with(
             "SELECT depth AS max_depth, round(area, 9) AS avg_auc, depth = best AS chosen"
             " FROM c_average, c_chosen",
             search,
         ),
         "best_model_exact": _with(
-            "SELECT (CASE WHEN nodes = 1 THEN 0 WHEN nodes = 3 THEN 1 ELSE 2 END)::INT AS depth,"
-            f" nodes::INT AS num_nodes, 1 AS num_trees, {len(FEATURES)} AS num_features FROM f_size",
+            "SELECT depth::INT AS depth, nodes::INT AS num_nodes, 1 AS num_trees,"
+            f" {len(FEATURES)} AS num_features FROM z0",
             search,
         ),
         "score_tuned_exact": _with("SELECT row_id, prediction, deposit FROM f_scored", search),
