@@ -26,6 +26,7 @@ from groveline.operators import (  # noqa: E402
     models,
     persist,
     profile,
+    rules,
     sampling,
     tuning,
 )
@@ -251,6 +252,28 @@ def _exact(kind: str, balance: str, params: dict | None = None) -> Query:
     return query
 
 
+def _votes(kind: str, preset: dict, balance: str) -> Query:
+    """What every tree of a fitted ensemble says about the test rows, and what follows."""
+
+    def query(spark, sf):
+        model, _ = plans.train_and_score(_encoded(spark, sf), kind, preset[kind], balance=balance)
+        _, test = plans.train_test(_encoded(spark, sf), balance)
+        replayed = rules.replay(spark, model, test, P.FEATURES)
+        return replayed.select(P.KEY, P.LABEL, "votes", "raw", "prediction")
+
+    return query
+
+
+def score_gbt_exact(spark, sf):
+    """The margins of the boosted trees, from their nodes."""
+    coarse = _coarse(spark, sf)
+    model, _ = plans.train_and_score(coarse, "gbt", models.DEFAULT["gbt"], balance="before_split")
+    _, test = plans.train_test(coarse, "before_split")
+    replayed = rules.replay(spark, model, test, P.FEATURES)
+    margins = replayed.select(P.KEY, "prediction", P.LABEL, F.col("raw")[1].alias("margin"))
+    return _rounded(margins, 6, "margin")
+
+
 def _report(kind: str, preset: dict, balance: str, nominal=None) -> Query:
     """Fit a preset and report every measure on the test rows."""
 
@@ -400,6 +423,10 @@ def queries() -> dict[str, Query]:
         },
         "dt_default_exact": _exact("dt", "before_split", models.DEFAULT["dt"]),
         "gbt_10_exact": _exact("gbt", "before_split", models.DEFAULT["gbt"]),
+        "score_gbt_exact": score_gbt_exact,
+        "rf_depth2_votes": _votes("rf", models.SHALLOW, "none"),
+        "rf_depth2_balanced_votes": _votes("rf", models.SHALLOW, "before_split"),
+        "rf_10_votes": _votes("rf", models.DEFAULT, "before_split"),
         "rf_depth2": _report("rf", models.SHALLOW, "none"),
         "rf_depth2_balanced": _report("rf", models.SHALLOW, "before_split"),
         "gbt_iter3": _report("gbt", models.SHALLOW, "none"),

@@ -585,6 +585,11 @@ def oracle_sql() -> dict[str, str]:
         "gbt_exact": _with(_matrix("g_counts"), _boosted_preset("coarse", SHALLOW["gbt"])),
         "gbt_balanced_exact": _with(_matrix("g_counts"), _boosted_preset("coarse_balanced", SHALLOW["gbt"])),
         "gbt_10_exact": _with(_matrix("g_counts"), _boosted_preset("coarse_balanced", DEFAULT["gbt"])),
+        "score_gbt_exact": _with(
+            "SELECT row_id, CASE WHEN margin > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction, deposit,"
+            " round(margin, 6) + 0.0::DOUBLE AS margin FROM g10 WHERE NOT train",
+            _boosted_preset("coarse_balanced", DEFAULT["gbt"]),
+        ),
         "cv_exact": _with(
             "SELECT depth AS max_depth, round(area, 9) AS avg_auc, depth = best AS chosen"
             " FROM c_average, c_chosen",

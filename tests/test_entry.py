@@ -13,10 +13,16 @@ ORACLES = registered.oracle_sql()
 
 
 @pytest.fixture(scope="module")
-def duck(small):
+def medium():
+    """The size at which every twin must agree."""
+    return "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def duck(medium):
     con = duckdb.connect()
     for table in TABLES:
-        con.execute(f"create view {table} as select * from '{small}/{table}.parquet'")
+        con.execute(f"create view {table} as select * from '{medium}/{table}.parquet'")
     return con
 
 
@@ -30,13 +36,14 @@ def test_every_oracle_has_a_query():
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_query_equals_its_sql(spark, small, duck, name):
-    ours = _sorted(QUERIES[name](spark, small).toPandas())
+def test_query_equals_its_sql(spark, medium, duck, name):
+    ours = _sorted(QUERIES[name](spark, medium).toPandas())
     theirs = _sorted(duck.execute(ORACLES[name]).fetchdf())
     pd.testing.assert_frame_equal(ours, theirs, check_dtype=False, check_exact=True)
 
 
-REPORTS = [n for n in QUERIES if n.split("_")[0] in ("dt", "rf", "gbt") and n not in ORACLES]
+VOTES = [n for n in QUERIES if n.endswith("_votes")]
+REPORTS = [n for n in QUERIES if n.split("_")[0] in ("dt", "rf", "gbt") and n not in ORACLES and n not in VOTES]
 SEARCHES = [n for n in ("cv_dt", "cv_rf", "cv_gbt") if n in QUERIES]
 TUNED = ["best_model_summary", "score_tuned", "auc_tuned"]
 
@@ -52,6 +59,16 @@ def test_report_of_a_model(spark, small, name):
     assert min(value[m, y] for m in ("precision", "recall") for y in (0.0, 1.0)) > 0.3
 
 
+@pytest.mark.parametrize("name", VOTES)
+def test_votes_make_the_prediction(spark, small, name):
+    """That they equal the model's own is tested beside ``rules``."""
+    rows = QUERIES[name](spark, small).collect()
+    assert rows and len({len(r.votes) for r in rows}) == 1
+    for r in rows:
+        assert r.raw[1] == pytest.approx(sum(r.votes)) and sum(r.raw) == pytest.approx(len(r.votes))
+        assert r.prediction == float(r.raw[1] > r.raw[0])
+
+
 @pytest.mark.parametrize("name", SEARCHES)
 def test_search_chooses_the_best_depth(spark, small, name):
     rows = sorted(QUERIES[name](spark, small).collect())
@@ -74,7 +91,7 @@ def test_the_tuned_model(spark, small):
     assert auc[0].auc == pytest.approx(sum(rates) / 2, abs=1e-12)
 
 
-LEFT = sorted(set(QUERIES) - set(ORACLES) - set(REPORTS) - set(SEARCHES) - set(TUNED))
+LEFT = sorted(set(QUERIES) - set(ORACLES) - set(REPORTS) - set(VOTES) - set(SEARCHES) - set(TUNED))
 
 
 @pytest.mark.parametrize("name", LEFT)
