@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 import sys
-import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -191,120 +189,6 @@ def packer(capacity: int):
     return pack
 
 
-_UNIT = re.compile(r"[^.!?,;:\n]+[.!?,;:]*\n?|[.!?,;:\n]+")
-_WORD = re.compile(r"\S+")
-
-
-def local_cuts(words: list[str], width: int) -> list[int]:
-    """Where units start in a long stretch: the word of least hash (the last of equal ones)
-    in any ``width`` consecutive words, and the first word.
-
-    A cut depends on fewer than ``width`` words on either side, and units have at most
-    ``width`` words.
-    """
-    hashes = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in reversed(words)]
-    windows = np.lib.stride_tricks.sliding_window_view(np.array(hashes, dtype=np.int64), width)
-    least = len(words) - 1 - np.arange(len(windows)) - windows.argmin(axis=1)
-    return sorted({0, *least.tolist()})
-
-
-def sentence_units(text: str, longest: int) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words): the text cut at ends of sentences and clauses, without a gap.
-
-    Stretches of more than ``longest`` words are cut where their words say, so that the
-    cuts do not depend on where a stretch begins; stretches without a word belong to the
-    one before.
-    """
-    units: list[tuple[int, int, list[str]]] = []
-    for found in _UNIT.finditer(text):
-        start, end = found.span()
-        words = found.group().lower().split()
-        if not words:
-            if units:
-                units[-1] = (units[-1][0], end, units[-1][2])
-            continue
-        if len(words) > longest:
-            places = [m.end() + start for m in _WORD.finditer(found.group())]
-            at = start
-            cuts = local_cuts(words, longest // 2 + 1)
-            for i, j in zip(cuts, [*cuts[1:], len(words)]):
-                stop = end if j == len(words) else places[j - 1]
-                units.append((at, stop, words[i:j]))
-                at = stop
-            continue
-        units.append((start, end, words))
-    return units
-
-
-def span_hashes(
-    units: list[tuple[int, int, list[str]]], fewest: int, least_words: int
-) -> list[tuple[int, int, int]]:
-    """(first unit, number of units, hash): from every unit the shortest run that is long enough."""
-    sizes = [len(u[2]) for u in units]
-    spans = []
-    stop, words = 0, 0
-    for start in range(len(units)):
-        stop = max(stop, start)
-        while stop < len(units) and (stop - start < fewest or words < least_words):
-            words += sizes[stop]
-            stop += 1
-        if stop - start < fewest or words < least_words:
-            break
-        joined = " ".join([w for u in units[start:stop] for w in u[2]])
-        spans.append((start, stop - start, xxhash.xxh64_intdigest(joined) - (1 << 63)))
-        words -= sizes[start]
-    return spans
-
-
-def span_rows(fewest: int, least_words: int, longest: int, whole: bool):
-    """A function for mapInPandas: the spans of every text, hashes alone or with their place."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            owner, found = [], []
-            for i, text in enumerate(batch["text"]):
-                spans = span_hashes(sentence_units(text or "", longest), fewest, least_words)
-                owner += [i] * len(spans)
-                found += spans
-            table = np.array(found, dtype=np.int64).reshape(-1, 3)
-            result = pd.DataFrame({"hash": table[:, 2]})
-            if whole:
-                result["doc_id"] = batch["doc_id"].array[owner] if owner else batch["doc_id"].array[:0]
-                result["h"] = batch["h"].to_numpy()[owner] if owner else np.empty(0, dtype=np.int64)
-                result["start"] = table[:, 0].astype(np.int32)
-                result["units"] = table[:, 1].astype(np.int32)
-            yield result
-
-    return rows
-
-
-def span_remover(longest: int):
-    """A function for mapInPandas: the texts without the units that are listed for them."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, n_units, n_removed = [], [], []
-            for text, spans in zip(batch["text"], batch["spans"]):
-                units = sentence_units(text or "", longest)
-                n_units.append(len(units))
-                if spans is None or not len(spans):
-                    texts.append(text)
-                    n_removed.append(0)
-                    continue
-                gone = {u for s in spans for u in range(s["start"], s["start"] + s["units"])}
-                lead = text[: units[0][0]]
-                texts.append(
-                    lead + "".join(text[a:b] for i, (a, b, _) in enumerate(units) if i not in gone)
-                )
-                n_removed.append(len(gone))
-            batch["text"] = texts
-            batch["n_sentences"] = n_units
-            batch["n_removed"] = n_removed
-            yield batch.drop(columns="spans")
-
-    return rows
-
-
 _ALPHA: list[np.ndarray] = []
 
 

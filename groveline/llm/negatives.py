@@ -129,7 +129,7 @@ def integer_scores(rows: np.ndarray, anchor: np.ndarray, bound: float) -> np.nda
     """Exact inner products of integers; ``bound`` is no less than any of them."""
     if bound < 2.0**52:  # every partial sum is an integer that a double holds
         return np.rint(rows @ anchor).astype(np.int64)
-    if bound < 2.0**55:  # so that hundredths fit a long too
+    if bound < 2.0**62:
         return rows.astype(np.int64) @ anchor.astype(np.int64)
     raise OverflowError("a score is too large")
 
@@ -196,8 +196,9 @@ def negative_finder(dims: int, k: int, band: tuple[int, int]):
         out = {"uid": [], "place": [], "id": [], "none": [], "score": []}
         for at, anchor, bound, block, low, high in _tiles(rows, anchors, dims):
             positive = np.array(anchors["scores"].iloc[at], dtype=np.int64)
-            least = -(-band[0] * positive // 100)
-            most = band[1] * positive // 100
+            whole, rest = np.divmod(positive, 100)  # so that hundredths fit a long
+            least = band[0] * whole - (-band[0] * rest // 100)
+            most = band[1] * whole + band[1] * rest // 100
             other = block.label != label[at]
             wanted = np.zeros(len(other), dtype=bool)
             for a, b in zip(least, most):
@@ -210,12 +211,12 @@ def negative_finder(dims: int, k: int, band: tuple[int, int]):
             score = integer_scores(block.ints[there], anchor, bound)
             for place, (a, b) in enumerate(zip(least, most)):
                 held = np.nonzero((score >= a) & (score <= b))[0]
-                rest = there[held]
-                chosen = first_rows(score[held], block.none[rest], block.ids[rest], k)
+                met = there[held]
+                chosen = first_rows(score[held], block.none[met], block.ids[met], k)
                 out["uid"] += [uid[at]] * len(chosen)
                 out["place"] += [place] * len(chosen)
-                out["id"] += block.ids[rest[chosen]].tolist()
-                out["none"] += block.none[rest[chosen]].tolist()
+                out["id"] += block.ids[met[chosen]].tolist()
+                out["none"] += block.none[met[chosen]].tolist()
                 out["score"] += score[held[chosen]].tolist()
         return pd.DataFrame(out)
 

@@ -32,7 +32,7 @@ REACHED = 0.97
 # A search visits no fewer entries than these, where there are so many.
 LEAST_VISITED = 4096
 # Entries and queries that meet in one task at once.
-ENTRIES = 8192
+ENTRIES = 2048
 QUERIES = 2048
 _ROUNDS = 12
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groveline.llm import kernels
+from groveline.llm import cutting
 from groveline.llm.columns import kept_table
+from groveline.llm.components import with_least
 
 FEWEST = 3
 LEAST_WORDS = 20
 LONGEST = 12
 
 
-def repeated_spans(
+def cut_table(
     docs: DataFrame,
     *,
     key: str = "doc_id",
@@ -22,39 +23,47 @@ def repeated_spans(
     least_words: int = LEAST_WORDS,
     longest: int = LONGEST,
 ) -> DataFrame:
-    """(doc_id, h, start, units, first_doc): spans that stand before in the corpus.
+    """(doc_id, d, h, bounds, units, spans), written once: every text is cut here and only here.
 
-    ``h`` is the hash of the text, which with the key tells rows apart. Of equal spans
-    the first is that with the smallest key, then text hash, then place; null keys last.
+    ``d`` and ``h`` are hashes of key and text, ``bounds`` the places where units start and
+    the text's end, ``spans`` the hashes of the runs from each unit on, ``units`` their lengths.
     """
-    body = F.col(f"`{text}`")
+    body, k = F.col(f"`{text}`"), F.col(f"`{key}`")
     kind = docs.schema[key].dataType.simpleString()
-    # the key travels as text: a column of numbers with nulls would turn into floats
-    texts = docs.select(
-        F.col(f"`{key}`").cast("string").alias("doc_id"),
-        F.xxhash64(body).alias("h"),
-        body.alias("text"),
-    ).where(F.col("text").isNotNull())
-    args = (fewest, least_words, longest)
-    # counts first, from hashes alone: most spans stand once and need not move with their place
+    named = docs.select(k.alias("doc_id"), F.xxhash64(k).alias("d"), F.xxhash64(body).alias("h"), body.alias("text"))
+    cut = named.mapInArrow(
+        cutting.cutter(fewest, least_words, longest),
+        f"doc_id {kind}, d bigint, h bigint, bounds array<int>, units array<int>, spans array<bigint>",
+    )
+    return kept_table(cut, "cut-texts")
+
+
+def repeated_spans(cut: DataFrame) -> DataFrame:
+    """(doc_id, h, start, units, first_doc): spans of a cut table that stand before in the corpus.
+
+    Of equal spans the first is that with the smallest key, then text hash, then place; null
+    keys last. Spans that stand once are told by counts of their hashes and need
+    not move with their place. A hash with a large share of all spans meets its
+    count, and its first place, by broadcast.
+    """
     counted = (
-        texts.select("text")
-        .mapInPandas(kernels.span_rows(*args, whole=False), "hash bigint")
-        .groupBy("hash")
-        .agg(F.count(F.lit(1)).alias("n"))
+        cut.select(F.explode("spans").alias("u"))
+        .groupBy("u")
+        .agg(F.lit(0).alias("m"), F.count(F.lit(1)).alias("n"))
+    )
+    twice = kept_table(counted.where("n > 1"), "repeated-spans")
+    total = cut.agg(F.sum(F.size("spans"))).first()[0] or 0
+    listed = cut.select("doc_id", "h", F.posexplode(F.arrays_zip("spans", "units")).alias("start", "s"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "start", F.col("s.units").alias("units"))
+    places = listed.select(F.col("s.spans").alias("u"), place.alias("v"))
+    met = kept_table(with_least(places, twice, total).select("u", "v"), "repeated-places")
+    first = kept_table(
+        met.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "first-places"
     )
-    twice = kept_table(counted.where("n > 1").select("hash"), "repeated-spans")
-    placed = texts.mapInPandas(
-        kernels.span_rows(*args, whole=True),
-        "hash bigint, doc_id string, h bigint, start int, units int",
-    ).withColumn("doc_id", F.col("doc_id").cast(kind))
-    met = kept_table(placed.join(twice, "hash", "left_semi"), "repeated-places")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "start")
-    first = met.groupBy("hash").agg(F.min(place).alias("first"))
     return (
-        met.join(first, "hash")
-        .where(place != F.col("first"))
-        .select("doc_id", "h", "start", "units", F.col("first.doc_id").alias("first_doc"))
+        with_least(met, first, total)
+        .where("v.none <> m.none OR v.h <> m.h OR v.start <> m.start OR NOT v.doc_id <=> m.doc_id")
+        .select("v.doc_id", "v.h", "v.start", "v.units", F.col("m.doc_id").alias("first_doc"))
     )
 
 
@@ -79,32 +88,39 @@ def drop_repeated_spans(
     are one document: they lose the same units. An empty table gives no row. Other
     columns are left out.
     """
-    body = F.col(f"`{text}`")
+    body, k = F.col(f"`{text}`"), F.col(f"`{key}`")
     kind = docs.schema[key].dataType.simpleString()
-    found = repeated_spans(
-        docs, key=key, text=text, fewest=fewest, least_words=least_words, longest=longest
+    cut = cut_table(docs, key=key, text=text, fewest=fewest, least_words=least_words, longest=longest)
+    found = repeated_spans(cut).select(
+        F.xxhash64("doc_id").alias("d"),
+        "h",
+        F.lit(None).cast("array<int>").alias("bounds"),
+        F.struct("start", "units").alias("gone"),
+        "first_doc",
     )
-    # a document's own spans: no more than it has units
-    listed = kept_table(
-        found.groupBy(F.xxhash64("doc_id").alias("d"), "h").agg(
-            F.collect_list(F.struct("start", "units")).alias("spans"),
+    # one row per document: its bounds, and its own repeated spans, no more than it has units
+    own = cut.select("d", "h", "bounds", F.lit(None).alias("gone"), F.lit(None).alias("first_doc"))
+    losses = kept_table(
+        own.unionByName(found)
+        .groupBy("d", "h")
+        .agg(
+            F.first("bounds", ignorenulls=True).alias("bounds"),
+            F.collect_list("gone").alias("gone"),
             F.array_sort(F.collect_set("first_doc")).alias("first_docs"),
         ),
-        "spans-by-document",
+        "losses",
     )
-    texts = docs.select(
-        F.col(f"`{key}`").alias("doc_id"),
-        body.alias("text"),
-        F.xxhash64(F.col(f"`{key}`")).alias("d"),
-        F.xxhash64(body).alias("h"),
-    )
-    joined = texts.join(listed, ["d", "h"], "left").select(
-        F.col("doc_id").cast("string").alias("doc_id"),
+    texts = docs.select(k.alias("doc_id"), body.alias("text"), F.xxhash64(k).alias("d"), F.xxhash64(body).alias("h"))
+    joined = texts.join(losses, ["d", "h"]).select(
+        "doc_id",
         "text",
-        F.coalesce("first_docs", F.array().cast(f"array<{kind}>")).alias("first_docs"),
-        "spans",
+        F.col("first_docs").cast(f"array<{kind}>").alias("first_docs"),
+        (F.size("bounds") - 1).cast("bigint").alias("n_sentences"),
+        "bounds",
+        "gone",
+    )
+    done = joined.mapInArrow(
+        cutting.span_remover,
+        f"doc_id {kind}, first_docs array<{kind}>, n_sentences bigint, text string, n_removed bigint",
     )
-    return joined.mapInPandas(
-        kernels.span_remover(longest),
-        f"doc_id string, text string, first_docs array<{kind}>, n_sentences bigint, n_removed bigint",
-    ).withColumn("doc_id", F.col("doc_id").cast(kind))
+    return done.select("doc_id", "text", "first_docs", "n_sentences", "n_removed")
