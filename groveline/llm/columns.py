@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groveline.sources.scratch import fresh_path
+from groveline.sources.scratch import fresh_path, remove
 
 # A word, between ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,4 +78,34 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     spark: SparkSession = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.kept_path = path
+    return table
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete the files of a kept table that no later result reads."""
+    remove(table.sparkSession, table.kept_path)
+
+
+# Keys with more than one row in so many are hot; there are fewer of them than that.
+MOST_HOT = 1000
+
+
+def left_join_hot(rows: DataFrame, table: DataFrame, on: str, weight: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``table``, which has one row for each string ``on``.
+
+    ``weight`` is the number of rows a key has, and ``total`` no less than the sum of those
+    met in ``table``. Hot keys are broadcast, and their rows then get keys of their own that
+    match nothing, so they are spread over all tasks of the join with the other keys.
+    """
+    others = F.struct(*[c for c in table.columns if c not in (on, weight)])
+    is_hot = F.col(weight) * MOST_HOT > total
+    hot = table.where(is_hot).select(F.col(on).alias("__hot_key"), others.alias("__hot"))
+    rest = table.where(~is_hot).select(F.col(on).alias("__rest_key"), others.alias("__rest"))
+    marked = rows.join(F.broadcast(hot), rows[on] == F.col("__hot_key"), "left")
+    apart = F.concat(F.lit(" "), F.xxhash64(*rows.columns).cast("string"))
+    key = F.when(F.col("__hot").isNull(), F.col(on)).otherwise(apart)
+    met = marked.withColumn("__key", key).join(rest, F.col("__key") == F.col("__rest_key"), "left")
+    both = F.coalesce("__hot", "__rest")
+    return met.select(*rows.columns, *[both[c].alias(c) for c in table.columns if c not in (on, weight)])

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: exact similarity of item-sized windows."""
+"""Benchmark decontamination: fingerprints of item-sized windows, met by a multi-index, then exact similarity."""
 
 from __future__ import annotations
 
@@ -26,23 +26,26 @@ def _with_shingles(table: DataFrame, text: str, *keep: str) -> DataFrame:
     return h.select(*keep, F.transform(F.arrays_zip(*moved), lambda five: F.xxhash64(five)).alias("g"))
 
 
-def simhash(shingled: DataFrame, by: list[str]) -> DataFrame:
-    """(by, fp, total) of rows (by, g, n): a bit is set if over half of the weight has it.
+_COUNTERS = [f"s{i}" for i in range(32)]
+
+
+def _counters(g: Column) -> list[Column]:
+    """What a shingle adds to the counters of the 64 bits, of which each bigint holds two.
 
-    Two counters share a bigint, for bits i and i + 32, so 32 sums count all 64 bits of
-    up to two thousand million shingles.
+    Counter i is that of bit i, and from its 32nd bit on that of bit i + 32; so 32 sums
+    count all bits of up to two thousand million shingles.
     """
-    g, n = F.col("g"), F.col("n")
     low = [F.shiftrightunsigned(g, i).bitwiseAND(1) for i in range(64)]
-    sums = [
-        F.sum((low[i] + F.shiftleft(low[i + 32], 32)) * n).alias(f"s{i}") for i in range(32)
-    ]
-    counted = shingled.groupBy(*by).agg(F.sum("n").alias("total"), *sums)
+    return [low[i] + F.shiftleft(low[i + 32], 32) for i in range(32)]
+
+
+def _fingerprint(total: Column) -> Column:
+    """The SimHash of summed counters s0 to s31: a bit is set if over half of the total has it."""
 
     def bit(i: int) -> Column:
-        s = F.col(f"s{i % 32}")
+        s = F.col(_COUNTERS[i % 32])
         ones = s.bitwiseAND(0xFFFFFFFF) if i < 32 else F.shiftrightunsigned(s, 32)
-        return F.when(2 * ones > F.col("total"), F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(
+        return F.when(2 * ones > total, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(
             F.lit(0).cast("bigint")
         )
 
@@ -52,7 +55,47 @@ def simhash(shingled: DataFrame, by: list[str]) -> DataFrame:
             parts[i].bitwiseOR(parts[i + 1]) if i + 1 < len(parts) else parts[i]
             for i in range(0, len(parts), 2)
         ]
-    return counted.select(*by, parts[0].alias("fp"), "total")
+    return parts[0]
+
+
+def simhash(shingled: DataFrame, by: list[str]) -> DataFrame:
+    """(by, fp, total) of rows (by, g, n): shingles with their counts."""
+    sums = [F.sum(c * F.col("n")).alias(s) for c, s in zip(_counters(F.col("g")), _COUNTERS)]
+    counted = shingled.groupBy(*by).agg(F.sum("n").alias("total"), *sums)
+    return counted.select(*by, _fingerprint(F.col("total")).alias("fp"), "total")
+
+
+def _over_windows(hits: DataFrame, windows: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """``windows`` (d, h, size, start, stop) with sums over the ``hits`` (d, h, at, g) inside.
+
+    Hits and the edges of windows lie on one line per text; running totals along it are
+    read at both edges, so the work is linear in hits and windows.
+    """
+    zero = F.lit(0).cast("bigint")
+    none = F.lit(None).cast("int")
+    points = hits.select(
+        "d", "h", F.col("at").alias("pos"), F.lit(1).alias("kind"), *[c.cast("bigint").alias(n) for n, c in sums.items()],
+        *[none.alias(c) for c in ("size", "start", "stop", "sign")],
+    )
+    edge = F.explode(
+        F.array(
+            F.struct(F.col("start").alias("pos"), F.lit(-1).alias("sign")),
+            F.struct(F.col("stop").alias("pos"), F.lit(1).alias("sign")),
+        )
+    )
+    edges = windows.select("d", "h", "size", "start", "stop", edge.alias("e")).select(
+        "d", "h", "e.pos", F.lit(0).alias("kind"), *[zero.alias(n) for n in sums], "size", "start", "stop", "e.sign"
+    )
+    # an edge comes before a hit at its place, so the hit counts from there on
+    line = Window.partitionBy("d", "h").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    read = points.unionByName(edges).select(
+        "d", "h", "size", "start", "stop", "sign", *[F.sum(n).over(line).alias(n) for n in sums]
+    )
+    return (
+        read.where("sign IS NOT NULL")
+        .groupBy("d", "h", "size", "start", "stop")
+        .agg(*[F.sum(F.col(n) * F.col("sign")).alias(n) for n in sums])
+    )
 
 
 def _blocks(fp: Column) -> Column:
@@ -104,6 +147,60 @@ def near_items(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> Da
     )
 
 
+def _best_windows(chosen: DataFrame, hits: DataFrame, places: DataFrame, similarity: float) -> DataFrame:
+    """(d, h, c, best): for texts and contents ``chosen`` the best window, if it is good enough.
+
+    Exact, and linear in the hits: a hit adds to what a window shares with the content if
+    it lies inside and fewer than the content's number of equal ones lie before it there.
+    So it counts for the starts in one stretch, and running totals give what each window
+    shares. A best window starts at a shared shingle, or at the text's start and ends
+    behind one.
+    """
+    pair = ["d", "h", "c"]
+    shared = chosen.join(hits, ["d", "h"]).join(
+        places.select("c", "g", "size", F.size("places").alias("cap")), ["c", "g"]
+    )
+    equal = Window.partitionBy(*pair, "g").orderBy("at")
+    numbered = shared.withColumn("rn", F.row_number().over(equal))
+    earlier = numbered.select(*pair, "g", F.col("at").alias("before"), (F.col("rn") + F.col("cap")).alias("rn"))
+    reached = numbered.join(earlier, [*pair, "g", "rn"], "left")
+    first = F.greatest(F.coalesce(F.col("before"), F.lit(-(1 << 30))), F.col("at") - F.col("size")) + 1
+
+    def event(pos: Column, kind: int, n: int) -> Column:
+        return F.struct(pos.cast("int").alias("pos"), F.lit(kind).alias("kind"), F.lit(n).alias("n"))
+
+    events = reached.select(
+        *pair, "size", "most", "at", "rn", "cap",
+        F.explode(F.array(event(first, 0, 1), event(F.col("at") + 1, 0, -1), event(F.col("at"), 1, 0))).alias("e"),
+    )
+    line = Window.partitionBy(*pair).orderBy("e.pos", "e.kind").rowsBetween(Window.unboundedPreceding, 0)
+    is_start = F.col("e.kind") == 1
+    laid = events.select(
+        *pair, "size", "most", "at", "e.kind",
+        F.sum("e.n").over(line).alias("whole"),
+        F.sum(F.when(is_start & (F.col("rn") <= F.col("cap")), 1).otherwise(0)).over(line).alias("lead"),
+    ).where("kind = 1")
+    stop = F.least(F.col("at") + F.col("size"), F.col("most"))
+    windows = laid.select(
+        *pair, "size",
+        F.inline(
+            F.array(
+                F.struct(F.col("at").alias("start"), stop.alias("stop"), F.col("whole").alias("both")),
+                # cut at the text's start
+                F.struct(
+                    F.lit(0).alias("start"),
+                    (F.col("at") + 1).alias("stop"),
+                    F.when(F.col("at") + 1 < F.col("size"), F.col("lead")).otherwise(0).alias("both"),
+                ),
+            )
+        ),
+    )
+    either = F.col("stop") - F.col("start") + F.col("size") - F.col("both")
+    rated = windows.withColumn("similarity", F.col("both") / either).where(F.col("similarity") >= similarity)
+    best = F.max(F.struct("similarity", "start", (-F.col("stop")).alias("end")))
+    return rated.groupBy(*pair).agg(best.alias("best"))
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -113,19 +210,23 @@ def contaminated(
     item: str = "item_id",
     item_text: str = "text",
     similarity: float = SIMILARITY,
+    radius: int = RADIUS,
 ) -> DataFrame:
-    """(doc_id, h, item_id, start_word, similarity): passages of benchmark items in texts.
+    """(doc_id, h, item_id, start_word, n_words, similarity): passages of benchmark items in texts.
 
     Words are runs of letters and digits in lower case; shingles are five words. Windows
-    have the size of an item and lie anywhere in the text; one laid where a shared shingle
-    would be as in the item may also reach over an end of the text, and is cut there. The
-    similarity is the sum of the smaller over the sum of the greater counts of each
-    shingle. One row per text and item, with the best window, if it reaches ``similarity``.
+    have the size of an item, lie anywhere in the text, and are cut where they reach over
+    an end of it. The similarity is the sum of the smaller over the sum of the greater
+    counts of each shingle. One row per text and item, with the best window, if it reaches
+    ``similarity``; of equally good ones that which starts last, and is shortest.
 
-    No window that reaches it is missed. It must hold that share of the item's shingles,
-    so it holds one of any set that outweighs the rest: texts and items meet in such a
-    set of the item's rarest. A window that starts at no shared shingle can move right
-    to the next one, or to the text's end, without loss.
+    Windows that hold enough of the benchmark's shingles for the similarity get a
+    fingerprint of those, and a multi-index over blocks of bits finds every item of their
+    size within ``radius`` bits. Fingerprints follow the angle between counts; where a
+    shingle repeats, that can be far wider than the similarity says. Items with a repeated
+    shingle, and texts that repeat one of the benchmark's, are therefore also compared with
+    what shares one of an item's rarest shingles, of which a good window must hold one. All
+    candidates of either kind are compared exactly.
 
     ``h`` is the text's hash, which with the key tells rows apart; rows that repeat both
     are one text, or one item. Items of fewer than five words have no shingle and match
@@ -165,7 +266,7 @@ def contaminated(
         places.join(spread, "g")
         .withColumn("before", F.coalesce(F.sum(F.size("places")).over(rarest), F.lit(0)))
         .where(F.col("before") <= lacking)
-        .select("g", "c"),
+        .select("g", "c", "size"),
         "rarest-shingles",
     )
 
@@ -178,70 +279,52 @@ def contaminated(
     positions = _with_shingles(body, "text", "doc_id", "d", "h").select(
         "doc_id", "d", "h", F.size("g").alias("most"), F.posexplode_outer("g").alias("at", "g")
     )
-    hits = kept_table(positions.join(known, "g", "left_semi"), "shared-shingles")
+    met = kept_table(positions.join(known, "g", "left_semi"), "shared-shingles")
     # repeated rows are one text
-    once = hits.select("d", "h", "most", "at", "g").distinct()
-    pairs = kept_table(hits.select("d", "h", "g").join(asked, "g").select("d", "h", "c").distinct(), "pairs")
-
-    # a window that starts in block b of a text, blocks having its size, ends in b + 1
-    block = F.floor(F.col("at") / F.col("size")).cast("int")
-    least = F.lit(similarity) * F.col("size") - 1e-9
-    group = ["d", "h", "c", "size", "most", "b"]
-    groups = (
-        once.join(pairs, ["d", "h"])
-        .join(places, ["c", "g"])
-        .withColumn("b", F.explode(F.array(block, block - 1)))
-        .where("b >= 0")
-        .groupBy(*group)
-        .agg(F.collect_list(F.struct("at", "g", "places")).alias("hits"))
-        .where(F.size("hits") >= least)
+    hits = kept_table(met.select("d", "h", "most", "at", "g").distinct(), "hits")
+    near = kept_table(
+        hits.join(asked, "g").select("d", "h", "most", "c", "size").distinct(), "texts-near-items"
     )
 
-    def window(start: Column) -> Column:
-        """The window of the item's size at ``start``, without what is out of the text."""
-        first, last = F.greatest(start, F.lit(0)), F.least(start + F.col("size"), F.col("most"))
-        return F.struct(first.alias("start"), last.alias("stop"))
-
-    def inside(w: Column) -> Column:
-        return F.filter("hits", lambda x: (x["at"] >= w["start"]) & (x["at"] < w["stop"]))
-
-    # at a shared shingle, or as far right as the text allows, and as the item has it
-    starts = F.flatten(
-        F.transform(
-            "hits",
-            lambda x: F.concat(
-                F.array(F.greatest(F.least(x["at"], F.col("most") - F.col("size")), F.lit(0))),
-                F.transform(x["places"], lambda p: x["at"] - p),
-            ),
-        )
+    # windows of every size that can be in the text, from each shared shingle on, and cut at the start
+    most_sizes = near.select("d", "h", "size").distinct()
+    at, size = F.col("at"), F.col("size")
+    begun = F.struct(at.alias("start"), F.least(at + size, F.col("most")).alias("stop"))
+    cut = F.struct(F.lit(0).alias("start"), (at + 1).alias("stop"))
+    windows = (
+        hits.join(most_sizes, ["d", "h"])
+        .select("d", "h", "size", F.inline(F.when(at + 1 < size, F.array(begun, cut)).otherwise(F.array(begun))))
+        .distinct()
     )
-    laid = F.filter(
-        F.array_distinct(F.transform(F.array_distinct(starts), window)),
-        lambda w: (F.floor(w["start"] / F.col("size")) == F.col("b")) & (F.size(inside(w)) >= least),
+    enough = F.lit(similarity / (1 + similarity)) * (F.col("stop") - F.col("start") + size) - 1e-9
+    full = kept_table(
+        _over_windows(hits, windows, {"n": F.lit(1)}).where(F.col("n") >= enough), "full-windows"
     )
-    # exact: of each shingle the smaller count over the greater count, summed
-    shared = (
-        groups.select(*group, "hits", F.explode(laid).alias("w"))
-        .select(*group, "w.start", "w.stop", F.explode(inside(F.col("w"))).alias("x"))
-        .groupBy(*group, "start", "stop", "x.g")
-        .agg(F.least(F.count(F.lit(1)), F.first(F.size("x.places"))).alias("n"))
-        .groupBy(*group, "start", "stop")
-        .agg(F.sum("n").alias("both"))
+    weighed = hits.join(full.select("d", "h").distinct(), ["d", "h"], "left_semi")
+    counters = dict(zip(_COUNTERS, _counters(F.col("g"))))
+    printed = _over_windows(weighed, full, {"n": F.lit(1), **counters}).select(
+        F.struct("d", "h").alias("w"), "size", _fingerprint(F.col("n")).alias("fp")
     )
-    either = F.col("stop") - F.col("start") + F.col("size") - F.col("both")
-    best = (
-        shared.withColumn("similarity", F.col("both") / either)
-        .where(F.col("similarity") >= similarity)
-        .groupBy("d", "h", "c")
-        .agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"), "stop")).alias("best"))
+    weights = places.select("c", "size", "g", F.size("places").alias("n"))
+    item_prints = simhash(weights, ["c", "size"]).select(F.col("c").alias("item"), "size", "fp")
+    by_print = near_items(printed.distinct(), item_prints, radius).select("w.d", "w.h", F.col("item").alias("c"))
+
+    # the exact way beside it, where shingles repeat
+    of_items = places.where(F.size("places") > 1).select("c").distinct()
+    of_texts = hits.groupBy("d", "h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "h").distinct()
+    candidates = near.select("d", "h", "c")
+    by_shingle = candidates.join(of_items, "c", "left_semi").select("d", "h", "c").unionByName(
+        candidates.join(of_texts, ["d", "h"], "left_semi")
     )
-    keys = hits.select("doc_id", "d", "h").distinct()
+    chosen = kept_table(by_print.unionByName(by_shingle).distinct(), "candidates")
+    best = _best_windows(chosen, hits, places, similarity)
+    keys = met.select("doc_id", "d", "h").distinct()
     return best.join(keys, ["d", "h"]).join(shingled.select("c", "item_id"), "c").select(
         "doc_id",
         "h",
         "item_id",
-        (-F.col("best.before")).cast("bigint").alias("start_word"),
-        (F.col("best.stop") + F.col("best.before") + (SHINGLE - 1)).cast("bigint").alias("n_words"),
+        F.col("best.start").cast("bigint").alias("start_word"),
+        (-F.col("best.end") - F.col("best.start") + (SHINGLE - 1)).cast("bigint").alias("n_words"),
         F.col("best.similarity").alias("similarity"),
     )
 

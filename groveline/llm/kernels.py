@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,31 @@ def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(found.view(np.int64))
 
 
+def shingle_minima(text: str | None, size: int = 5) -> np.ndarray:
+    """Four least values over the shingles of a text: of 64 bits of their MD5, read as a ring
+    from its first, second, third and fourth quarter on.
+
+    Shingles are runs of ``size`` words, or all words if there are fewer.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64)
+    starts = np.concatenate([[0], ends[:-1]])[: max(1, len(words) - size + 1)]
+    last = ends[min(size, len(words)) - 1 :] - 1 if words else [0]
+    spans = zip(starts.tolist(), np.asarray(last).tolist())
+    digests = b"".join([md5(joined[a:b]).digest() for a, b in spans])
+    parts = np.frombuffer(digests, dtype=">u4").reshape(-1, 4).astype(np.uint64)
+    return ((parts << np.uint64(32)) | np.roll(parts, -1, axis=1)).min(axis=0)
+
+
+def page_minima(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """``shingle_minima`` of texts, as signed integers in the same order."""
+    for texts in batches:
+        found = np.array([shingle_minima(t) for t in texts], dtype=np.uint64).reshape(-1, 4)
+        signed = (found ^ np.uint64(1 << 63)).view(np.int64)
+        yield pd.DataFrame(signed, columns=["s0", "s1", "s2", "s3"])
+
+
 def close_pairs(
     left: np.ndarray, right: np.ndarray, radius: int, tile: int = 1024
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groveline.llm import kernels, simhash
+from groveline.llm import kernels
 from groveline.llm.columns import kept_table
-from groveline.llm.components import components
+from groveline.llm.components import with_least
 
 RATIO = 0.08
 MIN_PAGES = 3
 ADDED = "boilerplate_lines"
+# Boilerplate lines of all hosts together that may be broadcast, 16 bytes each.
+_BROADCAST_LINES = 1_000_000
+# A host with more than one row in so many is hot; there are fewer such hosts than that.
+_MOST_HOT = 1000
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -39,20 +43,41 @@ def _counts(docs: DataFrame, host: str, text: str, once: bool) -> tuple[DataFram
         on = pages.select("host", F.explode(ids).alias("line")).groupBy("host", "line").agg(one.alias("n"))
         return on, pages.groupBy("host").agg(one.alias("pages"))
 
-    fp = F.pandas_udf(kernels.fingerprints, "long")("text").alias("fp")
-    bodies = kept_table(pages.select("host", fp, ids.alias("lines")), "page-lines")
-    tied = kept_table(
-        components(simhash.links(bodies.select("fp").distinct())).withColumnRenamed("node", "fp"),
-        "copies",
+    minima = F.pandas_udf(kernels.page_minima, "s0 long, s1 long, s2 long, s3 long")("text")
+    marked = pages.select("host", minima.alias("s"), ids.alias("lines"))
+    bodies = kept_table(
+        marked.select("host", "s.*", F.xxhash64("host", "s.s0", "s.s1", "s.s2", "s.s3").alias("body"), "lines"),
+        "page-lines",
     )
+    named = _copies(bodies.select("host", "body", "s0", "s1", "s2", "s3").distinct())
 
     def of_groups(rows: DataFrame, by: list[str], n: str) -> DataFrame:
         # distinct before the join, so a hot group of copies is a few rows there
-        named = rows.distinct().join(tied, "fp", "left").select(*by, F.coalesce("root", "fp").alias("root"))
-        return named.distinct().groupBy(*by).agg(one.alias(n))
+        return rows.distinct().join(named, "body").select(*by, "copy").distinct().groupBy(*by).agg(one.alias(n))
 
-    on = of_groups(bodies.select("host", "fp", F.explode("lines").alias("line")), ["host", "line"], "n")
-    return on, of_groups(bodies.select("host", "fp"), ["host"], "pages")
+    on = of_groups(bodies.select("host", "body", F.explode("lines").alias("line")), ["host", "line"], "n")
+    return on, of_groups(bodies.select("host", "body"), ["host"], "pages")
+
+
+def _copies(bodies: DataFrame) -> DataFrame:
+    """(body, copy): what exact and near copies on a host have in common.
+
+    ``bodies`` has a row for each host and quadruple of least shingle values. Of two texts
+    each value is equal with the probability of their share of common shingles. The name of a
+    page is its first value; then, for one value after the other, pages with the same
+    value take the least of their names. So a page whose first value an edit changed gets the
+    name of its group by any of the others.
+    """
+    named = kept_table(bodies.withColumn("copy", F.col("s0")), "named-0")
+    n = named.count()
+    for s in ("s1", "s2", "s3", "s0"):
+        ends = named.select(F.struct("host", s).alias("u"), F.struct(*named.columns).alias("v"))
+        least = kept_table(
+            ends.groupBy("u").agg(F.min("v.copy").alias("m"), F.count(F.lit(1)).alias("n")), "least-names"
+        )
+        columns = [F.col(f"v.{c}") for c in named.columns if c != "copy"]
+        named = kept_table(with_least(ends, least, n).select(*columns, F.col("m").alias("copy")), "named")
+    return named.select("body", "copy")
 
 
 def boilerplate(
@@ -78,6 +103,31 @@ def boilerplate(
     )
 
 
+def _beside(docs: DataFrame, host: str, found: DataFrame) -> DataFrame:
+    """``docs`` with the ``lines`` (null for none) of their host as ``__line_dedup_lines``.
+
+    So few lines that they take 16 MB at most are broadcast. Beyond that hosts with a large share of all
+    rows meet theirs by broadcast, and the rows of all others are shuffled.
+    """
+    name, lines = "__line_dedup_host", "__line_dedup_lines"
+    found = found.select(F.col("host").alias(name), F.col("lines").alias(lines))
+    if (found.agg(F.sum(F.size(lines))).first()[0] or 0) <= _BROADCAST_LINES:
+        return docs.join(F.broadcast(found), docs[f"`{host}`"] == F.col(name), "left")
+    sizes = docs.groupBy(F.col(f"`{host}`").alias(name)).agg(F.count(F.lit(1)).alias("n"))
+    total = docs.count()
+    hot = kept_table(
+        sizes.where((F.col("n") * _MOST_HOT > total) & F.col(name).isNotNull())
+        .join(found, name, "left")
+        .select(name, lines, F.lit(True).alias("__line_dedup_hot")),
+        "hot-hosts",
+    )
+    marked = docs.join(F.broadcast(hot), docs[f"`{host}`"] == F.col(name), "left")
+    stay = marked.where("__line_dedup_hot").drop("__line_dedup_hot")
+    move = marked.where("__line_dedup_hot IS NULL").drop(name, lines, "__line_dedup_hot")
+    moved = move.join(found, move[f"`{host}`"] == F.col(name), "left")
+    return stay.select([f"`{c}`" for c in moved.columns]).unionAll(moved)
+
+
 def drop_boilerplate(
     docs: DataFrame,
     *,
@@ -93,7 +143,7 @@ def drop_boilerplate(
     of that name.
 
     A page is a row, so repeated rows are repeated pages, unless ``copies_once``: then exact
-    and near copies (those that near-dedup puts into one component) are one page of a host,
+    and near copies, as told by the least of their five-word shingles, are one page of a host,
     with the lines of all of them, so that no group of copies makes boilerplate of its own
     text. A line counts once per page,
     blanks around it do not matter, and blank lines always stay. Pages without a host
@@ -105,8 +155,8 @@ def drop_boilerplate(
             docs, host=host, text=text, ratio=ratio, min_pages=min_pages, copies_once=copies_once
         ),
         "boilerplate",
-    ).select(F.col("host").alias("__line_dedup_host"), F.col("lines").alias("__line_dedup_lines"))
-    joined = docs.join(found, docs[f"`{host}`"] == found["__line_dedup_host"], "left")
+    )
+    joined = _beside(docs, host, found)
     split = joined.withColumn("__line_dedup_split", F.split(F.col(f"`{text}`"), "\n"))
     kept = F.filter(
         "__line_dedup_split", lambda x: _is_blank(x) | ~F.array_contains(F.col("__line_dedup_lines"), _line_id(x))

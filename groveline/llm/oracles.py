@@ -125,15 +125,37 @@ FROM texts LEFT JOIN listed USING (r)"""
 
 def _lines() -> str:
     trimmed = "trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    # names of copies: the first value, then the least name among pages with the same value
+    names, before = [], "sigs"
+    for k, s in enumerate(("s1", "s2", "s3", "s0")):
+        names.append(
+            f"named{k} AS (SELECT * REPLACE (min(copy) OVER (PARTITION BY source, {s}) AS copy) FROM {before})"
+        )
+        before = f"named{k}"
     return f"""
 WITH pages AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
+words AS (
+  SELECT r, unnest(w) AS word, unnest(range(len(w))) AS p, len(w) AS n
+  FROM (SELECT r, regexp_extract_all(text, '{_WORD}') AS w FROM pages)),
+runs AS (
+  SELECT r, p, n, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS g
+  FROM words),
+hashes AS (
+  SELECT r, md5(g) AS h FROM runs WHERE p = 0 OR p + 5 <= n
+  UNION ALL SELECT r, md5('') FROM pages WHERE r NOT IN (SELECT r FROM words)),
+sigs AS (
+  SELECT r, source, s0 AS copy, s0, s1, s2, s3 FROM pages JOIN (
+    SELECT r, min(substr(h, 1, 16)) AS s0, min(substr(h, 9, 16)) AS s1, min(substr(h, 17, 16)) AS s2,
+      min(substr(h, 25, 8) || substr(h, 1, 8)) AS s3 FROM hashes GROUP BY r) USING (r)
+  WHERE source IS NOT NULL),
+{", ".join(names)},
 split AS (
   SELECT r, source, unnest(string_split(text, chr(10))) AS x,
     unnest(range(len(string_split(text, chr(10))))) AS i FROM pages),
 cut AS (SELECT r, source, i, x, {trimmed} AS line FROM split),
 shares AS (
-  SELECT source, line, count(DISTINCT r) AS n FROM cut WHERE line <> '' AND source IS NOT NULL GROUP BY ALL),
-totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY ALL),
+  SELECT c.source, line, count(DISTINCT copy) AS n FROM cut c JOIN {before} USING (r) WHERE line <> '' GROUP BY ALL),
+totals AS (SELECT source, count(DISTINCT copy) AS pages FROM {before} GROUP BY ALL),
 frequent AS (
   SELECT source, line FROM shares JOIN totals USING (source)
   WHERE n >= {lines.MIN_PAGES} AND n > {lines.RATIO}::DOUBLE * pages),
@@ -165,7 +187,7 @@ FROM bodies JOIN first USING (html)"""
 
 
 def _decontamination() -> str:
-    """Exact similarity of all aligned windows, without fingerprints."""
+    """Exact similarity of the windows at all starts, without fingerprints."""
 
     def shingles(name: str, table: str, key: str) -> str:
         return f"""
@@ -183,23 +205,26 @@ def _decontamination() -> str:
     return f"""
 WITH {shingles("texts", "documents", "doc_id")},
 {shingles("items", "benchmark", "item_id")},
+counts AS (SELECT r AS i, item_id, most AS size, g, count(*) AS n FROM items GROUP BY ALL),
+hits AS (SELECT t.r, i, t.most, size, t.p, t.g, c.n FROM texts t JOIN counts c USING (g)),
+-- a good window holds as many shared shingles as this, so its text does
+pairs AS (
+  SELECT r, i, size, most FROM hits GROUP BY ALL HAVING count(*) >= {decontaminate.SIMILARITY}::DOUBLE * size - 1e-9),
 windows AS (
-  SELECT DISTINCT t.r, t.doc_id, i.most AS size, greatest(t.p - i.p, 0) AS start,
-    least(t.p - i.p + i.most, t.most) AS stop
-  FROM texts t JOIN items i USING (g)),
+  SELECT DISTINCT r, i, size, greatest(s, 0) AS start, least(s + size, most) AS stop
+  FROM (SELECT r, i, size, most, unnest(range(1 - size, most)) AS s FROM pairs)),
 contents AS (
-  SELECT w.r, w.doc_id, size, start, stop, g, count(*) AS n FROM windows w
-  JOIN texts t ON t.r = w.r AND t.p >= start AND t.p < stop GROUP BY ALL),
-counts AS (SELECT item_id, most AS size, g, count(*) AS n FROM items GROUP BY ALL),
-shared AS (
-  SELECT r, doc_id, c.size, start, stop, item_id, sum(least(c.n, i.n)) AS common
-  FROM contents c JOIN counts i USING (size, g) GROUP BY ALL),
+  SELECT w.r, w.i, w.size, start, stop, h.g, least(count(*), any_value(h.n)) AS n
+  FROM windows w JOIN hits h ON h.r = w.r AND h.i = w.i AND h.p >= start AND h.p < stop GROUP BY ALL),
+shared AS (SELECT r, i, size, start, stop, sum(n) AS common FROM contents GROUP BY ALL),
 held AS (
   SELECT *, common::DOUBLE / (stop - start + size - common) AS similarity FROM shared
-  WHERE common::DOUBLE / (stop - start + size - common) >= {decontaminate.SIMILARITY}::DOUBLE)
+  WHERE common::DOUBLE / (stop - start + size - common) >= {decontaminate.SIMILARITY}::DOUBLE),
+best AS (
+  SELECT * FROM held QUALIFY row_number() OVER (PARTITION BY r, i ORDER BY similarity DESC, start DESC, stop) = 1)
 SELECT doc_id, item_id, start::BIGINT AS start_word, (stop - start + 4)::BIGINT AS n_words,
   round(similarity, 6) AS similarity
-FROM held QUALIFY row_number() OVER (PARTITION BY r, item_id ORDER BY similarity DESC, start, stop DESC) = 1"""
+FROM best JOIN (SELECT DISTINCT r, doc_id FROM texts) USING (r) JOIN (SELECT DISTINCT i, item_id FROM counts) USING (i)"""
 
 
 _GOOD = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"

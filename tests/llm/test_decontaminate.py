@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 from groveline.llm import decontaminate
@@ -11,29 +12,23 @@ def shingles(text):
 
 
 def brute(docs, items, similarity=0.8):
-    """All windows of the size of an item that are laid on a shared shingle."""
+    """All windows of an item's size that touch the text, cut at its ends."""
     found = {}
     for key, text in docs:
         own = shingles(text)
-        windows = set()
-        for _, item in items:
-            given = shingles(item)
-            for i, a in enumerate(own):
-                for j, b in enumerate(given):
-                    if a == b:
-                        windows.add((len(given), max(i - j, 0), min(i - j + len(given), len(own))))
         for name, item in items:
             given = Counter(shingles(item))
-            for size, start, stop in windows:
-                if size != given.total():
-                    continue
+            size = given.total()
+            if len([g for g in own if g in given]) < similarity * size or not size:
+                continue
+            for at in range(1 - size, len(own)):
+                start, stop = max(at, 0), min(at + size, len(own))
                 window = Counter(own[start:stop])
-                both = (window & given).total()
-                share = both / (window | given).total()
+                share = (window & given).total() / (window | given).total()
                 if share >= similarity:
-                    best = found.get((key, name), (0, 0))
-                    found[key, name] = max(best, (share, -start))
-    return {(k, n, -s, round(v, 6)) for (k, n), (v, s) in found.items()}
+                    best = found.get((key, name), (0, 0, 0))
+                    found[key, name] = max(best, (share, start, -stop))
+    return {(k, n, s, round(v, 6)) for (k, n), (v, s, _) in found.items()}
 
 
 def got(spark, docs, items, **options):
@@ -149,3 +144,37 @@ def test_moved_parts_and_repeated_shingles(spark):
     want = slid(docs, items)
     assert len([w for w in want if w[0] == w[1]]) == 25 and len(want) == 49
     assert {(d, i, s) for d, i, _, s in got(spark, docs, items)} == want
+
+
+def test_long_items_with_repeated_words_take_seconds(spark):
+    """Linear in the item: 20,000 words, of one word, of a few, and all different."""
+    draw = random.Random(1)
+    same, few, apart = ["word"] * 20_000, [draw.choice("abc") for _ in range(20_000)], ["v%d" % i for i in range(20_000)]
+    items = [(i, " ".join(w)) for i, w in enumerate((same, few, apart))]
+    docs = [(i, " ".join(["lead", "in", *w[1000:], "end"])) for i, w in enumerate((same, few, apart))]
+    docs.append((9, " ".join(apart[:9000])))
+    start = time.time()
+    found = got(spark, docs, items)
+    assert {(d, i) for d, i, *_ in found} == {(0, 0), (1, 1), (2, 2)}
+    assert all(0.94 < s < 0.951 for *_, s in found)
+    assert time.time() - start < 120
+
+
+def test_the_plan_goes_by_fingerprints(spark, monkeypatch):
+    """Distinct shingles reach the comparison through the multi-index alone."""
+    item = ["u%d" % i for i in range(60)]
+    docs = [(1, " ".join(["x%d" % i for i in range(50)] + item[:56] + ["other", "end"]))]
+    assert {r[:2] for r in got(spark, docs, [(1, " ".join(item))])} == {(1, 1)}
+    calls = []
+    near = decontaminate.near_items
+    monkeypatch.setattr(decontaminate, "near_items", lambda w, i, r: calls.append(r) or near(w, i, r).limit(0))
+    assert got(spark, docs, [(1, " ".join(item))]) == set() and calls == [decontaminate.RADIUS]
+
+
+def test_repeated_shingles_have_their_own_way(spark, monkeypatch):
+    """Where the counts of one shingle differ the fingerprints are far apart."""
+    near = decontaminate.near_items
+    monkeypatch.setattr(decontaminate, "near_items", lambda w, i, r: near(w, i, r).limit(0))
+    item = ["u%d" % i for i in range(70)] + ["run"] * 12
+    docs = [(1, " ".join(item[:72])), (2, " ".join(item[:70] + ["run"] * 16))]
+    assert got(spark, docs, [(1, " ".join(item))]) == brute(docs, [(1, " ".join(item))]) != set()

@@ -1,16 +1,40 @@
+import hashlib
+import re
 from collections import Counter, defaultdict
 
-from groveline.llm import lines
+from groveline.llm import lines, queries
 
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def brute(rows, ratio, min_pages):
+def copies(rows):
+    """For every row the name that exact and near copies on its host share."""
+
+    def minima(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        runs = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+        rings = [2 * hashlib.md5(run.encode()).hexdigest() for run in runs]
+        return [min(ring[8 * k : 8 * k + 16] for ring in rings) for k in range(4)]
+
+    values = [minima(text) for *_, text in rows]
+    names = [v[0] for v in values]
+    for k in (1, 2, 3, 0):
+        least = {}
+        for (_, host, _), v, name in zip(rows, values, names):
+            least[host, v[k]] = min(name, least.get((host, v[k]), name))
+        names = [least[host, v[k]] for (_, host, _), v in zip(rows, values)]
+    return names
+
+
+def brute(rows, ratio, min_pages, once=False):
     pages, on = Counter(), defaultdict(Counter)
-    for _, host, text in rows:
+    bodies = {}
+    for i, ((_, host, text), name) in enumerate(zip(rows, copies(rows) if once else range(len(rows)))):
         if host is not None:
-            pages[host] += 1
-            on[host].update({x.strip(BLANKS) for x in (text or "").split("\n")} - {""})
+            bodies.setdefault((host, name), set()).update({x.strip(BLANKS) for x in (text or "").split("\n")} - {""})
+    for (host, _), lines_of in bodies.items():
+        pages[host] += 1
+        on[host].update(lines_of)
     out = []
     for key, host, text in rows:
         kept = [
@@ -38,10 +62,42 @@ def test_equals_plain_python(spark, corpus, edge):
     docs = spark.createDataFrame(made, "doc_id bigint, source string, text string")
     for table, ratio, least in ((docs, 0.3, 3), (docs, 0.1, 2), (corpus, 0.08, 3), (edge, 0.2, 2)):
         rows = [(r["doc_id"], r["source"], r["text"]) for r in table.select("doc_id", "source", "text").collect()]
-        found = lines.drop_boilerplate(table, ratio=ratio, min_pages=least)
-        got = [(r["doc_id"], r["text"], r[lines.ADDED]) for r in found.collect()]
-        assert ordered(got) == ordered(brute(rows, ratio, least))
-        assert found.columns == [*table.columns, lines.ADDED]
+        for once in (False, True):
+            found = lines.drop_boilerplate(table, ratio=ratio, min_pages=least, copies_once=once)
+            got = [(r["doc_id"], r["text"], r[lines.ADDED]) for r in found.collect()]
+            assert ordered(got) == ordered(brute(rows, ratio, least, once))
+            assert found.columns == [*table.columns, lines.ADDED]
+
+
+def test_the_query_equals_plain_python(spark):
+    """As registered, on all rows of a larger table."""
+    path = "/root/testdata/sf0.01"
+    rows = [(r["doc_id"], r["source"], r["text"]) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
+    got = [(r["doc_id"], r["text"], r[lines.ADDED]) for r in queries.op7_line_dedup(spark, path).collect()]
+    assert ordered(got) == ordered(brute(rows, lines.RATIO, lines.MIN_PAGES, True))
+    assert sum(r[2] for r in got) > 50
+
+
+def test_lines_just_above_and_below_the_ratio(spark):
+    """Of 100 pages 9 hold one line and 8 the other; copies of those change nothing."""
+    rows = [(i, "h", f"own {i}\n" + "over\n" * (i < 9) + "under\n" * (i < 8) + "end") for i in range(100)]
+    rows += [(200 + i, "h", rows[0][2]) for i in range(50)]
+    table = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    found = lines.drop_boilerplate(table, copies_once=True)
+    got = [(r["doc_id"], r["text"], r[lines.ADDED]) for r in found.collect()]
+    assert ordered(got) == ordered(brute(rows, 0.08, 3, True))
+    assert {r[0]: r[1] for r in got}[200] == "own 0\nunder\n"[:-1]
+
+
+def test_hosts_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lines, "_BROADCAST_LINES", 0)
+    monkeypatch.setattr(lines, "_MOST_HOT", 4)
+    hosts = ["hot"] * 60 + [f"h{i % 9}" for i in range(60)] + [None] * 9
+    rows = [(i, h, f"menu of {h}\nbody {i}\nfoot") for i, h in enumerate(hosts)]
+    table = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    found = lines.drop_boilerplate(table)
+    assert ordered((r["doc_id"], r["text"], r[lines.ADDED]) for r in found.collect()) == ordered(brute(rows, 0.08, 3))
+    assert found.columns == [*table.columns, lines.ADDED]
 
 
 def test_column_of_the_added_name_is_replaced(edge, empty):
@@ -56,7 +112,6 @@ def test_a_hot_group_of_copies_keeps_its_text(spark, tmp_path):
     import random
 
     import corpus_pipeline
-    from groveline.llm import queries
 
     draw = random.Random(7)
 
