@@ -47,10 +47,12 @@ def train(
     dims: int = DIMS,
     clusters: int = CLUSTERS,
 ) -> Model:
-    """Fit on about ``sample`` rows of each language, drawn by a hash of the key.
+    """Fit centroids on about ``sample`` rows of each language; weigh dimensions over all rows.
 
-    The bound is on rows, for each language; it keeps the fit small whatever the corpus.
-    The share drawn follows from the number of rows of each language, over all data. The
+    The bound is on rows, for each language; it keeps the clustering small whatever the corpus.
+    The share drawn follows from the number of rows of each language, over all data, and a
+    hash of key, text and row number draws, so that rows with one key are drawn one by
+    one. Document frequencies are counted over all rows. The
     driver receives one row per language, per dimension and per centroid. Rows without
     text, language, key or letter teach nothing; without any row the model is empty.
     """
@@ -61,14 +63,15 @@ def train(
     idf = np.ones(dims, dtype=np.float32)
     if not sizes:
         return Model([], np.zeros((0, dims), np.float32), np.zeros(0), idf)
-    # the language decides how likely a row is drawn, its key whether it is
+    # the language decides how likely a row is drawn, the row itself whether it is
     limits = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(sample / n * _STEPS))])
-    draw = F.pmod(F.xxhash64(F.lit("language"), "key"), F.lit(_STEPS))
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    draw = F.pmod(F.xxhash64(F.lit("language"), "key", "text", "row"), F.lit(_STEPS))
     drawn = kept_table(
-        rows.where(draw < limits[F.col("lang")]).select("lang", "text"), "language-sample"
+        numbered.where(draw < limits[F.col("lang")]).select("lang", "text"), "language-sample"
     )
     met = (
-        drawn.select("text")
+        rows.select("text")
         .mapInPandas(kernels.document_frequencies(dims), "dim int, n bigint")
         .groupBy("dim")
         .agg(F.sum("n").alias("n"))

@@ -13,6 +13,8 @@ from groveline.llm.columns import kept_table
 SHARDS = 16
 TOLERANCE = 0.005
 ROWS_PER_PART = 1_000_000
+# Parts in which shards are sorted, at most: what the driver holds is bounded by them.
+MOST_PARTS = 256
 _LEVELS = ("h", "d", "r")
 _LOW, _HIGH = -(2**63), 2**63
 _FIRST_BITS, _NEXT_BITS = 12, 6
@@ -36,7 +38,7 @@ class _Target:
 
 
 def sort_keys(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, size, text_crc32) and the sort key: text hash, key hash, row number.
+    """(row, size, h, d, r): each row whole, its size, and its sort key: text hash, key hash, row number.
 
     Equal texts are neighbours. The row number decides between repeated rows only; the
     table is written once, which fixes it.
@@ -44,9 +46,8 @@ def sort_keys(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Da
     body = F.col(f"`{text}`")
     return kept_table(
         docs.select(
-            F.col(f"`{key}`").alias("doc_id"),
+            F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
             (F.coalesce(F.octet_length(body), F.lit(0)) + 1).cast("bigint").alias("size"),
-            F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("text_crc32"),
             F.xxhash64(body).alias("h"),
             F.xxhash64(F.col(f"`{key}`")).alias("d"),
             F.monotonically_increasing_id().alias("r"),
@@ -146,7 +147,7 @@ def _part(bounds: list[tuple[int, ...]]) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), search)
 
 
-def shard(
+def deal(
     docs: DataFrame,
     shards: int = SHARDS,
     *,
@@ -154,10 +155,12 @@ def shard(
     text: str = "text",
     tolerance: float = TOLERANCE,
     rows_per_part: int = ROWS_PER_PART,
+    most_parts: int = MOST_PARTS,
 ) -> DataFrame:
-    """Deal rows into shards of nearly equal bytes: law ``bytes``.
+    """(row, size, shard, slot): all rows, whole, dealt into shards of nearly equal bytes.
 
-    A row's size is the UTF-8 bytes of its text and one more; a null text has none. Rows
+    ``row`` is a struct of all columns. A row's size is the UTF-8 bytes of its text and
+    one more; a null text has none. Rows
     are sorted by text hash, key hash and row number. Exact counts of bytes below probes,
     refined until within ``tolerance`` of a shard's size, give the splitters. Equal texts
     stay in one shard where a boundary between texts meets the tolerance; a larger group
@@ -165,20 +168,20 @@ def shard(
     tolerance the nearest boundary between rows is taken.
 
     ``slot`` numbers a shard's rows in sort order from 0. Within shards rows are cut into
-    parts of about ``rows_per_part`` by splitters of the same kind, so that no task sorts
-    a whole shard; the exact counts below each part give its first slot.
+    parts of about ``rows_per_part``, at most ``most_parts`` of them, by splitters of the
+    same kind, so that no task sorts a whole shard; the exact counts below each part give
+    its first slot. Each row moves once, to its part.
 
     Null keys and repeated rows are rows like any other; an empty table gives no row.
-    Extra columns are left out, so that their names cannot clash.
     """
     keys = sort_keys(docs, key=key, text=text)
     total = keys.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     n_bytes, n_rows = total["bytes"] or 0, total["rows"]
     mean = n_bytes / shards
     by_bytes = [_Target("bytes", mean * j, mean * tolerance) for j in range(1, shards)]
-    parts = math.ceil(n_rows / rows_per_part)
+    parts = min(most_parts, math.ceil(n_rows / rows_per_part))
     by_rows = [
-        _Target("rows", n_rows * j / parts, rows_per_part / 4) for j in range(1, parts)
+        _Target("rows", n_rows * j / parts, n_rows / parts / 4) for j in range(1, parts)
     ]
     splitters(keys, by_bytes + by_rows)
     first = (_LOW,)
@@ -190,15 +193,30 @@ def shard(
     slot_of = [rows_below[b] - rows_below[starts[s]] for b, s in zip(bounds, shard_of)]
     order = F.row_number().over(Window.partitionBy("part").orderBy(*_LEVELS))
     placed = keys.withColumn("part", _part(bounds[1:]))
-    numbered = placed.withColumn("order", order)
-    return numbered.select(
-        "doc_id",
+    return placed.withColumn("order", order).select(
+        "row",
         "size",
-        "text_crc32",
-        F.lit("bytes").alias("law"),
         F.get(F.array(*map(F.lit, shard_of)), F.col("part")).alias("shard"),
         (F.get(F.array(*[F.lit(s).cast("bigint") for s in slot_of]), F.col("part")) + F.col("order") - 1)
         .cast("bigint")
         .alias("slot"),
+    )
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of the rows as ``deal`` deals them.
+
+    The checksum is that of the text that arrived in the shard. Extra columns are left out,
+    so that their names cannot clash.
+    """
+    dealt = deal(docs, shards, key=key, text=text, **options)
+    body = F.coalesce(F.col("row").getField(text), F.lit(""))
+    return dealt.select(
+        F.col("row").getField(key).alias("doc_id"),
+        "size",
+        F.crc32(body.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )

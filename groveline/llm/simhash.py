@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from groveline.llm import kernels
 from groveline.llm.columns import kept_table
-from groveline.llm.components import components
+from groveline.llm.components import components, with_least
 
 RADIUS = 4
 _BUCKET = 8192
@@ -79,7 +79,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def classes(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, root, component_id, rep) for every fingerprint of a fingerprint table.
+    """(fp, root, copies, component_id, rep) for every fingerprint of a fingerprint table.
 
     ``root`` stands for the component, ``component_id`` is its smallest key, and ``rep``
     the hashes of the row that stays of it: of those with the smallest key (null last),
@@ -87,17 +87,25 @@ def classes(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "d")
     distinct = kept_table(
-        marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(own).alias("rep")),
+        marked.groupBy("fp").agg(
+            F.min("doc_id").alias("least"), F.min(own).alias("rep"), F.count(F.lit(1)).alias("copies")
+        ),
         "distinct-fingerprints",
     )
     tied = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", "rep", F.coalesce("root", "fp").alias("root")
+    rooted = kept_table(
+        distinct.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select(
+            "fp", "least", "rep", "copies", F.coalesce("root", "fp").alias("root")
+        ),
+        "rooted-fingerprints",
     )
-    whole = rooted.groupBy("root").agg(
-        F.min("least").alias("component_id"), F.min("rep").alias("rep")
+    # a component with a large share of the fingerprints meets its class by broadcast
+    found = F.struct(F.min("least").alias("component_id"), F.min("rep").alias("rep"))
+    whole = kept_table(
+        rooted.groupBy(F.col("root").alias("u")).agg(found.alias("m"), F.count(F.lit(1)).alias("n")), "classes"
     )
-    return rooted.select("fp", "root").join(whole, "root")
+    ends = rooted.select(F.col("root").alias("u"), F.struct("fp", "copies").alias("v"))
+    return with_least(ends, whole, rooted.count()).select("v.fp", F.col("u").alias("root"), "v.copies", "m.*")
 
 
 def near_duplicates(
@@ -113,12 +121,24 @@ def near_duplicates(
     null. An empty table gives no row. Other columns are left out.
     """
     marked = fingerprint_table(docs, key=key, text=text)
-    named = classes(marked, radius).select("fp", "component_id")
-    return marked.join(named, "fp").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id",
+    named = kept_table(
+        classes(marked, radius).select(
+            F.col("fp").alias("u"), F.col("component_id").alias("m"), F.col("copies").alias("n")
+        ),
+        "fingerprint-classes",
     )
+    # a fingerprint of many copies meets its class by broadcast
+    ends = marked.select(F.col("fp").alias("u"), F.struct("doc_id").alias("v"))
+    return with_least(ends, _never_null(named), marked.count()).select(
+        "v.doc_id",
+        F.lower(F.lpad(F.hex("u"), 16, "0")).alias("fingerprint"),
+        F.col("m.id").alias("component_id"),
+    )
+
+
+def _never_null(named: DataFrame) -> DataFrame:
+    """``m`` in a struct, since a component of null keys has a null id."""
+    return named.select("u", F.struct(F.col("m").alias("id")).alias("m"), "n")
 
 
 def keep_first(

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groveline.llm import warcfiles
-from groveline.llm.columns import kept_table
+from groveline.llm.columns import kept_table, left_join_hot
 from groveline.sources.scratch import fresh_path
 
 DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 1 << 30
 RANGE_BYTES = 16 << 20
+# Reading tasks at most; beyond them a task reads several ranges.
+MOST_TASKS = 50_000
 # The base32 alphabet.
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -48,11 +50,13 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         .groupBy("sha1")
         .agg(F.count(F.lit(1)).alias("copies"), F.min("page_id").alias("first_id"))
         .where("copies > 1 AND first_id IS NOT NULL")
-        .select("sha1", "first_id"),
+        .select("sha1", "copies", "first_id"),
         "payloads",
     )
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    return body.join(first, "sha1", "left").select(
+    # a payload with a large share of all rows meets its first page by broadcast
+    total = first.agg(F.sum("copies")).first()[0] or 0
+    return left_join_hot(body, first, "sha1", "copies", total).select(
         "page_id",
         "url",
         "html",
@@ -94,14 +98,17 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
 
     (path, place, record_type, page_id, url, refers_to, digest, payload), with ids as
     text and the payload of responses. A file is cut into ranges of ``range_bytes``. A
-    task looks for gzip magic in its range, takes a place as a record if its decoded
+    task looks for gzip magic in its ranges, of which there is one a task up to ``MOST_TASKS``, takes a place as a record if its decoded
     bytes are a record's header, and owns the records that start in the range, to their
     end. A digest that does not fit its payload fails the job.
     """
     starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("bigint"))
     ranges = files.where("bytes > 0").select("path", F.explode(starts).alias("start"))
     cut = ranges.withColumn("stop", F.col("start") + range_bytes)
-    spread = cut.repartition("path", "start")
+    # a range's row is small whatever it stands for, so the number of tasks is said: adaptive
+    # execution would merge them by the bytes of those rows
+    n = files.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
+    spread = cut.repartition(min(int(n), MOST_TASKS))
     return spread.mapInPandas(
         warcfiles.archive_reader(),
         "path string, place bigint, record_type string, page_id string, url string,"

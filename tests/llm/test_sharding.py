@@ -73,3 +73,19 @@ def test_edges(edge, empty, edge_rows):
     assert len(rows) == len(edge_rows)
     assert sharding.shard(empty).collect() == []
     check_law(edge.limit(1))
+
+
+def test_rows_arrive_whole_in_their_shards(edge):
+    rows = sharding.deal(edge, rows_per_part=2).collect()
+    assert Counter(tuple(r["row"]) for r in rows) == Counter(map(tuple, edge.collect()))
+    assert rows[0]["row"].asDict().keys() == edge.first().asDict().keys()
+
+
+def test_parts_and_what_the_driver_holds_are_bounded(spark, monkeypatch):
+    """Far more rows than parts: the targets, and so the counts that come to the driver, stay few."""
+    seen = []
+    found = sharding.splitters
+    monkeypatch.setattr(sharding, "splitters", lambda keys, targets: seen.append(len(targets)) or found(keys, targets))
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    check_law(docs, rows_per_part=10, most_parts=40)
+    assert seen == [15 + 39]

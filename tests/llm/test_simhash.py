@@ -129,3 +129,34 @@ def test_ends_of_hot_nodes_stay_where_they_are(spark, monkeypatch):
 
 def test_components_of_no_edges(spark):
     assert components.components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
+
+
+def test_a_hot_component_and_hot_copies(spark):
+    """Most rows in one component, many of them exact copies, among more than a thousand others."""
+    words = ["w%d" % i for i in range(300)]
+    near = [" ".join(words[: 280 + i % 7]) for i in range(40)]
+    rows = [(5000 - i, near[i % 40]) for i in range(1500)] + [(i, f"own text number {i} of its kind {i * 7}") for i in range(1200)]
+    rows += [(None, near[0]), (None, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = simhash.near_duplicates(docs).collect()
+    assert len(found) == len(rows)
+    prints = {}
+    for r in found:
+        prints.setdefault(r["component_id"], set()).add(int(r["fingerprint"], 16))
+    of_near = {r["component_id"] for r in found if r["doc_id"] is not None and r["doc_id"] > 3500}
+    # reachable by links of four bits or fewer, and every component apart from all others
+    everything = sorted({p for s in prints.values() for p in s})
+    root = {p: p for p in everything}
+
+    def top(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for i, a in enumerate(everything):
+        for b in everything[:i]:
+            if (a ^ b).bit_count() <= 4 and top(a) != top(b):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    assert len({top(p) for p in everything}) == len(prints)
+    assert all(len({top(p) for p in s}) == 1 for s in prints.values())
+    assert all(c is None or c <= 5000 for c in of_near)

@@ -90,3 +90,20 @@ def test_empty_table_and_extra_columns(spark):
 
     extra = table(spark).withColumns({c: F.lit(1) for c in ("sha1", "n", "first_id", "record_type", "refers_to")})
     assert warc.round_trip(extra).count() == len(PAGES)
+
+
+def test_reading_tasks_follow_the_ranges(spark):
+    files = warc.write_archives(table(spark).coalesce(1))
+    size = files.first()["bytes"]
+    for n in (1, 24, 172):
+        step = -(-size // n)
+        read = warc.read_archives(files, range_bytes=step)
+        ranges = -(-size // step)
+        assert read.rdd.getNumPartitions() == ranges
+        assert read.count() == len(PAGES)
+
+
+def test_a_hot_payload_is_met_by_broadcast(spark):
+    pages = [(i, f"http://h/{i}", "<p>everywhere</p>" if i % 3 else f"<p>{i // 6}</p>") for i in range(4500)]
+    got = [tuple(r) for r in warc.round_trip(table(spark, pages)).collect()]
+    assert sorted(got, key=repr) == brute(pages)
