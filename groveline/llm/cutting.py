@@ -137,7 +137,7 @@ def spans(first: np.ndarray, hashes: np.ndarray, fewest: int, least_words: int)
 
 
 def cutter(fewest: int, least_words: int, longest: int):
-    """A function for mapInArrow: every text's unit bounds and spans beside its other columns."""
+    """A function for mapInArrow: every text's number of units and its spans beside its other columns."""
 
     def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
@@ -146,40 +146,45 @@ def cutter(fewest: int, least_words: int, longest: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bounds, units, found = [], [], []
+            n_units, units, found = [], [], []
             for text in batch.column("text").to_pylist():
-                edges, first, hashes = cut(text or "", longest)
+                _, first, hashes = cut(text or "", longest)
                 sizes, runs = spans(first, hashes, fewest, least_words)
-                bounds.append(edges)
+                n_units.append(len(first) - 1)
                 units.append(sizes)
                 found.append(runs)
             others = [c for c in batch.schema.names if c != "text"]
             columns = [batch.column(c) for c in others]
-            columns += [lists(bounds, pa.int32()), lists(units, pa.int32()), lists(found, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*others, "bounds", "units", "spans"])
+            columns += [pa.array(n_units, type=pa.int32()), lists(units, pa.int32()), lists(found, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*others, "n_units", "units", "spans"])
 
     return rows
 
 
-def span_remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: texts without the units from each ``start`` on, ``units`` many."""
-    for batch in batches:
-        texts, removed = [], []
-        listed = batch.column("gone").to_pylist()
-        for text, edges, gone in zip(batch.column("text").to_pylist(), batch.column("bounds"), listed):
-            if not gone:
-                texts.append(text)
-                removed.append(0)
-                continue
-            edges = edges.values.to_numpy()
-            covered = np.zeros(len(edges), dtype=np.int64)
-            np.add.at(covered, [s["start"] for s in gone], 1)
-            np.add.at(covered, [s["start"] + s["units"] for s in gone], -1)
-            lost = np.cumsum(covered)[:-1] > 0
-            kept = [text[a:b] for a, b in zip(edges[:-1][~lost], edges[1:][~lost])]
-            texts.append(text[: edges[0]] + "".join(kept))
-            removed.append(int(lost.sum()))
-        others = [c for c in batch.schema.names if c not in ("text", "bounds", "gone")]
-        columns = [batch.column(c) for c in others]
-        columns += [pa.array(texts, type=pa.string()), pa.array(removed, type=pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=[*others, "text", "n_removed"])
+def span_remover(longest: int):
+    """A function for mapInArrow: texts without the units from each ``start`` on, ``units`` many.
+
+    Only texts that lose something are cut again.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = batch.column("gone")
+            offsets = gone.offsets.to_numpy()
+            start, units = (gone.values.field(c).to_numpy() for c in ("start", "units"))
+            texts, removed = batch.column("text").to_pylist(), np.zeros(len(batch), dtype=np.int64)
+            for i in np.nonzero(np.diff(offsets))[0].tolist():
+                own = slice(offsets[i], offsets[i + 1])
+                text, edges = texts[i], cut(texts[i], longest)[0]
+                covered = np.zeros(len(edges), dtype=np.int64)
+                np.add.at(covered, start[own], 1)
+                np.add.at(covered, start[own] + units[own], -1)
+                lost = np.cumsum(covered)[:-1] > 0
+                kept = [text[a:b] for a, b in zip(edges[:-1][~lost].tolist(), edges[1:][~lost].tolist())]
+                texts[i], removed[i] = text[: edges[0]] + "".join(kept), lost.sum()
+            others = [c for c in batch.schema.names if c not in ("text", "gone")]
+            columns = [batch.column(c) for c in others]
+            columns += [pa.array(texts, type=pa.string()), pa.array(removed)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*others, "text", "n_removed"])
+
+    return rows

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groveline.llm import cutting
-from groveline.llm.columns import kept_table
+from groveline.llm.columns import drop_table, kept_table
 from groveline.llm.components import with_least
 
 FEWEST = 3
@@ -23,28 +23,29 @@ def cut_table(
     least_words: int = LEAST_WORDS,
     longest: int = LONGEST,
 ) -> DataFrame:
-    """(doc_id, d, h, bounds, units, spans), written once: every text is cut here and only here.
+    """(doc_id, d, h, n_units, units, spans), written once.
 
-    ``d`` and ``h`` are hashes of key and text, ``bounds`` the places where units start and
-    the text's end, ``spans`` the hashes of the runs from each unit on, ``units`` their lengths.
+    ``d`` and ``h`` are hashes of key and text, ``n_units`` is the number of units, ``spans``
+    the hashes of the runs from each unit on, ``units`` their lengths.
     """
     body, k = F.col(f"`{text}`"), F.col(f"`{key}`")
     kind = docs.schema[key].dataType.simpleString()
     named = docs.select(k.alias("doc_id"), F.xxhash64(k).alias("d"), F.xxhash64(body).alias("h"), body.alias("text"))
     cut = named.mapInArrow(
         cutting.cutter(fewest, least_words, longest),
-        f"doc_id {kind}, d bigint, h bigint, bounds array<int>, units array<int>, spans array<bigint>",
+        f"doc_id {kind}, d bigint, h bigint, n_units int, units array<int>, spans array<bigint>",
     )
     return kept_table(cut, "cut-texts")
 
 
-def repeated_spans(cut: DataFrame) -> DataFrame:
+def repeated_spans(cut: DataFrame, used: list[DataFrame] | None = None) -> DataFrame:
     """(doc_id, h, start, units, first_doc): spans of a cut table that stand before in the corpus.
 
     Of equal spans the first is that with the smallest key, then text hash, then place; null
     keys last. Spans that stand once are told by counts of their hashes and need
     not move with their place. A hash with a large share of all spans meets its
-    count, and its first place, by broadcast.
+    count, and its first place, by broadcast. The tables written on the way are added to
+    ``used``.
     """
     counted = (
         cut.select(F.explode("spans").alias("u"))
@@ -60,6 +61,8 @@ def repeated_spans(cut: DataFrame) -> DataFrame:
     first = kept_table(
         met.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "first-places"
     )
+    if used is not None:
+        used += [twice, met, first]
     return (
         with_least(met, first, total)
         .where("v.none <> m.none OR v.h <> m.h OR v.start <> m.start OR NOT v.doc_id <=> m.doc_id")
@@ -91,36 +94,34 @@ def drop_repeated_spans(
     body, k = F.col(f"`{text}`"), F.col(f"`{key}`")
     kind = docs.schema[key].dataType.simpleString()
     cut = cut_table(docs, key=key, text=text, fewest=fewest, least_words=least_words, longest=longest)
-    found = repeated_spans(cut).select(
+    used = [cut]
+    found = repeated_spans(cut, used).select(
         F.xxhash64("doc_id").alias("d"),
         "h",
-        F.lit(None).cast("array<int>").alias("bounds"),
+        F.lit(None).cast("int").alias("n_units"),
         F.struct("start", "units").alias("gone"),
         "first_doc",
     )
-    # one row per document: its bounds, and its own repeated spans, no more than it has units
-    own = cut.select("d", "h", "bounds", F.lit(None).alias("gone"), F.lit(None).alias("first_doc"))
+    # one row per document: its units, and its own repeated spans, no more than it has units
+    own = cut.select("d", "h", "n_units", F.lit(None).alias("gone"), F.lit(None).alias("first_doc"))
     losses = kept_table(
         own.unionByName(found)
         .groupBy("d", "h")
         .agg(
-            F.first("bounds", ignorenulls=True).alias("bounds"),
+            F.max("n_units").cast("bigint").alias("n_sentences"),
             F.collect_list("gone").alias("gone"),
             F.array_sort(F.collect_set("first_doc")).alias("first_docs"),
         ),
         "losses",
     )
+    for table in used:  # the result reads only the losses
+        drop_table(table)
     texts = docs.select(k.alias("doc_id"), body.alias("text"), F.xxhash64(k).alias("d"), F.xxhash64(body).alias("h"))
     joined = texts.join(losses, ["d", "h"]).select(
-        "doc_id",
-        "text",
-        F.col("first_docs").cast(f"array<{kind}>").alias("first_docs"),
-        (F.size("bounds") - 1).cast("bigint").alias("n_sentences"),
-        "bounds",
-        "gone",
+        "doc_id", "text", F.col("first_docs").cast(f"array<{kind}>").alias("first_docs"), "n_sentences", "gone"
     )
     done = joined.mapInArrow(
-        cutting.span_remover,
+        cutting.span_remover(longest),
         f"doc_id {kind}, first_docs array<{kind}>, n_sentences bigint, text string, n_removed bigint",
     )
     return done.select("doc_id", "text", "first_docs", "n_sentences", "n_removed")
