@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,22 +45,37 @@ def pair_moments(batches: Batches) -> Batches:
     yield pa.RecordBatch.from_pydict(sums)
 
 
-def pair_cells(n_columns: int, bins: int) -> Callable[[Batches], Batches]:
-    """Per pair of bin-number columns: how many rows fall into each of bins x bins cells."""
-    pairs = list(combinations(range(n_columns), 2))
-    cells = bins * bins
+def pair_cells(runs: list[tuple[int, int, int]], numbers: list[int], bins: int) -> Callable[[Batches], Batches]:
+    """How many rows fall into each of bins x bins cells, for runs of pairs of bin-number columns.
 
-    def count(batches: Batches) -> Batches:
-        total = np.zeros((len(pairs), cells), dtype=np.int64)
+    A run (left, first, stop) is the column ``left`` with every column from ``first`` up to
+    ``stop``; its pairs are counted at once. ``numbers`` are the columns' names in the
+    result. A task holds as many counts as the runs have cells.
+    """
+    width = bins + 1  # the last bin is that of missing values
+    cells = width * width
+
+    def count(batches: Batches, rows: int = 2048) -> Batches:
+        totals = [np.zeros((stop - first) * cells, dtype=np.int64) for _, first, stop in runs]
         for batch in batches:
-            bin_of, valid = _columns(batch)
-            for row, (a, b) in enumerate(pairs):
-                cell = bin_of[:, a] * bins + bin_of[:, b]
-                both = valid[:, a] & valid[:, b]
-                total[row] += np.bincount(cell[both], minlength=cells)
-        pair, cell = np.nonzero(total)
-        yield pa.RecordBatch.from_pydict(
-            {"pair": pair.astype(np.int32), "cell": cell.astype(np.int32), "n": total[pair, cell]}
-        )
+            values, valid = _columns(batch)
+            bin_of = np.where(valid, values, bins).astype(np.int64)
+            for begin in range(0, len(bin_of), rows):
+                part = bin_of[begin : begin + rows]
+                for total, (left, first, stop) in zip(totals, runs):
+                    cell = part[:, first:stop] + part[:, left][:, None] * width
+                    cell += np.arange(stop - first) * cells
+                    total += np.bincount(cell.ravel(), minlength=len(total))
+        for total, (left, first, stop) in zip(totals, runs):
+            right, i, j = np.nonzero(total.reshape(-1, width, width)[:, :bins, :bins])
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "left": pa.array(np.full(len(right), numbers[left], dtype=np.int32)),
+                    "right": pa.array(np.array(numbers, dtype=np.int32)[first + right]),
+                    "left_bin": pa.array(i.astype(np.int32)),
+                    "right_bin": pa.array(j.astype(np.int32)),
+                    "n": pa.array(total.reshape(-1, width, width)[right, i, j]),
+                }
+            )
 
     return count

@@ -18,9 +18,10 @@ def materialised(df: DataFrame, how: str = "cache") -> Iterator[DataFrame]:
     ``cache`` holds it in executor memory, spilling to disk; blocks lost with an
     executor are recomputed from the source. ``checkpoint`` writes it once to the
     shared checkpoint folder and forgets the lineage: for a table that is costly
-    to recompute and read many times. ``none`` hands the table on as it is.
+    to recompute and read many times. ``none`` hands the table on as it is. A table that its
+    owner has cached already is left so.
     """
-    if how == "none":
+    if how == "none" or how == "cache" and (df.storageLevel.useMemory or df.storageLevel.useDisk):
         yield df
         return
     if how == "checkpoint":

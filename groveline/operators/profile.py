@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +21,9 @@ from groveline.operators.columns import numeric_columns
 # Text that cannot be a number is kept away from the parser, whose failures are slow.
 _MAY_BE_NUMBER = r"(?i)^[\x00-\x20]*[-+]?(\.?\d|nan|inf)"
 
+# Counts that a task of the joint histogram holds at most, 8 bytes each.
+MOST_CELLS = 4_000_000
+
 # Types whose every value a double holds exactly.
 _FITS_DOUBLE = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
 
@@ -271,32 +273,59 @@ def hist_1d(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 10)
     )
 
 
-def hist_2d(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
+def _tiles(n_columns: int, most: int) -> list[list[tuple[int, int, int]]]:
+    """All pairs of columns as runs (left, first, stop), dealt into tiles of at most ``most`` pairs."""
+    tiles: list[list[tuple[int, int, int]]] = [[]]
+    room = most
+    for left in range(n_columns - 1):
+        first = left + 1
+        while first < n_columns:
+            if room == 0:
+                tiles.append([])
+                room = most
+            stop = min(n_columns, first + room)
+            tiles[-1].append((left, first, stop))
+            room -= stop - first
+            first = stop
+    return tiles
+
+
+def hist_2d(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    bins: int = 10,
+    *,
+    most_cells: int = MOST_CELLS,
+) -> DataFrame:
     """Binned joint counts of every pair of numeric columns; empty cells have no row.
 
     This is what a scatter matrix shows, over the whole table and of bounded size: each
-    task counts its rows into one array per pair and hands on the non-empty cells, so a
-    task holds pairs * bins * bins counts. Rows with a null, a NaN or an infinity in
+    task counts its rows into one array per pair and hands on the non-empty cells. The
+    pairs are dealt into tiles of about ``most_cells`` counts, and each tile is a pass of
+    its own over the columns it has, so a task never holds more than one tile, however
+    many columns there are. Rows with a null, a NaN or an infinity in
     either column do not count for that pair.
     """
     limits = column_limits(df, _numeric(df, columns))
-    pairs = list(combinations(limits, 2))
-    if not pairs:
+    names = list(limits)
+    if len(names) < 2:
         return df.sparkSession.createDataFrame(
             [], "left string, right string, left_bin int, right_bin int, n bigint"
         )
-    counts = (
-        _binned(df, limits, bins, None)
-        .mapInArrow(pair_cells(len(limits), bins), "pair int, cell int, n bigint")
-        .groupBy("pair", "cell")
+    binned = _binned(df, limits, bins, None)
+    counted = None
+    for runs in _tiles(len(names), max(1, most_cells // (bins + 1) ** 2)):
+        used = sorted({c for left, first, stop in runs for c in (left, *range(first, stop))})
+        place = {c: i for i, c in enumerate(used)}
+        local = [(place[left], place[first], place[first] + stop - first) for left, first, stop in runs]
+        part = binned.select([_ref(names[c]) for c in used]).mapInArrow(
+            pair_cells(local, used, bins), "left int, right int, left_bin int, right_bin int, n bigint"
+        )
+        counted = part if counted is None else counted.unionAll(part)
+    by = ["left", "right", "left_bin", "right_bin"]
+    listed = F.array(*[F.lit(c) for c in names])
+    return (
+        counted.groupBy(*by)
         .agg(F.sum("n").alias("n"))
-    )
-    left = F.array(*[F.lit(a) for a, _ in pairs])
-    right = F.array(*[F.lit(b) for _, b in pairs])
-    return counts.select(
-        left[F.col("pair")].alias("left"),
-        right[F.col("pair")].alias("right"),
-        F.floor(F.col("cell") / bins).cast("int").alias("left_bin"),
-        (F.col("cell") % bins).alias("right_bin"),
-        "n",
+        .withColumns({side: listed[F.col(side)] for side in ("left", "right")})
     )

@@ -11,6 +11,10 @@ from groveline import presets as P
 from groveline.operators import evaluate, features, models, sampling, tuning
 from groveline.operators.persist import materialised
 
+# What the plans do with the encoded table unless told otherwise: it is read for class
+# counts, layout and fit, and by default kept in the executors' memory and disks meanwhile.
+KEEP = "cache"
+
 
 def balanced(encoded: DataFrame, label: str = P.LABEL, key: str = P.KEY) -> DataFrame:
     """Every class brought down to the size of the smallest, by row hash."""
@@ -62,19 +66,21 @@ def train_and_score(
     balance: str = "none",
     nominal: Mapping[str, list[str]] | None = None,
     seed: int = models.SEED,
-    keep: str = "none",
+    keep: str = KEEP,
+    rows_per_partition: int = sampling.ROWS_PER_PARTITION,
 ):
     """Split, fit on the larger part, score the smaller. Gives (model, scored test rows).
 
     With ``keep`` the encoded table is kept while the model is fitted, so that class
     counts, layout and fit read the source once: ``cache`` lets go of it afterwards and
-    the scored rows come from the source again, ``checkpoint`` serves those too.
+    the scored rows come from the source again, ``checkpoint`` serves those too, ``none``
+    reads the source each time. ``rows_per_partition`` sizes the training partitions;
+    raise it for tables of many millions.
     """
     with materialised(encoded, keep) as table:
         train, test = train_test(table, balance)
-        model = models.fit(
-            training_rows(train, nominal=nominal), kind, P.LABEL, P.FEATURES, seed=seed, params=params
-        )
+        rows = training_rows(train, nominal=nominal, rows_per_partition=rows_per_partition)
+        model = models.fit(rows, kind, P.LABEL, P.FEATURES, seed=seed, params=params)
     return model, models.score(model, test)
 
 
@@ -85,21 +91,26 @@ def compare(
     *,
     balances: tuple[str, ...] = ("none", "before_split"),
     nominal: Mapping[str, list[str]] | None = None,
-    keep: str = "none",
+    keep: str = KEEP,
+    rows_per_partition: int = sampling.ROWS_PER_PARTITION,
 ) -> DataFrame:
     """The metric report of one model trained on unbalanced and on balanced rows.
 
-    The scored tables are counted together, in one aggregate. ``keep`` as for
-    ``train_and_score``, for each fit; a checkpoint made before serves all of them.
+    The scored tables are counted together, in one aggregate. ``keep`` and
+    ``rows_per_partition`` as for ``train_and_score``; the table kept serves all fits.
     """
     names = {"none": "unbalanced", "before_split": "balanced", "train_only": "balanced_train"}
     counts = None
-    for balance in balances:
-        _, scored = train_and_score(encoded, kind, params, balance=balance, nominal=nominal, keep=keep)
-        part = scored.select(
-            F.lit(names[balance]).alias("dataset"), F.lit(kind).alias("model"), P.LABEL, "prediction"
-        )
-        counts = part if counts is None else counts.unionByName(part)
+    with materialised(encoded, keep) as table:
+        for balance in balances:
+            _, scored = train_and_score(
+                table, kind, params, balance=balance, nominal=nominal, keep="none",
+                rows_per_partition=rows_per_partition,
+            )
+            part = scored.select(
+                F.lit(names[balance]).alias("dataset"), F.lit(kind).alias("model"), P.LABEL, "prediction"
+            )
+            counts = part if counts is None else counts.unionByName(part)
     by = ["dataset", "model"]
     return evaluate.metric_report(evaluate.confusion_counts(counts, P.LABEL, by=by), by)
 
@@ -112,17 +123,18 @@ def search(
     balance: str = "before_split",
     depths: list[int] = tuning.DEPTHS,
     parallelism: int = 4,
-    keep: str = "none",
+    keep: str = KEEP,
+    rows_per_partition: int = sampling.ROWS_PER_PARTITION,
 ):
     """Split, search the depth on the training part. Gives (search, scored test rows).
 
-    ``keep`` as for ``train_and_score``. Memory for a training step is ``maxMemoryInMB``
-    among ``params``.
+    ``keep`` and ``rows_per_partition`` as for ``train_and_score``. Memory for a training
+    step is ``maxMemoryInMB`` among ``params``.
     """
     with materialised(encoded, keep) as table:
         train, test = train_test(table, balance)
         folded = sampling.with_fold(train, tuning.FOLDS, key=P.KEY)
-        rows = training_rows(folded, keep=("fold",))
+        rows = training_rows(folded, keep=("fold",), rows_per_partition=rows_per_partition)
         if kind == "dt":
             found = tuning.depth_path(rows, P.LABEL, P.FEATURES, depths=depths, **params)
         else:

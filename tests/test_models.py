@@ -146,3 +146,23 @@ def test_keep_reads_the_source_once(spark, encoded, keep, most):
     assert (times <= most) and (times >= 1)
     assert keep != "none" or times > 1
     assert scored.count() > 0
+
+
+def test_plans_keep_by_default_and_leave_the_callers_cache(spark, encoded):
+    own = encoded.withColumn("extra", F.lit(1)).cache()
+    plans.train_and_score(own, "dt", models.STUMP)
+    plans.compare(own, "dt", models.STUMP)
+    assert own.storageLevel.useMemory
+    own.unpersist()
+    plans.train_and_score(own, "dt", models.STUMP)
+    assert not own.storageLevel.useMemory and plans.KEEP == "cache"
+
+
+def test_training_partitions_follow_the_rows_given(spark, encoded, monkeypatch):
+    seen = []
+    fit = models.fit
+    monkeypatch.setattr(models, "fit", lambda rows, *a, **k: seen.append(rows.rdd.getNumPartitions()) or fit(rows, *a, **k))
+    for rows_per_partition in (400, 10**6):
+        plans.train_and_score(encoded, "dt", models.STUMP, rows_per_partition=rows_per_partition)
+    n = plans.train_test(encoded)[0].count()
+    assert seen == [-(-n // 400), 1]

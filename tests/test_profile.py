@@ -125,6 +125,27 @@ def test_hist_2d_margins_are_hist_1d(encoded):
     }
 
 
+def test_tiles_of_a_wide_table_hold_every_pair_once(spark):
+    tiles = profile._tiles(500, 40_000)
+    pairs = [(a, b) for runs in tiles for a, first, stop in runs for b in range(first, stop)]
+    assert pairs == [(a, b) for a in range(500) for b in range(a + 1, 500)]
+    assert len(tiles) == 4 and all(sum(stop - first for _, first, stop in t) <= 40_000 for t in tiles)
+    # 500 columns in several passes; every pair holds every row
+    wide = spark.range(60).select([((F.col("id") * (i + 3)) % (11 + i % 5)).alias(f"c{i}") for i in range(500)])
+    cells = profile.hist_2d(wide, wide.columns, most_cells=4_000_000)
+    found = cells.groupBy("left", "right").agg(F.sum("n").alias("n")).agg(F.count("*"), F.min("n"), F.max("n")).first()
+    assert tuple(found) == (500 * 499 // 2, 60, 60)
+
+
+def test_tiles_give_what_one_pass_gives(spark, encoded):
+    names = ["age", "duration", "deposit", "balance", "job"]
+    holes = encoded.withColumn("age", F.when(F.col("age") % 3 > 0, F.col("age")))
+    whole = sorted(map(tuple, profile.hist_2d(holes, names).collect()))
+    assert sorted(map(tuple, profile.hist_2d(holes, names, most_cells=300).collect())) == whole
+    joint = holes.where("age IS NOT NULL").count()
+    assert sum(r[4] for r in whole if r[:2] == ("age", "job")) == joint
+
+
 def test_values_that_are_not_finite(spark):
     nan, inf = float("nan"), float("inf")
     df = spark.createDataFrame(
@@ -158,7 +179,7 @@ def test_many_columns_take_seconds(spark):
 
 
 def test_task_code_travels_by_value():
-    code = cloudpickle.dumps((batches.pair_cells(3, 10), batches.pair_moments))
+    code = cloudpickle.dumps((batches.pair_cells([(0, 1, 3), (1, 2, 3)], [0, 1, 2], 10), batches.pair_moments))
     # a worker without this package
     run = "import pickle, sys; print(len(pickle.load(sys.stdin.buffer)))"
     done = subprocess.run([sys.executable, "-c", run], input=code, capture_output=True, cwd="/")

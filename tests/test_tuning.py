@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from groveline import presets as P
 from groveline.operators import models, sampling, tuning
@@ -37,6 +38,33 @@ def test_cross_validation_picks_the_best_depth_and_repeats(folded, kind, params)
     assert sum(r.chosen for r in table) == 1
 
 
+@pytest.mark.parametrize("kind,params", [("rf", {"numTrees": 3}), ("gbt", {"maxIter": 2})])
+def test_search_equals_fits_fold_by_fold(folded, kind, params):
+    """Without the cross-validator: every depth is fitted on the other folds, and its area
+    comes from the confusion counts of the fold held out."""
+    depths = [2, 3]
+    found = tuning.cross_validate(folded, kind, P.LABEL, P.FEATURES, depths=depths, **params)
+    for depth, average in zip(depths, found.average):
+        areas = []
+        for fold in range(tuning.FOLDS):
+            model = models.fit(
+                folded.where(F.col("fold") != fold), kind, P.LABEL, P.FEATURES,
+                params={**params, "maxDepth": depth},
+            )
+            cells = {
+                (r[P.LABEL], r["prediction"]): r["n"]
+                for r in models.score(model, folded.where(F.col("fold") == fold))
+                .groupBy(P.LABEL, "prediction")
+                .agg(F.count("*").alias("n"))
+                .collect()
+            }
+            shares = [
+                cells.get((y, y), 0) / (cells.get((y, 0.0), 0) + cells.get((y, 1.0), 0)) for y in (0.0, 1.0)
+            ]
+            areas.append(sum(shares) / 2)
+        assert average == pytest.approx(sum(areas) / len(areas), abs=1e-12)
+
+
 def test_depth_path_refuses_what_it_does_not_honour(folded):
     for extra in ({"thresholds": [0.3, 0.7]}, {"depths": [2, 15]}):
         with pytest.raises(ValueError, match="depth path"):
