@@ -29,10 +29,13 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pair_moments(batches: Batches) -> Batches:
-    """Per pair of columns: n, sum x, sum y, sum x^2, sum y^2, sum xy where both are present."""
+    """Per pair of columns: n, sum x, sum y, sum x^2, sum y^2, sum xy where both are there and finite."""
     total = None
     for batch in batches:
         x, valid = _columns(batch)
+        finite = np.isfinite(x)
+        if not finite.all():
+            x, valid = np.where(finite, x, 0.0), valid & finite
         v = valid.astype(np.float64)
         squares = x * x
         part = np.stack([v.T @ v, x.T @ v, v.T @ x, squares.T @ v, v.T @ squares, x.T @ x])

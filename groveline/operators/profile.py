@@ -181,15 +181,14 @@ def corr_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     """
     names = _numeric(df, columns)
     limits = column_limits(df, names)
-    centred = df.select(
-        [
-            (_ref(c).cast("double") - F.lit((limits[c][0] or 0.0) if c in limits else 0.0)).alias(f"c{i}")
+    centred = df.selectExpr(
+        *[
+            f"CAST({_quoted(c)} AS DOUBLE) - ({(limits[c][0] or 0.0) if c in limits else 0.0!r}D) AS c{i}"
             for i, c in enumerate(names)
         ]
     )
     sums = (
-        centred.select([F.when(_is_finite(F.col(c)), F.col(c)).alias(c) for c in centred.columns])
-        .mapInArrow(pair_moments, "a int, b int, " + ", ".join(f"{m} double" for m in MOMENTS))
+        centred.mapInArrow(pair_moments, "a int, b int, " + ", ".join(f"{m} double" for m in MOMENTS))
         .groupBy("a", "b")
         .agg(*[F.sum(m).alias(m) for m in MOMENTS])
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import warnings
@@ -29,7 +30,7 @@ def shared_dir(spark: SparkSession, *, required: bool = True) -> str | None:
     current = context.getCheckpointDir()
     if current:
         return current
-    if not context.master.startswith("local"):
+    if not re.match(r"local(\[|$)", context.master):  # local-cluster has executors of its own
         if not required:
             warnings.warn(f"{_SETTING} is not set: long lineages are not cut", stacklevel=2)
             return None
