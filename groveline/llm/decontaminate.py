@@ -130,7 +130,7 @@ def near_items(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> Da
         F.when(F.col("b.block") == j, F.array(*[F.lit(m) for m in flips[width]]))
         for j, width in enumerate(_BLOCK_BITS)
     ]
-    index = indexed.select(
+    listed = indexed.select(
         "item",
         "size",
         "item_fp",
@@ -138,6 +138,8 @@ def near_items(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> Da
         F.col("b.value").alias("own"),
         F.explode(F.coalesce(*near_values)).alias("flip"),
     ).select("item", "size", "item_fp", "block", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
+    # some 1,800 rows for each item: once written, its size tells whether it may be broadcast
+    index = kept_table(listed, "fingerprint-index")
     asked = windows.select("w", "size", "fp", F.inline(_blocks(F.col("fp"))))
     return (
         asked.join(index, ["size", "block", "value"])
