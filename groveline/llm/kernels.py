@@ -52,27 +52,36 @@ def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(found.view(np.int64))
 
 
-def shingle_minima(text: str | None, size: int = 5) -> np.ndarray:
-    """Four least values over the shingles of a text: of 64 bits of their MD5, read as a ring
-    from its first, second, third and fourth quarter on.
+# Odd factors: of the words of a shingle, and of a shingle's value in each of four orders.
+WORD_FACTORS = (1540483477, 668265263, 374761393, 1172035187, 1118997045)
+ORDER_FACTORS = (1, 2177342782468422677, 4354685564936845355, 2685821657736338717)
 
-    Shingles are runs of ``size`` words, or all words if there are fewer.
+
+def shingle_minima(text: str | None, known: dict[bytes, int]) -> np.ndarray:
+    """The least value of a text's shingles in each of four orders.
+
+    Shingles are runs of as many words as there are ``WORD_FACTORS``, or all words if there
+    are fewer. A word's value is the first 64 bits of its MD5, a shingle's the sum of its
+    words' values times their factors, in an order times that order's factor, all modulo 2^64.
+    ``known`` remembers the words met.
     """
     words = (text or "").encode("utf-8", "surrogatepass").split()
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64)
-    starts = np.concatenate([[0], ends[:-1]])[: max(1, len(words) - size + 1)]
-    last = ends[min(size, len(words)) - 1 :] - 1 if words else [0]
-    spans = zip(starts.tolist(), np.asarray(last).tolist())
-    digests = b"".join([md5(joined[a:b]).digest() for a, b in spans])
-    parts = np.frombuffer(digests, dtype=">u4").reshape(-1, 4).astype(np.uint64)
-    return ((parts << np.uint64(32)) | np.roll(parts, -1, axis=1)).min(axis=0)
+    for w in set(words).difference(known):
+        known[w] = int.from_bytes(md5(w).digest()[:8], "big")
+    values = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    n = max(1, len(words) - len(WORD_FACTORS) + 1)
+    total = np.zeros(n, dtype=np.uint64)
+    for i, factor in enumerate(WORD_FACTORS):
+        part = values[i : i + n]
+        total[: len(part)] += part * np.uint64(factor)
+    return np.array([(total * np.uint64(m)).min() for m in ORDER_FACTORS], dtype=np.uint64)
 
 
 def page_minima(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """``shingle_minima`` of texts, as signed integers in the same order."""
     for texts in batches:
-        found = np.array([shingle_minima(t) for t in texts], dtype=np.uint64).reshape(-1, 4)
+        known: dict[bytes, int] = {}
+        found = np.array([shingle_minima(t, known) for t in texts], dtype=np.uint64).reshape(-1, 4)
         signed = (found ^ np.uint64(1 << 63)).view(np.int64)
         yield pd.DataFrame(signed, columns=["s0", "s1", "s2", "s3"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from groveline.llm import decontaminate, lines, secrets
+from groveline.llm import decontaminate, kernels, lines, secrets
 from groveline.llm.quality import RULES, STOP_WORDS
 
 # A word, as an expression of the other engine.
@@ -126,6 +126,10 @@ FROM texts LEFT JOIN listed USING (r)"""
 def _lines() -> str:
     trimmed = "trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
     # names of copies: the first value, then the least name among pages with the same value
+    ring = "18446744073709551616::HUGEINT"
+    shingle = " + ".join(
+        f"coalesce(lead(v, {i}) OVER w, 0) * {f}" for i, f in enumerate(kernels.WORD_FACTORS)
+    )
     names, before = [], "sigs"
     for k, s in enumerate(("s1", "s2", "s3", "s0")):
         names.append(
@@ -137,16 +141,18 @@ WITH pages AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM docum
 words AS (
   SELECT r, unnest(w) AS word, unnest(range(len(w))) AS p, len(w) AS n
   FROM (SELECT r, regexp_extract_all(text, '{_WORD}') AS w FROM pages)),
-runs AS (
-  SELECT r, p, n, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS g
-  FROM words),
-hashes AS (
-  SELECT r, md5(g) AS h FROM runs WHERE p = 0 OR p + 5 <= n
-  UNION ALL SELECT r, md5('') FROM pages WHERE r NOT IN (SELECT r FROM words)),
+valued AS (
+  SELECT r, p, n, ('0x' || substr(md5(word), 1, 8))::BIGINT::HUGEINT * 4294967296
+    + ('0x' || substr(md5(word), 9, 8))::BIGINT AS v FROM words),
+shingles AS (
+  SELECT r, p, n, ({shingle}) % {ring} AS v FROM valued WINDOW w AS (PARTITION BY r ORDER BY p)),
+minima AS (
+  SELECT r, {", ".join(f"min(v * {m} % {ring}) AS s{k}" for k, m in enumerate(kernels.ORDER_FACTORS))}
+  FROM shingles WHERE p = 0 OR p + {len(kernels.WORD_FACTORS)} <= n GROUP BY r),
 sigs AS (
-  SELECT r, source, s0 AS copy, s0, s1, s2, s3 FROM pages JOIN (
-    SELECT r, min(substr(h, 1, 16)) AS s0, min(substr(h, 9, 16)) AS s1, min(substr(h, 17, 16)) AS s2,
-      min(substr(h, 25, 8) || substr(h, 1, 8)) AS s3 FROM hashes GROUP BY r) USING (r)
+  SELECT r, source, coalesce(s0, 0) AS copy, coalesce(s0, 0) AS s0, coalesce(s1, 0) AS s1,
+    coalesce(s2, 0) AS s2, coalesce(s3, 0) AS s3
+  FROM pages LEFT JOIN minima USING (r)
   WHERE source IS NOT NULL),
 {", ".join(names)},
 split AS (

@@ -10,11 +10,16 @@ BLANKS = " \t\n\x0b\x0c\r"
 def copies(rows):
     """For every row the name that exact and near copies on its host share."""
 
+    words_by, orders = (1540483477, 668265263, 374761393, 1172035187, 1118997045), (
+        1, 2177342782468422677, 4354685564936845355, 2685821657736338717
+    )
+
     def minima(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-        runs = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
-        rings = [2 * hashlib.md5(run.encode()).hexdigest() for run in runs]
-        return [min(ring[8 * k : 8 * k + 16] for ring in rings) for k in range(4)]
+        values = [int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for w in words]
+        runs = [values[i : i + 5] for i in range(max(1, len(words) - 4))]
+        sums = [sum(v * f for v, f in zip(run, words_by)) % 2**64 for run in runs]
+        return [min(s * m % 2**64 for s in sums) for m in orders]
 
     values = [minima(text) for *_, text in rows]
     names = [v[0] for v in values]
