@@ -111,6 +111,15 @@ def layout_partitions(rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -
     return max(1, math.ceil(rows / rows_per_partition))
 
 
+def deep_partitions(rows: int) -> int:
+    """Partitions for deep trees, where each task hands on counts for thousands of nodes.
+
+    Those counts are as large for a small partition as for a large one, so the number grows with
+    the square root of the rows, and is never above that of ``layout_partitions``.
+    """
+    return min(layout_partitions(rows), max(1, math.ceil(math.sqrt(rows) / 100)))
+
+
 def stable_layout(
     df: DataFrame,
     partitions: int | None = None,

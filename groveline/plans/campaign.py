@@ -124,17 +124,23 @@ def search(
     depths: list[int] = tuning.DEPTHS,
     parallelism: int = 4,
     keep: str = KEEP,
-    rows_per_partition: int = sampling.ROWS_PER_PARTITION,
+    rows_per_partition: int | None = None,
 ):
     """Split, search the depth on the training part. Gives (search, scored test rows).
 
-    ``keep`` and ``rows_per_partition`` as for ``train_and_score``. Memory for a training
-    step is ``maxMemoryInMB`` among ``params``.
+    ``keep`` and ``rows_per_partition`` as for ``train_and_score``, but by default partitions
+    are ``sampling.deep_partitions``. Memory for a training step is ``maxMemoryInMB`` among ``params``.
     """
     with materialised(encoded, keep) as table:
         train, test = train_test(table, balance)
         folded = sampling.with_fold(train, tuning.FOLDS, key=P.KEY)
-        rows = training_rows(folded, keep=("fold",), rows_per_partition=rows_per_partition)
+        count = folded.count()
+        layout = (
+            sampling.deep_partitions(count)
+            if rows_per_partition is None
+            else sampling.layout_partitions(count, rows_per_partition)
+        )
+        rows = training_rows(folded, keep=("fold",), layout=layout)
         if kind == "dt":
             found = tuning.depth_path(rows, P.LABEL, P.FEATURES, depths=depths, **params)
         else:

@@ -175,3 +175,8 @@ def test_a_null_key_fails(spark, draw):
     df = spark.createDataFrame([(1, 1), (2, 1), (None, 1)], "k bigint, y int")
     with pytest.raises(PySparkException, match="null in the row key k"):
         draw(df).collect()
+
+
+def test_deep_trees_get_partitions_by_the_root_of_the_rows():
+    sizes = [0, 1, 25_000, 50_000, 1_000_000, 100_000_000]
+    assert [sampling.deep_partitions(n) for n in sizes] == [1, 1, 1, 2, 10, 100]
