@@ -6,9 +6,12 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ from groveline.operators.evaluate import auc_hard
 from groveline.operators.features import assemble
 from groveline.operators.models import SEED, classifier, tree_pipeline
 from groveline.operators.persist import materialised
+from groveline.operators.rules import tree_nodes
 from groveline.sources.scratch import shared_dir
 
 # What the depth path honours as the estimator does; others may change its predictions.
@@ -24,6 +28,8 @@ _HONOURED = {
     "impurity", "maxBins", "minInstancesPerNode", "minInfoGain", "minWeightFractionPerNode",
     "maxMemoryInMB", "cacheNodeIds", "checkpointInterval",
 }
+# The same for a forest, whose draws of rows and features do not depend on its depth.
+_HONOURED_FOREST = _HONOURED | {"numTrees", "featureSubsetStrategy", "subsamplingRate", "bootstrap"}
 # Rows collected of a fold are at most four for each of 2^depth leaves.
 DEEPEST = 14
 
@@ -89,6 +95,21 @@ def cross_validate(
     return Search(list(depths), average, depths[best], found.bestModel)
 
 
+def _side_by_side(spark, work, arguments: Sequence[tuple], parallelism: int) -> list:
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        tasks = [pool.submit(inheritable_thread_target(spark)(work), *a) for a in arguments]
+        return [task.result() for task in tasks]
+
+
+def _mean_areas(spark, cells: list[tuple], depths: Sequence[int]) -> list[float]:
+    """The mean over the folds, in their order, of the area of each depth's confusion counts."""
+    counts = spark.createDataFrame(
+        cells, "fold int, max_depth int, label double, prediction double, n bigint"
+    )
+    areas = auc_hard(counts, by=["fold", "max_depth"]).orderBy("fold").collect()
+    return [float(np.mean([r.auc for r in areas if r.max_depth == d])) for d in depths]
+
+
 def _leaf_paths(rules: str) -> list[list[int]]:
     """For each leaf, left to right, its nodes from the root down, numbered in rule order.
 
@@ -184,18 +205,136 @@ def depth_path(
             found = _truncated_confusions(paths, counts, depths)
             return [(i, *row) for row in found]
 
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            tasks = [pool.submit(inheritable_thread_target(spark)(one_fold), i) for i in range(folds)]
-            cells = [row for task in tasks for row in task.result()]
+        found = _side_by_side(spark, one_fold, [(i,) for i in range(folds)], parallelism)
+        average = _mean_areas(spark, [row for rows in found for row in rows], depths)
+        best = max(range(len(average)), key=average.__getitem__)
+        final = tree_pipeline("dt", label, features, seed=seed, maxDepth=depths[best], **params)
+        model = final.fit(kept)
+    return Search(list(depths), average, depths[best], model)
+
 
-        counts = spark.createDataFrame(
-            cells, "fold int, max_depth int, label double, prediction double, n bigint"
-        )
-        averages = dict(
-            auc_hard(counts, by=["fold", "max_depth"]).groupBy("max_depth").agg(F.avg("auc")).collect()
+def forest_has_path(
+    features: Sequence[str], depths: Sequence[int], *, numTrees: int = 20, maxBins: int = 32,
+    maxMemoryInMB: int = 256, **params,
+) -> bool:
+    """Whether ``forest_path`` gives what ``cross_validate`` does.
+
+    Features are drawn node by node, level after level, while a level of all trees fits the
+    memory of a training step; where it does not, the order of the draws depends on the depth.
+    """
+    level = 8 * 2 * maxBins * len(features) * numTrees * 2 ** (max(depths) - 1)
+    honoured = not set(params) - _HONOURED_FOREST
+    return honoured and max(depths) <= DEEPEST and level <= maxMemoryInMB * 2**20
+
+
+def _cut_shares(tree: list, depths: Sequence[int]) -> np.ndarray:
+    """Shares of the classes by leaf, left to right, depth, and class, of a tree cut off at each depth.
+
+    ``tree`` holds the nodes, a parent before its children and left before right. As in training, sister
+    leaves of the cut-off tree that predict the same are merged into their parent.
+    """
+    stats = np.array([n.stats for n in tree], dtype="float64")
+    totals = stats.sum(axis=1, keepdims=True)
+    shares = np.divide(stats, totals, out=np.zeros_like(stats), where=totals != 0)
+    level, parent = [0] * len(tree), [0] * len(tree)
+    for i, n in enumerate(tree):
+        if n.left is not None:
+            for child in (n.left, n.right):
+                level[child], parent[child] = level[i] + 1, i
+    leaves = [i for i, n in enumerate(tree) if n.left is None]
+    found = np.empty((len(leaves), len(depths), stats.shape[1]))
+    for k, depth in enumerate(depths):
+        ends: list[bool] = [True] * len(tree)
+        says = [n.prediction for n in tree]
+        for i in reversed(range(len(tree))):
+            n = tree[i]
+            if n.left is not None and level[i] < depth:
+                ends[i] = ends[n.left] and ends[n.right] and says[n.left] == says[n.right]
+                if ends[i]:
+                    says[i] = says[n.left]
+        at = list(range(len(tree)))
+        for i in range(1, len(tree)):
+            if ends[parent[i]]:
+                at[i] = at[parent[i]]
+        found[:, k] = shares[[at[i] for i in leaves]]
+    return found
+
+
+def _forest_cells(scored: DataFrame, label: str, shares: list[np.ndarray], depths: Sequence[int]) -> DataFrame:
+    """Counts (depth, label, prediction, n) of a forest cut off at each depth, from its rows' leaves."""
+    trees, tried = len(shares), list(depths)
+
+    def count(batches):
+        cells = np.zeros((len(tried), 2, 2), dtype="int64")
+        for batch in batches:
+            reached = batch.column("leaves").flatten().to_numpy(zero_copy_only=False)
+            reached = reached.astype("int64").reshape(-1, trees)
+            votes = np.zeros((len(reached), len(tried), 2))
+            for t in range(trees):  # added tree by tree, as the model does
+                votes += shares[t][reached[:, t]]
+            yes = votes[:, :, 1] > votes[:, :, 0]
+            actual = batch.column("label").to_numpy(zero_copy_only=False).astype("int64")
+            for k in range(len(tried)):
+                cells[k] += np.bincount(actual * 2 + yes[:, k], minlength=4).reshape(2, 2)
+        at = [(k, y, p) for k in range(len(tried)) for y in (0, 1) for p in (0, 1) if cells[k, y, p]]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([tried[k] for k, _, _ in at], pa.int32()),
+                pa.array([float(y) for _, y, _ in at], pa.float64()),
+                pa.array([float(p) for _, _, p in at], pa.float64()),
+                pa.array([int(cells[x]) for x in at], pa.int64()),
+            ],
+            names=["max_depth", "label", "prediction", "n"],
         )
-        average = [averages[d] for d in depths]
+
+    narrow = scored.select(vector_to_array("leaf").alias("leaves"), F.col(label).cast("double").alias("label"))
+    partial = narrow.mapInArrow(count, "max_depth int, label double, prediction double, n bigint")
+    return partial.groupBy("max_depth", "label", "prediction").agg(F.sum("n").alias("n"))
+
+
+def forest_path(
+    train: DataFrame,
+    label: str,
+    features: Sequence[str],
+    *,
+    fold: str = "fold",
+    depths: Sequence[int] = DEPTHS,
+    folds: int = FOLDS,
+    parallelism: int = 3,
+    seed: int = SEED,
+    **params,
+) -> Search:
+    """The search of ``cross_validate`` for a random forest, from one fit per fold.
+
+    A forest draws its rows before it grows, and the features of its nodes level by level, so
+    the forest of depth d is the deepest one with every tree cut off at d. The rows of the fold
+    held out are told the leaves they reach, once; the votes at every depth follow from the
+    nodes above those. Binary labels 0 and 1. What ``forest_has_path`` denies is refused:
+    ``cross_validate`` takes that.
+    """
+    if not forest_has_path(features, depths, **params):
+        raise ValueError("the depth path does not hold for these parameters")
+    spark = train.sparkSession
+    shared_dir(spark, required=False)
+
+    with materialised(train.select(*features, label, fold)) as kept:
+        vectors = assemble(kept, features)
+
+        def one_fold(i: int) -> list[tuple]:
+            held_out = F.col(fold) == i
+            forest = classifier(
+                "rf", label, seed=seed, maxDepth=max(depths), leafCol="leaf", **params
+            ).fit(vectors.where(~held_out))
+            trees: dict[int, list] = {}
+            for node in tree_nodes(spark, forest).orderBy("tree", "node").collect():
+                trees.setdefault(node.tree, []).append(node)
+            shares = [_cut_shares(trees[t], depths) for t in sorted(trees)]
+            scored = forest.transform(vectors.where(held_out))
+            return [(i, *row) for row in _forest_cells(scored, label, shares, depths).collect()]
+
+        found = _side_by_side(spark, one_fold, [(i,) for i in range(folds)], parallelism)
+        average = _mean_areas(spark, [row for rows in found for row in rows], depths)
         best = max(range(len(average)), key=average.__getitem__)
-        final = tree_pipeline("dt", label, features, seed=seed, maxDepth=depths[best], **params)
+        final = tree_pipeline("rf", label, features, seed=seed, maxDepth=depths[best], **params)
         model = final.fit(kept)
     return Search(list(depths), average, depths[best], model)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from groveline import presets as P
 from groveline.operators import evaluate, features, models, sampling, tuning
 from groveline.operators.persist import materialised
+from groveline.sources.scratch import shared_dir
 
 # What the plans do with the encoded table unless told otherwise: it is read for class
 # counts, layout and fit, and by default kept in the executors' memory and disks meanwhile.
@@ -143,6 +144,12 @@ def search(
         rows = training_rows(folded, keep=("fold",), layout=layout)
         if kind == "dt":
             found = tuning.depth_path(rows, P.LABEL, P.FEATURES, depths=depths, **params)
+        elif (
+            kind == "rf"
+            and tuning.forest_has_path(P.FEATURES, depths, **params)
+            and shared_dir(table.sparkSession, required=False)  # where the nodes are written
+        ):
+            found = tuning.forest_path(rows, P.LABEL, P.FEATURES, depths=depths, **params)
         else:
             found = tuning.cross_validate(
                 rows, kind, P.LABEL, P.FEATURES, depths=depths, parallelism=parallelism, **params

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from groveline import presets as P
@@ -71,6 +72,49 @@ def test_depth_path_refuses_what_it_does_not_honour(folded):
             tuning.depth_path(folded, P.LABEL, P.FEATURES, **extra)
 
 
+def test_forest_path_equals_cross_validation_with_one_fit_per_fold(folded, monkeypatch):
+    depths, params = [2, 3, 5, 8, 12], {"numTrees": 10}
+    full = tuning.cross_validate(folded, "rf", P.LABEL, P.FEATURES, depths=depths, **params)
+    fits = []
+    classifier = tuning.classifier
+    monkeypatch.setattr(tuning, "classifier", lambda *a, **k: fits.append(k["maxDepth"]) or classifier(*a, **k))
+    fast = tuning.forest_path(folded, P.LABEL, P.FEATURES, depths=depths, **params)
+    assert fits == [12] * tuning.FOLDS
+    assert fast.average == pytest.approx(full.average, abs=1e-12)
+    assert fast.best_depth == full.best_depth
+    assert (
+        models.tree_model(fast.best_model).toDebugString.splitlines()[1:]
+        == models.tree_model(full.best_model).toDebugString.splitlines()[1:]
+    )
+
+
+def test_search_of_a_forest_takes_the_path(encoded, monkeypatch):
+    monkeypatch.setattr(tuning, "cross_validate", None)
+    found, _ = plans.search(encoded, "rf", {"numTrees": 2}, depths=[1, 2])
+    assert found.depths == [1, 2]
+
+
+def test_forest_path_refuses_what_it_does_not_honour(folded):
+    for extra in ({"thresholds": [0.3, 0.7]}, {"depths": [2, 15]}, {"maxMemoryInMB": 1}):
+        with pytest.raises(ValueError, match="depth path"):
+            tuning.forest_path(folded, P.LABEL, P.FEATURES, **extra)
+
+
+def test_cut_off_trees_merge_sisters_that_say_the_same():
+    def node(left, right, prediction, *stats):
+        return Row(left=left, right=right, prediction=prediction, stats=list(stats))
+
+    tree = [
+        node(1, 4, 0.0, 8.0, 6.0),
+        node(2, 3, 0.0, 7.0, 1.0), node(None, None, 0.0, 7.0, 0.0), node(None, None, 1.0, 0.0, 1.0),
+        node(5, 6, 1.0, 1.0, 5.0), node(None, None, 1.0, 1.0, 2.0), node(None, None, 1.0, 0.0, 3.0),
+    ]
+    shares = tuning._cut_shares(tree, [0, 1, 2])
+    assert shares[:, 0].tolist() == [[8 / 14, 6 / 14]] * 4
+    assert shares[:, 1].tolist() == [[7 / 8, 1 / 8]] * 2 + [[1 / 6, 5 / 6]] * 2
+    assert shares[:, 2].tolist() == [[1.0, 0.0], [0.0, 1.0], [1 / 6, 5 / 6], [1 / 6, 5 / 6]]
+
+
 def test_grid_covers_the_fixed_depths():
     tree = models.classifier("dt", P.LABEL)
     assert [g[tree.maxDepth] for g in tuning.grid(tree)] == list(range(2, 13))
