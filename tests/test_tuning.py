@@ -115,6 +115,28 @@ def test_cut_off_trees_merge_sisters_that_say_the_same():
     assert shares[:, 2].tolist() == [[1.0, 0.0], [0.0, 1.0], [1 / 6, 5 / 6], [1 / 6, 5 / 6]]
 
 
+def test_boosting_cuts_its_lineage_after_every_tree(folded, monkeypatch):
+    asked = []
+    tree_pipeline = tuning.tree_pipeline
+    monkeypatch.setattr(
+        tuning, "tree_pipeline", lambda *a, **k: asked.append(k.get("checkpointInterval")) or tree_pipeline(*a, **k)
+    )
+    tuning.cross_validate(folded, "gbt", P.LABEL, P.FEATURES, depths=[1], maxIter=1)
+    tuning.cross_validate(folded, "gbt", P.LABEL, P.FEATURES, depths=[1], maxIter=1, checkpointInterval=7)
+    assert asked == [1, 7]
+
+
+def test_deepest_fits_start_first(folded, monkeypatch):
+    started = []
+    side_by_side = tuning._side_by_side
+    monkeypatch.setattr(
+        tuning, "_side_by_side", lambda s, w, a, n: started.extend(a) or side_by_side(s, w, a, n)
+    )
+    found = tuning.cross_validate(folded, "gbt", P.LABEL, P.FEATURES, depths=[1, 2], maxIter=1)
+    assert started == [(2, 0), (2, 1), (2, 2), (1, 0), (1, 1), (1, 2)]
+    assert found.depths == [1, 2]
+
+
 def test_grid_covers_the_fixed_depths():
     tree = models.classifier("dt", P.LABEL)
     assert [g[tree.maxDepth] for g in tuning.grid(tree)] == list(range(2, 13))
