@@ -16,8 +16,9 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groveline.operators import boosting
 from groveline.operators.evaluate import auc_hard
-from groveline.operators.features import assemble
+from groveline.operators.features import assemble, assembler
 from groveline.operators.models import SEED, classifier, tree_pipeline
 from groveline.operators.persist import materialised
 from groveline.operators.rules import tree_nodes
@@ -30,6 +31,8 @@ _HONOURED = {
 }
 # The same for a forest, whose draws of rows and features do not depend on its depth.
 _HONOURED_FOREST = _HONOURED | {"numTrees", "featureSubsetStrategy", "subsamplingRate", "bootstrap"}
+# What ``boosting`` honours; how Spark keeps nodes and errors changes no tree.
+_HONOURED_BOOSTING = {"maxIter", "stepSize", "maxBins", "maxMemoryInMB", "cacheNodeIds", "checkpointInterval"}
 # Rows collected of a fold are at most four for each of 2^depth leaves.
 DEEPEST = 14
 
@@ -343,3 +346,74 @@ def forest_path(
         final = tree_pipeline("rf", label, features, seed=seed, maxDepth=depths[best], **params)
         model = final.fit(kept)
     return Search(list(depths), average, depths[best], model)
+
+
+def boosting_has_path(train: DataFrame, features: Sequence[str], depths: Sequence[int], **params) -> bool:
+    """Whether ``boosted_path`` gives what ``cross_validate`` does."""
+    honoured = not set(params) - _HONOURED_BOOSTING and params.get("maxBins", 32) <= boosting.MOST_BINS
+    nominal = boosting.has_nominal(assemble(train, features))
+    return honoured and not nominal and min(depths) >= 1 and max(depths) <= boosting.DEEPEST
+
+
+def boosted_path(
+    train: DataFrame,
+    label: str,
+    features: Sequence[str],
+    *,
+    fold: str = "fold",
+    depths: Sequence[int] = DEPTHS,
+    folds: int = FOLDS,
+    parallelism: int = 4,
+    seed: int = SEED,
+    **params,
+) -> Search:
+    """The search of ``cross_validate`` for boosted trees, all folds of a depth in the same passes.
+
+    Every depth is boosted on every fold. Trees are grown by ``boosting`` on rows binned once; the
+    first tree of a fold, which learns the labels, is that of the greatest depth cut off. Depths run
+    side by side, the deepest first. The best depth is boosted on all rows. Binary labels 0
+    and 1. What ``boosting_has_path`` denies is refused: ``cross_validate`` takes that.
+    """
+    if not boosting_has_path(train, features, depths, **params):
+        raise ValueError("the boosted path does not hold for these parameters")
+    spark = train.sparkSession
+    shared_dir(spark)
+    estimator = classifier("gbt", label, seed=seed, **params)
+    told = {
+        "iterations": estimator.getMaxIter(), "step_size": estimator.getStepSize(),
+        "interval": estimator.getCheckpointInterval(),
+    }
+
+    with materialised(train.select(*features, label, fold)) as kept:
+        vectors = assemble(kept, features)
+        in_fold = dict(kept.groupBy(fold).count().collect())
+        rows = sum(in_fold.values())
+        sizes = {i: rows - in_fold.get(i, 0) for i in range(-1, folds)}
+        if not all(sizes.values()):
+            raise ValueError("a fold leaves no rows to train on")
+
+        def cuts(i: int) -> list:
+            used = vectors if i < 0 else vectors.where(F.col(fold) != i)
+            return boosting.candidates(used, sizes[i], estimator.getMaxBins(), seed)
+
+        everything, *of_folds = _side_by_side(spark, cuts, [(i,) for i in range(-1, folds)], parallelism)
+        sets, whole, size = dict(enumerate(of_folds)), {-1: everything}, {-1: sizes.pop(-1)}
+
+        with boosting.kept_blocks(vectors, label, fold, sets, rows) as blocks:
+            first = boosting.grow(blocks, None, sets, sizes, max(depths))
+
+            def one_depth(depth: int) -> list[tuple]:
+                boosted = boosting.boost(spark, blocks, sets, sizes, depth, first, **told)
+                found = boosting.held_out_counts(blocks, boosted, depth)
+                return [(i, depth, *cell) for i, *cell in found]
+
+            deepest_first = [(d,) for d in sorted(depths, reverse=True)]
+            found = _side_by_side(spark, one_depth, deepest_first, parallelism)
+        average = _mean_areas(spark, [row for rows in found for row in rows], depths)
+        best = depths[max(range(len(average)), key=average.__getitem__)]
+        with boosting.kept_blocks(vectors, label, fold, whole, rows) as blocks:
+            first = boosting.grow(blocks, None, whole, size, best)
+            boosted = boosting.boost(spark, blocks, whole, size, best, first, **told)[-1]
+        estimator.setMaxDepth(best)
+        model = boosting.as_model(spark, estimator, boosted, everything, best)
+    return Search(list(depths), average, best, PipelineModel([assembler(features), model]))

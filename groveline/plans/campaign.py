@@ -150,6 +150,12 @@ def search(
             and shared_dir(table.sparkSession, required=False)  # where the nodes are written
         ):
             found = tuning.forest_path(rows, P.LABEL, P.FEATURES, depths=depths, **params)
+        elif (
+            kind == "gbt"
+            and tuning.boosting_has_path(rows, P.FEATURES, depths, **params)
+            and shared_dir(table.sparkSession, required=False)  # by which the model is made
+        ):
+            found = tuning.boosted_path(rows, P.LABEL, P.FEATURES, depths=depths, **params)
         else:
             found = tuning.cross_validate(
                 rows, kind, P.LABEL, P.FEATURES, depths=depths, parallelism=parallelism, **params

@@ -1,9 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from groveline import presets as P
-from groveline.operators import models, sampling, tuning
+from groveline.operators import boosting, features, models, rules, sampling, tuning
 from groveline.plans import campaign as plans
 
 
@@ -157,3 +158,71 @@ def test_leaf_paths_number_nodes_in_rule_order():
     )
     assert tuning._leaf_paths(rules) == [[0, 1, 2], [0, 1, 3], [0, 4]]
     assert tuning._leaf_paths("Model\n  Predict: 0.0") == [[0]]
+
+
+def test_boosted_path_equals_cross_validation(folded, monkeypatch):
+    depths, params = [1, 3, 7], {"maxIter": 4}
+    full = tuning.cross_validate(folded, "gbt", P.LABEL, P.FEATURES, depths=depths, **params)
+    monkeypatch.setattr(models.Pipeline, "fit", None)
+    fast = tuning.boosted_path(folded, P.LABEL, P.FEATURES, depths=depths, **params)
+    assert fast.average == pytest.approx(full.average, abs=1e-12)
+    assert fast.best_depth == full.best_depth
+
+
+def test_boosted_path_gives_the_same_model(folded):
+    """On one partition sums are added up in one order, so the nodes are equal to the last bit."""
+    rows, params = folded.coalesce(1), {"maxIter": 3}
+    full = models.fit(rows, "gbt", P.LABEL, P.FEATURES, params={**params, "maxDepth": 6})
+    fast = tuning.boosted_path(rows, P.LABEL, P.FEATURES, depths=[6], **params).best_model
+    mine, theirs = (rules.tree_nodes(rows.sparkSession, m).orderBy("tree", "node").collect() for m in (fast, full))
+    assert mine == theirs
+    scored = [models.score(m, rows).select("rawPrediction", "probability", "prediction").collect() for m in (fast, full)]
+    assert scored[0] == scored[1]
+    kept = ("maxDepth", "maxIter", "labelCol", "seed")
+    assert [models.tree_model(fast).getOrDefault(p) for p in kept] == [models.tree_model(full).getOrDefault(p) for p in kept]
+
+
+def test_boosted_path_splits_large_nodes_in_passes_over_all_blocks(folded, monkeypatch):
+    params = {"depths": [2, 5], "maxIter": 3, "checkpointInterval": 1}
+    local = tuning.boosted_path(folded, P.LABEL, P.FEATURES, **params)
+    passes = []
+    pass_over_large = boosting._pass_over_large
+    monkeypatch.setattr(boosting, "_pass_over_large", lambda *a: passes.append(a[3]) or pass_over_large(*a))
+    monkeypatch.setattr(boosting, "SMALL", 100)
+    spread = tuning.boosted_path(folded, P.LABEL, P.FEATURES, **params)
+    assert {0, 1, 2} <= set(passes)
+    assert spread.average == pytest.approx(local.average, abs=0.01)  # equal gains are told apart by rounding
+    assert spread.best_depth == local.best_depth
+
+
+def test_search_of_boosted_trees_takes_the_path(encoded, monkeypatch):
+    monkeypatch.setattr(tuning, "cross_validate", None)
+    found, scored = plans.search(encoded, "gbt", {"maxIter": 2}, depths=[1, 2])
+    assert found.depths == [1, 2]
+    assert scored.count() > 0
+
+
+def test_boosted_path_refuses_what_it_does_not_honour(folded):
+    nominal = features.declare_nominal(folded, P.NOMINAL)
+    for rows, extra in ((folded, {"subsamplingRate": 0.5}), (folded, {"depths": [2, 15]}), (nominal, {})):
+        with pytest.raises(ValueError, match="boosted path"):
+            tuning.boosted_path(rows, P.LABEL, P.FEATURES, **extra)
+
+
+def test_features_summed_together_give_the_sums_of_each(monkeypatch):
+    draw = np.random.default_rng(1)
+    splits = np.array([6, 2, 11, 0, 4])
+    bins = np.stack([draw.integers(0, n + 1, 4000) for n in splits]).astype("uint8")
+    r, slot = draw.integers(-8, 9, 4000).astype("float64"), draw.integers(0, 3, 4000)
+    each = boosting.level_sums(bins, r, slot, 3, splits, 12)
+    monkeypatch.setattr(boosting, "_MANY", 1)
+    assert len(boosting.joined(splits + 1, 83)) < len(splits)
+    assert (boosting.level_sums(bins, r, slot, 3, splits, 12) == each).all()
+    assert each[0].sum() == 4000 * len(splits)
+
+
+def test_thresholds_are_between_values_or_at_equal_strides():
+    assert boosting.thresholds(np.array([1.0, 0.0, 3.0, 3.0]), 4, 31).tolist() == [0.5, 2.0]
+    assert boosting.thresholds(np.zeros(5), 5, 31).tolist() == []
+    strides = boosting.thresholds(np.arange(1.0, 101.0), 100, 3)
+    assert strides.tolist() == [25.5, 50.5, 75.5]
