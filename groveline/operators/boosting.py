@@ -38,6 +38,8 @@ MOST_BINS, DEEPEST = 256, 14
 _BLOCK_ROWS, SMALL, _CHUNK = 1 << 20, 1 << 20, 128
 # From so many rows on features are summed together, and so many combinations of their bins at most.
 _MANY, _JOINT = 1 << 16, 1 << 12
+# Rows that are led on at a time, so that they stay in the processor's cache.
+_ROWS = 1 << 14
 _EPSILON = 2.0**-52
 
 
@@ -190,19 +192,24 @@ def step(bins: np.ndarray, node: np.ndarray | None, tables: tuple) -> np.ndarray
     feature, split, left = tables
     if node is None:
         return left[0] + (bins[feature[0]] > split[0])
-    place = (feature * bins.shape[1]).take(node, mode="clip")
-    place += np.arange(bins.shape[1])
-    return left.take(node, mode="clip") + (bins.reshape(-1).take(place, mode="clip") > split.take(node, mode="clip"))
+    found, begins, values = np.empty(bins.shape[1], "int64"), feature * bins.shape[1], bins.reshape(-1)
+    for begin in range(0, len(found), _ROWS):
+        own = node[begin : begin + _ROWS]
+        place = begins.take(own, mode="clip")
+        place += np.arange(begin, begin + len(own))
+        goes_right = values.take(place, mode="clip") > split.take(own, mode="clip")
+        np.add(left.take(own, mode="clip"), goes_right, out=found[begin : begin + _ROWS])
+    return found
 
 
-def walk(bins: np.ndarray, tables: tuple, levels: int, rows: int = 1 << 14) -> np.ndarray:
-    """The node of each row after so many steps; a few rows at a time, which fit the processor's cache."""
+def walk(bins: np.ndarray, tables: tuple, levels: int) -> np.ndarray:
+    """The node of each row after so many steps."""
     found = np.zeros(bins.shape[1], "int64")
-    for begin in range(0, len(found) if levels else 0, rows):
-        part, node = np.ascontiguousarray(bins[:, begin : begin + rows]), None
+    for begin in range(0, len(found) if levels else 0, _ROWS):
+        part, node = np.ascontiguousarray(bins[:, begin : begin + _ROWS]), None
         for _ in range(levels):
             node = step(part, node, tables)
-        found[begin : begin + rows] = node
+        found[begin : begin + _ROWS] = node
     return found
 
 
@@ -232,20 +239,29 @@ def level_sums(bins: np.ndarray, r: np.ndarray, slot: np.ndarray | None, slots:
     summed in the order of the rows, as Spark does, since equal gains are common among few rows.
     """
     widths = [int(n) + 1 for n in splits]
-    most = min(_JOINT, len(r) // (16 * slots)) if len(r) >= _MANY else 1
-    weights = (None, r, r * r)
+    rows, most = len(r), 1
+    if len(r) >= _MANY:  # so many at a time that they stay in the processor's cache, but more than the sums
+        rows = max(_MANY, 8 * slots * width)
+        most = min(_JOINT, rows // (8 * slots))
+    groups = joined(widths, most)
+    totals = [np.zeros((3, slots * math.prod(widths[f] for f in group))) for group in groups]
+    for begin in range(0, len(r), rows):
+        part, own = slice(begin, begin + rows), r[begin : begin + rows]
+        weights = (None, own, own * own)
+        for group, total in zip(groups, totals):
+            cells = total.shape[1] // slots
+            code = bins[group[0], part].astype("uint16")
+            for f in group[1:]:
+                code = code * np.uint16(widths[f]) + bins[f, part]
+            cell = code.astype("int64") if slot is None else slot[part] * cells + code
+            for sums, weight in zip(total, weights):
+                sums += np.bincount(cell, weight, len(sums))
     found = np.zeros((3, len(bins), slots, width))
-    for group in joined(widths, most):
-        shape = [widths[f] for f in group]
-        cells = math.prod(shape)
-        code = bins[group[0]].astype("uint16")
-        for f in group[1:]:
-            code = code * np.uint16(widths[f]) + bins[f]
-        cell = code.astype("int64") if slot is None else slot * cells + code
-        for k, weight in enumerate(weights):
-            told = np.bincount(cell, weight, slots * cells).reshape(slots, *shape)
-            for at, f in enumerate(group):
-                found[k, f, :, : widths[f]] = told.sum(axis=tuple(a for a in range(1, len(shape) + 1) if a != at + 1))
+    for group, total in zip(groups, totals):
+        told = total.reshape(3, slots, *[widths[f] for f in group])
+        for at, f in enumerate(group):
+            others = tuple(a + 2 for a in range(len(group)) if a != at)
+            found[:, f, :, : widths[f]] = told.sum(axis=others)
     return found
 
 
